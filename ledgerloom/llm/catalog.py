@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, lines, packing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (bpe,):
+for _m in (bpe, lines, packing):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
