@@ -36,7 +36,7 @@ _WORDS = re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _SPACED = re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: Words kept encoded per process; beyond it the memo starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 #: Longer words are walked alone, as a trie of one path.
 LONG_WORD = 2_000
 #: The last symbol of a word stands for itself plus the word-end mark.
@@ -57,20 +57,36 @@ def byte_letters() -> list[str]:
     return out
 
 
-class Bpe:
-    """A byte-level BPE model as stored by the tokenizers library (JSON)."""
+class Decoder:
+    """The tokens of a byte-level BPE model, as stored by the tokenizers library (JSON)."""
+
+    def __init__(self, spec: dict):
+        self.letters = byte_letters()
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        pairs = [*((i, t) for t, i in spec["model"]["vocab"].items()), *((i, t) for t, i in self.special.items())]
+        self._strings: list = [None] * (max(i for i, _ in pairs) + 1)
+        back = {c: bytes([b]) for b, c in enumerate(self.letters)}
+        for i, t in pairs:
+            self._strings[i] = b"".join([back.get(c) or c.encode() for c in t]) if self.byte_decoder else t
+
+    def decode(self, packed: bytes) -> str:
+        ids, names = np.frombuffer(packed, "<u4").tolist(), self._strings
+        known = [names[i] for i in ids if i < len(names) and names[i] is not None]
+        return b"".join(known).decode("utf-8", "replace") if self.byte_decoder else " ".join(known)
+
+
+class Bpe(Decoder):
+    """The model with its merges, for encoding."""
 
     def __init__(self, blob: bytes):
         spec = json.loads(blob)
+        super().__init__(spec)
         model = spec["model"]
         self._blob = blob
         self.suffix = model.get("end_of_word_suffix") or ""
         self.lower = spec.get("normalizer") is not None
-        self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.vocab = {self._symbols(t): i for t, i in model["vocab"].items()}
-        self.names: dict[int, str] = {i: t for t, i in model["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.names.update({i: t for t, i in self.special.items()})
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])):
             raise ValueError("only plain added tokens are supported")
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
@@ -85,7 +101,6 @@ class Bpe:
         for t in self.vocab:
             self.longest[t[-1]] = max(self.longest.get(t[-1], 1), len(t))
         self.most = max(self.longest.values())
-        self.letters = byte_letters()
         self.table = {i: c for i, c in enumerate(self.letters)}
         self._edge: tuple[dict, dict] = ({}, {})
         self._fits: dict[tuple[str, str], bool] = {}
@@ -133,7 +148,7 @@ class Bpe:
                         break
                 if not got:
                     break
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             self._fits[left, right] = got
         return got
@@ -247,7 +262,7 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit) of each text."""
         out: list[bytes] = []
-        for a, b in sliced(texts):
+        for a, b in sliced(texts, 2 << 20):
             pieces = [self._pieces(t or "") for t in texts[a:b]]
             lists = [p for ps in pieces for p in ps if isinstance(p, list)]
             memo = self.memo
@@ -263,23 +278,6 @@ class Bpe:
                 out.append(b"".join([b"".join([memo[w] for w in p]) if isinstance(p, list) else struct.pack("<I", p) for p in ps]))
         return out
 
-    @functools.cached_property
-    def _strings(self) -> list:
-        names = [None] * (max(self.names) + 1)
-        if self.byte_decoder:
-            back = {c: bytes([b]) for b, c in enumerate(self.letters)}
-            for i, t in self.names.items():
-                names[i] = b"".join(back.get(c) or c.encode() for c in t)
-        else:
-            for i, t in self.names.items():
-                names[i] = t
-        return names
-
-    def decode(self, packed: bytes) -> str:
-        ids, names = np.frombuffer(packed, "<u4").tolist(), self._strings
-        known = [names[i] for i in ids if i < len(names) and names[i] is not None]
-        return b"".join(known).decode("utf-8", "replace") if self.byte_decoder else " ".join(known)
-
 
 def merged(rank: dict[tuple[str, str], int], symbols: str) -> list[str]:
     """Plain BPE: merge the lowest-ranked pair, leftmost first, until none is left."""
@@ -298,6 +296,11 @@ def model(blob: bytes) -> Bpe:
     return Bpe(blob)
 
 
+@functools.lru_cache(maxsize=4)
+def decoder(blob: bytes) -> Decoder:
+    return Decoder(json.loads(blob))
+
+
 def vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -348,11 +351,11 @@ def decode_bpe(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str =
     blob = df.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
 
     def run(batches):
-        bpe = model(blob.value)
+        bpe = decoder(blob.value)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             packed = batch.column(at)
-            for a, b in sliced(_lengths(packed), 8 << 20):
+            for a, b in sliced(_lengths(packed), 4 << 20):
                 part = batch.slice(a, b - a)
                 texts = pa.array([bpe.decode(x or b"") for x in part.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns)], texts], names=[*part.schema.names, out])
