@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, packing
+from . import bpe, lines, lm, packing, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (bpe, lines, packing):
+for _m in (bpe, lines, lm, packing, quality):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
