@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, lm, packing, quality
+from . import bpe, lines, lm, packing, quality, topk, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (bpe, lines, lm, packing, quality):
+for _m in (bpe, lines, lm, packing, quality, topk, urls):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
