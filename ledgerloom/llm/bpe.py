@@ -36,7 +36,7 @@ _WORDS = re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _SPACED = re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: Words kept encoded per process; beyond it the memo starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 350_000
 #: Longer words are walked alone, as a trie of one path.
 LONG_WORD = 2_000
 #: The last symbol of a word stands for itself plus the word-end mark.
@@ -97,16 +97,45 @@ class Bpe(Decoder):
             a, b = (self._symbols(x) for x in (a, b))
             self.rank.setdefault((a, b), r)
             self.parts.setdefault(a + b, (a, b, r))
-        self.longest: dict[str, int] = {}
-        for t in self.vocab:
-            self.longest[t[-1]] = max(self.longest.get(t[-1], 1), len(t))
-        self.most = max(self.longest.values())
         self.table = {i: c for i, c in enumerate(self.letters)}
         self._edge: tuple[dict, dict] = ({}, {})
-        self._fits: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self._fits: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self._library = None
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """The vocabulary's suffix automaton: after any text it knows the longest token that
+        ends the text, and from a token the next shorter one that ends it."""
+        size = max(self.vocab.values()) + 1
+        self.token, self.size, self.shorter = [""] * size, [0] * size, [-1] * size
+        kid, fail, out = {}, [0], [-1]
+        levels: dict[int, list[tuple[int, int, int]]] = {}
+        for t, i in self.vocab.items():
+            self.token[i], self.size[i] = t, len(t)
+            at = 0
+            for depth, c in enumerate(t):
+                key = at << 10 | ord(c)
+                nxt = kid.get(key)
+                if nxt is None:
+                    nxt = kid[key] = len(fail)
+                    fail.append(0)
+                    out.append(-1)
+                    levels.setdefault(depth, []).append((at, ord(c), nxt))
+                at = nxt
+            out[at] = i
+        for depth in sorted(levels):
+            for at, c, node in levels[depth]:
+                back = fail[at] if depth else 0
+                while depth and (back << 10 | c) not in kid and back:
+                    back = fail[back]
+                fail[node] = kid.get(back << 10 | c, 0) if depth else 0
+                if out[node] >= 0:
+                    self.shorter[out[node]] = out[fail[node]]
+                else:
+                    out[node] = out[fail[node]]
+        self._kid, self._fail, self._out, self._step = kid, fail, out, {}
+        self._whole = bytearray(size)  # 1: BPE of the token's symbols makes it; 2: it doesn't
 
     def _symbols(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -135,11 +164,12 @@ class Bpe(Decoder):
             self._edge[right][token] = got
         return got
 
-    def fits(self, left: str, right: str) -> bool:
-        got = self._fits.get((left, right))
-        if got is None:
-            got, rank, starts = True, self.rank, self._chain(right, 0)
-            for a, a_taken in self._chain(left, 1):
+    def fits(self, left: int, right: int) -> bool:
+        """Whether ``right`` may follow ``left``; also that ``right`` is a token BPE makes."""
+        got, rank = self.whole(right), self.rank
+        if got:
+            starts = self._chain(self.token[right], 0)
+            for a, a_taken in self._chain(self.token[left], 1):
                 for b, b_taken in starts:
                     r = rank.get((a, b))
                     # equal ranks: the leftmost pair merges first
@@ -148,25 +178,29 @@ class Bpe(Decoder):
                         break
                 if not got:
                     break
-            if len(self._fits) > 300_000:
-                self._fits.clear()
-            self._fits[left, right] = got
+        if len(self._fits) > 300_000:
+            self._fits.clear()
+        self._fits[left << 20 | right] = got
         return got
 
-    def whole(self, token: str) -> bool:
+    def whole(self, token: int) -> bool:
         """Whether BPE over the token's own symbols makes the token."""
-        got = self._whole.get(token)
-        if got is None:
-            got = self._whole[token] = merged(self.rank, token) == [token]
-        return got
-
-    def _last(self, tail: str, depth: int, before) -> tuple[str, int]:
-        """The last token of a prefix that ends in ``tail``; before(n): the last token n symbols up."""
-        for n in range(min(depth, self.longest.get(tail[-1], 1)), 0, -1):
-            token = tail[-n:]
-            if token in self.vocab and self.whole(token) and (n == depth or self.fits(before(n), token)):
-                return token, n
-        raise ValueError(f"no token ends in {tail[-1]!r}")
+        if not self._whole[token]:
+            text = self.token[token]
+            self._whole[token] = 1 if merged(self.rank, text) == [text] else 2
+        return self._whole[token] == 1
+
+    def _next(self, state: int, c: int) -> int:
+        at = state
+        while True:
+            nxt = self._kid.get(at << 10 | c)
+            if nxt is not None or not at:
+                break
+            at = self._fail[at]
+        if len(self._step) > 300_000:
+            self._step.clear()
+        self._step[state << 10 | c] = nxt or 0
+        return nxt or 0
 
     # -- words
 
@@ -178,8 +212,9 @@ class Bpe(Decoder):
         symbol makes one node, whose last token follows from its ancestors'.
         """
         out: dict[str, bytes] = {}
-        vocab, longest, whole, pairs, fits = self.vocab, self.longest, self._whole, self._fits, self.fits
-        token, ids, back, path, before = [""], [0], [0], [0] * (LONG_WORD + 1), ""
+        step, ends, size, shorter, pairs = self._step, self._out, self.size, self.shorter, self._fits
+        last, back, before = [-1], [0], ""
+        path, state = [0] * (LONG_WORD + 1), [0] * (LONG_WORD + 1)
         for w in sorted(words):
             if len(w) > LONG_WORD:
                 out[w] = self._alone(w)
@@ -188,44 +223,59 @@ class Bpe(Decoder):
             while depth < most and before[depth] == w[depth]:
                 depth += 1
             for depth in range(depth + 1, len(w) + 1):
-                for start in range(max(0, depth - longest.get(w[depth - 1], 1)), depth):
-                    t = w[start:depth]
-                    if t in vocab:
-                        ok = whole.get(t)
-                        if ok is None:
-                            ok = self.whole(t)
-                        if ok:
-                            node = path[start]
-                            if start:
-                                stands = pairs.get((token[node], t))
-                                if not (fits(token[node], t) if stands is None else stands):
-                                    continue
-                            path[depth] = len(token)
-                            token.append(t)
-                            ids.append(vocab[t])
-                            back.append(node)
+                key = state[depth - 1] << 10 | ord(w[depth - 1])
+                at = step.get(key)
+                if at is None:
+                    at = self._next(state[depth - 1], ord(w[depth - 1]))
+                state[depth] = at
+                t = ends[at]
+                while t >= 0:
+                    start = depth - size[t]
+                    node = path[start]
+                    if start:
+                        stands = pairs.get(last[node] << 20 | t)
+                        if self.fits(last[node], t) if stands is None else stands:
                             break
+                    elif self.whole(t):
+                        break
+                    t = shorter[t]
                 else:
                     raise ValueError(f"no token ends in {w[depth - 1]!r}")
+                path[depth] = len(last)
+                last.append(t)
+                back.append(node)
             before, at, own = w, path[len(w)], []
             while at:
-                own.append(ids[at])
+                own.append(last[at])
                 at = back[at]
             own.reverse()
             out[w] = struct.pack(f"<{len(own)}I", *own)
         return out
 
     def _alone(self, w: str) -> bytes:
-        tokens, sizes = [""], [0]
-        for depth in range(1, len(w) + 1):
-            t, n = self._last(w[max(0, depth - self.most) : depth], depth, lambda n, d=depth: tokens[d - n])
-            tokens.append(t)
-            sizes.append(n)
+        """A long word, walked as a trie of one path: its nodes are its positions."""
+        last, state = np.zeros(len(w) + 1, np.int32), 0
+        for depth, c in enumerate(w, 1):
+            at = self._step.get(state << 10 | ord(c))
+            state = self._next(state, ord(c)) if at is None else at
+            t = self._out[state]
+            while t >= 0:
+                start = depth - self.size[t]
+                if self.fits_known(int(last[start]), t) if start else self.whole(t):
+                    break
+                t = self.shorter[t]
+            else:
+                raise ValueError(f"no token ends in {c!r}")
+            last[depth] = t
         ids, at = [], len(w)
         while at:
-            ids.append(self.vocab[tokens[at]])
-            at -= sizes[at]
-        return struct.pack(f"<{len(ids)}I", *reversed(ids))
+            ids.append(int(last[at]))
+            at -= self.size[ids[-1]]
+        return np.array(ids[::-1], "<u4").tobytes()
+
+    def fits_known(self, left: int, right: int) -> bool:
+        got = self._fits.get(left << 20 | right)
+        return self.fits(left, right) if got is None else got
 
     # -- texts
 
@@ -259,21 +309,26 @@ class Bpe(Decoder):
             at = m.end()
         return [*out, self.words_of(text[at:])]
 
+    def _learn(self, new: set[str], lists: list[list[str]]) -> None:
+        """Put the new words of the lists into the memo, which starts anew when full."""
+        memo = self.memo
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = set().union(*lists)
+        if new:
+            keyed = {w: self.word(w[1:], raw=False) if w[0] == _LETTERS else self.word(w) for w in new}
+            got = self.encode_words(set(keyed.values()))
+            memo.update((w, got[s]) for w, s in keyed.items())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit) of each text."""
         out: list[bytes] = []
-        for a, b in sliced(texts, 2 << 20):
+        for a, b in sliced(texts, 4 << 20):
             pieces = [self._pieces(t or "") for t in texts[a:b]]
             lists = [p for ps in pieces for p in ps if isinstance(p, list)]
+            get = self.memo.get
+            self._learn({w for p in lists if None in (got := list(map(get, p))) for w, g in zip(p, got, strict=True) if g is None}, lists)
             memo = self.memo
-            new = set().union(*lists).difference(memo)
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = set().union(*lists)
-            if new:
-                keyed = {w: self.word(w[1:], raw=False) if w[0] == _LETTERS else self.word(w) for w in new}
-                got = self.encode_words(set(keyed.values()))
-                memo.update((w, got[s]) for w, s in keyed.items())
             for ps in pieces:
                 out.append(b"".join([b"".join([memo[w] for w in p]) if isinstance(p, list) else struct.pack("<I", p) for p in ps]))
         return out

@@ -133,7 +133,7 @@ def pack_best_fit(items: DataFrame, item: str = "item", length: str = "length",
 
 
 def cut(df: DataFrame, ids: str = "ids", capacity: int = 1024) -> DataFrame:
-    """Replace packed ``ids`` by ``pieces``: array of (piece, start, length, ids), at most
+    """Replace packed ``ids`` by ``pieces``: array of (piece, start, length, ids, ids_crc32), at most
     ``capacity`` tokens each; only the first piece of a longer row is shorter. Null
     or empty ids give no piece. Other columns stay."""
     n = F.octet_length(ids) / F.lit(4)
@@ -143,24 +143,25 @@ def cut(df: DataFrame, ids: str = "ids", capacity: int = 1024) -> DataFrame:
         i.cast("int").alias("piece"),
         (start := F.when(i == 0, F.lit(0)).otherwise(first + (i - 1) * capacity).cast("long")).alias("start"),
         (size := F.when(i == 0, first).otherwise(F.lit(capacity)).cast("long")).alias("length"),
-        F.substring(F.col(ids), (start * 4 + 1).cast("int"), (size * 4).cast("int")).alias("ids"),
+        (part := F.substring(F.col(ids), (start * 4 + 1).cast("int"), (size * 4).cast("int"))).alias("ids"),
+        F.crc32(part).alias("ids_crc32"),
     )
     return df.withColumn("pieces", F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), piece))).drop(ids)
 
 
-def packed_documents(docs: DataFrame, vocabulary_path: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary_path: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), capacity: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """Tokenize whole texts, add ``end_id``, cut and pack them: one row per piece.
 
-    Returns ``keys`` and piece, start, length, ids (packed binary), sequence_id,
-    offset. A null or empty text is one piece that holds ``end_id`` alone.
+    Returns ``keys`` and piece, start, length, ids (packed binary; not kept unless
+    ``with_ids``), ids_crc32, sequence_id, offset. A null or empty text is one piece that holds ``end_id`` alone.
     """
-    clash = {"piece", "start", "length", "ids", "sequence_id", "offset", "item"} & set(keys)
+    clash = {"piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset", "item"} & set(keys)
     if clash:
         raise ValueError(f"keys may not be named {sorted(clash)}")
     ids = encode_bpe(docs.select(*keys, F.col(text).alias("__own_text")), vocabulary_path, "__own_text", "ids").drop("__own_text")
     ended = ids.withColumn("ids", F.concat("ids", F.lit(end_id.to_bytes(4, "little"))))
     pieces = cut(ended, "ids", capacity).select(*keys, F.inline("pieces")).withColumn("item", F.monotonically_increasing_id())
-    pieces = materialize(pieces, "pieces")
+    pieces = materialize(pieces if with_ids else pieces.drop("ids"), "pieces")
     places = pack_best_fit(pieces.select("item", "length"), capacity=capacity)
     return pieces.join(places, "item").drop("item")
 
@@ -170,8 +171,8 @@ def op8_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    packed = packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    packed = packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {"op8_packing": op8_packing}
