@@ -34,7 +34,7 @@ from .common import crc_class, materialize, sliced, table
 WORDS, CLASSES, SIZE = 447, 64, 24
 #: Words whose counts go to every task; the others' are looked up in shards.
 FREQUENT = 1 << 16
-SHARD_WORDS = 250_000
+SHARD_WORDS, SHARD_TOKENS = 250_000, 5_000_000
 _END = -1  # the end's key; words have others
 _S = 1 + WORDS + CLASSES
 
@@ -154,43 +154,52 @@ class Vocabulary:
         self.unigram = seen / seen.sum()
 
 
-_words: dict[str, dict] = {}
+class Memo(dict):
+    """word -> number of its entry: symbol, key and count (-1 if it isn't a frequent word). Entry 0 is the end."""
 
+    most = 200_000
 
-def _looked_up(vocab: Vocabulary):
-    """word -> (symbol, key, its count if frequent else -1), kept by process."""
-    if vocab.id not in _words:
-        _words.clear()
-        _words[vocab.id] = {}
-    memo = _words[vocab.id]
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.vocab = vocab
+        self.entries = np.zeros((3, self.most + 1), np.int64)
+        self.entries[:, 0] = 0, _END, vocab.ends
 
-    def get(word: bytes):
-        got = memo.get(word)
-        if got is None:
-            k = key_of(word)
-            s = vocab.symbol.get(k)
-            got = (1 + WORDS + class_of(word) if s is None else s, k, vocab.count.get(k, -1))
-            if len(memo) > 150_000:
-                memo.clear()
-            memo[word] = got
-        return got
+    def __missing__(self, word: bytes) -> int:
+        k, n = key_of(word), len(self) + 1
+        s = self.vocab.symbol.get(k)
+        self.entries[:, n] = 1 + WORDS + class_of(word) if s is None else s, k, self.vocab.count.get(k, -1)
+        self[word] = n
+        return n
+
+
+_memos: dict[str, Memo] = {}
 
-    return get
 
+def _memo(vocab: Vocabulary) -> Memo:
+    """The process's memo for this vocabulary."""
+    if vocab.id not in _memos:
+        _memos.clear()
+        _memos[vocab.id] = Memo(vocab)
+    return _memos[vocab.id]
 
-def _symbols(texts, get):
-    """Flat symbols with ends, the keys and counts of the words, and each text's length in tokens."""
-    sym, keys, counts, sizes = [], [], [], []
+
+def _symbols(texts, memo: Memo):
+    """Symbols, keys and counts of all tokens with the ends, and each text's length in tokens."""
+    blocks, sizes = [np.zeros((3, 0), np.int64)], []
     for t in texts:
-        got = [get(x) for x in (t or "").encode("utf-8", "replace").lower().split()]
-        sizes.append(len(got) + 1)
-        sym.extend([x[0] for x in got])
-        sym.append(0)
-        keys.extend([x[1] for x in got])
-        keys.append(_END)
-        counts.extend([x[2] for x in got])
-        counts.append(-2)
-    return np.array(sym, np.int64), np.array(keys, np.int64), np.array(counts, np.int64), np.array(sizes, np.int64)
+        words = (t or "").encode("utf-8", "replace").lower().split()
+        for a in range(0, max(1, len(words)), memo.most // 2):
+            run = words[a : a + memo.most // 2]
+            if len(memo) + len(run) > memo.most:
+                memo.clear()
+            at = list(map(memo.__getitem__, run))
+            if a + memo.most // 2 >= len(words):
+                at.append(0)
+            blocks.append(memo.entries[:, at])
+        sizes.append(len(words) + 1)
+    sym, keys, counts = np.concatenate(blocks, axis=1)
+    return sym, keys, counts, np.array(sizes, np.int64)
 
 
 def _contexts(sym: np.ndarray, sizes: np.ndarray):
@@ -209,10 +218,10 @@ def _train(sent):
         vocab, net, seen = sent.value, None, 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            get = _looked_up(vocab)
+            memo = _memo(vocab)
             texts = batch.column(0)
             for a, b in sliced(_lengths(texts), 2 << 20):
-                sym, _, _, sizes = _symbols(texts.slice(a, b - a).to_pylist(), get)
+                sym, _, _, sizes = _symbols(texts.slice(a, b - a).to_pylist(), memo)
                 near, far = _contexts(sym, sizes)
                 net = net or LogBilinear(vocab.unigram)
                 net.train(sym, near, far, rng)
@@ -242,19 +251,16 @@ def _score(sent, shards: int):
 
     def run(batches):
         vocab, net = sent.value
-        if not hasattr(net, "norm"):
-            net.close()
         row0 = TaskContext.get().partitionId() << 40
         floor = np.log10(float(vocab.tokens + vocab.distinct + 1))
         sums = np.log10(vocab.class_sums)
         for batch in batches:
-            get = _looked_up(vocab)
+            memo = _memo(vocab)
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in sliced(_lengths(texts), 2 << 20):
-                sym, keys, counts, sizes = _symbols(texts.slice(a, b - a).to_pylist(), get)
+                sym, keys, counts, sizes = _symbols(texts.slice(a, b - a).to_pylist(), memo)
                 near, far = _contexts(sym, sizes)
                 score = net.log10(sym, near, far)
-                counts[counts == -2] = vocab.ends
                 known = counts > 0
                 base = np.where(known, np.log10(np.maximum(counts, 0) + 1.0), 0.0) - floor
                 rest = sym >= 1 + WORDS  # words that share a class
@@ -262,7 +268,7 @@ def _score(sent, shards: int):
                 row = np.repeat(np.arange(b - a), sizes)
                 n = b - a
                 add = lambda v: np.bincount(row, v, n)
-                out = [([None] * n, pa.int64()), ([1] * n, pa.int32()), (row0 + np.arange(n), pa.int64()), (ids[a:b], pa.int64()), (sizes, pa.int64()), (add(known).astype(np.int64), pa.int64()), (add(base), pa.float64()), (add(score), pa.float64()), *[([None] * n, pa.binary())] * 3]
+                out = [((row0 + np.arange(n)) % shards, pa.int64()), ([1] * n, pa.int32()), (row0 + np.arange(n), pa.int64()), (ids[a:b], pa.int64()), (sizes, pa.int64()), (add(known).astype(np.int64), pa.int64()), (add(base), pa.float64()), (add(score), pa.float64()), *[([None] * n, pa.binary())] * 3]
                 names = [f.split()[0] for f in _PARTS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in out], names=names)
                 ask = np.flatnonzero(counts == -1)
@@ -276,10 +282,10 @@ def _score(sent, shards: int):
                     s = (k.view(np.uint64) % np.uint64(shards)).astype(np.int64)
                     order = np.argsort(s, kind="stable")
                     cuts = np.flatnonzero(np.diff(s[order])) + 1
-                    rows = [(int(s[p[0]]), (row0 + r[p]).astype("<i8").tobytes(), k[p].astype("<i8").tobytes(), times[p].astype("<i4").tobytes()) for p in np.split(order, cuts)]
+                    rows = [(int(s[p[0]]), r[p].astype("<i4").tobytes(), k[p].astype("<i8").tobytes(), times[p].astype("<i4").tobytes()) for p in np.split(order, cuts)]
                     m = len(rows)
                     cols = list(zip(*rows, strict=True))
-                    out = [(cols[0], pa.int64()), ([2] * m, pa.int32()), *[([None] * m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], *[(c, pa.binary()) for c in cols[1:]]]
+                    out = [(cols[0], pa.int64()), ([2] * m, pa.int32()), ([row0] * m, pa.int64()), *[([None] * m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], *[(c, pa.binary()) for c in cols[1:]]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in out], names=names)
                 row0 += n
 
@@ -287,17 +293,20 @@ def _score(sent, shards: int):
 
 
 def _answer(batches):
-    """Sums of what the shard's counts add to each document; the shard's counts (kind 0) come first."""
+    """Documents' sums as they are, and what the shard's counts add to each; the shard's counts (kind 0) come first."""
     keys = counts = None
     names = [f.split()[0] for f in _SUMS.split(", ")]
     for batch in batches:
+        done = batch.filter(pa.compute.equal(batch.column("kind"), 1))
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column(n) for n in names], names=names)
         out = []
-        for r in batch.select(["shard", "kind", "row", "rows", "keys", "times"]).to_pylist():
+        for r in batch.filter(pa.compute.not_equal(batch.column("kind"), 1)).select(["shard", "kind", "row", "rows", "keys", "times"]).to_pylist():
             if r["kind"] == 0:
                 if keys is None or r["shard"] != keys[0]:
                     keys, counts = (r["shard"], np.frombuffer(r["keys"], "<i8")), np.frombuffer(r["times"], "<i8")
                 continue
-            row, key, times = np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["times"], "<i4")
+            row, key, times = np.frombuffer(r["rows"], "<i4").astype(np.int64) + r["row"], np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["times"], "<i4")
             have = keys[1] if keys is not None and keys[0] == r["shard"] else np.zeros(0, "<i8")
             at = np.minimum(np.searchsorted(have, key), max(0, len(have) - 1))
             hit = have[at] == key if len(have) else np.zeros(len(key), bool)
@@ -343,9 +352,11 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
     held = means.collect()  # 32 at most
     if held:
         net.unpack(sum(np.frombuffer(r["params"], np.float64) * r["seen"] for r in held) / sum(r["seen"] for r in held))
+    net.close()
     sent = spark.sparkContext.broadcast((vocab, net))
 
-    shards = max(16, -(-distinct // SHARD_WORDS))
+    # the words looked up are none of the frequent ones, so none of their shards is hot
+    shards = max(16, -(-distinct // SHARD_WORDS), -(-(tokens - sum(n for _, _, n in frequent)) // SHARD_TOKENS))
     two64 = (1 << 64) % shards
     of_key = F.pmod(F.pmod(F.col("key"), F.lit(shards)) + F.when(F.col("key") < 0, F.lit(two64)).otherwise(F.lit(0)), F.lit(shards)).cast("long")
 
@@ -359,14 +370,8 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
     rare = counts.filter("false") if least is None else counts.filter(F.col("n") <= least)
     arrays = rare.withColumn("shard", of_key).groupBy("shard").applyInPandas(shard, "shard long, kind int, keys binary, times binary")
     scored = docs.select(F.col(doc_id).cast("long").alias("__id"), body.alias("__t")).mapInArrow(_score(sent, shards), _PARTS)
-    scored = materialize(scored, "lm-scores")
-    asks = scored.filter("kind = 2").select("shard", "kind", "row", "rows", "keys", "times")
-    arrays = arrays.select("shard", "kind", F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("rows"), "keys", "times")
-    # a shard's requests go to several copies of it
-    copies = 8
-    dealt = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).unionByName(asks.withColumn("salt", F.pmod(F.crc32("rows"), F.lit(copies)).cast("int")))
-    gained = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_answer, _SUMS)
-    sums = scored.filter("kind = 1").select("row", "doc_id", "n_tokens", "n_known", "base", "score").unionByName(gained)
+    dealt = scored.unionByName(arrays, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "kind")
+    sums = dealt.mapInArrow(_answer, _SUMS)
     added = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return added.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -200,7 +200,7 @@ def covered(size: int, marks: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:size]) > 0
 
 
-def _cut(length: int):
+def _cut(length: int, characters: bool):
     def run(batches):
         for batch in batches:
             for part in _slices(batch, 4 << 20):
@@ -220,13 +220,13 @@ def _cut(length: int):
                     where.append([{"from": int(a), "to": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
                     kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(edge) else raw)
                 kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(where, kind)], names=["id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k.decode("utf-8", "ignore") for k in kept] if characters else kept, pa.string() if characters else pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(where, kind)], names=["id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, kept (bytes), n_bytes, n_removed, n_spans, spans (byte ranges): each text as
+def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", characters: bool = False) -> DataFrame:
+    """doc_id, kept (bytes; with ``characters`` text, without what a cut leaves of a character), n_bytes, n_removed, n_spans, spans (byte ranges): each text as
     UTF-8 without the bytes covered by a string of ``length`` bytes that also starts
     earlier (smaller doc_id, or the same and an earlier start). Strings don't cross documents and
     are judged on the input; overlaps count.
@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
     repeats = marks.filter("not open").select("id", "at", "count").unionByName(sort(strings).filter("not open").select("id", "at", "count"))
     by_doc = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "count")).alias("marks"))
     full = own.join(by_doc, "id", "left")
-    return full.select("id", "__t", "marks").mapInArrow(_cut(length), "id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>").select(
+    return full.select("id", "__t", "marks").mapInArrow(_cut(length, characters), f"id long, kept {'string' if characters else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>").select(
         F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "spans"
     )
 
