@@ -12,10 +12,10 @@ the chance that strangers share it, so empty and small segments are left out.
 
 Sets that share a signature are candidates. Copies of a set are one vertex. In a
 group that shares a signature, each member is checked against the group's pivot
-(one check per member, with the pivot it shares most with); what that
-does not connect is checked between components, first by one pair for each two, then by
-all pairs that are left. So large groups of near copies cost about one check per member,
-and no link between different components is lost.
+(one check per member, with the pivot it shares most with). Groups that this leaves
+in several components are put together to families, whose components are checked
+against each other tile by tile. So large groups of near copies cost about one check per
+member, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from .hashing import mix, shingles
 
 _SETS = "id long, n long, set_hash long"
 _SIGNED = "key long, set_hash long, n long"
-_KINDS = 4  # exact or deletion, probing or not, in a key's low bits
+#: Elements in a tile of a family.
+TILE = 1_000_000
 
 
 def bands(percent: int, most: int = 1 << 32) -> tuple[np.ndarray, np.ndarray]:
@@ -225,6 +226,68 @@ def _verify(percent: int):
     return run
 
 
+def _tiles(percent: int):
+    """Rows sorted by tile pair and side: links between different components, one for each component and set."""
+
+    def run(batches):
+        pair, left, index = None, [], None
+        for batch in batches:
+            out = []
+            tile_pair, side, sets, comp, blobs = (batch.column(i).to_pylist() for i in range(5))
+            for p, s, h, c, blob in zip(tile_pair, side, sets, comp, blobs, strict=True):
+                x = np.frombuffer(blob, "<u8")
+                if p != pair:
+                    pair, left, index = p, [], None
+                if s == 0:
+                    left.append((h, c, x))
+                    continue
+                if not left:
+                    continue
+                if index is None:
+                    sizes = np.array([len(e[2]) for e in left])
+                    all_ = np.concatenate([e[2] for e in left])
+                    order = np.argsort(all_, kind="stable")
+                    words, starts = np.unique(all_[order], return_index=True)
+                    index = (words, np.append(starts, len(all_)), np.repeat(np.arange(len(left)), sizes)[order], sizes, np.array([e[0] for e in left]), np.array([e[1] for e in left]))
+                words, starts, owner, sizes, names, comps = index
+                at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+                at = at[words[at] == x]
+                n = starts[at + 1] - starts[at]
+                rows = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                common = np.bincount(owner[rows], minlength=len(left))
+                hit = np.flatnonzero((100 * common >= percent * (sizes + len(x) - common)) & (comps != c))
+                if len(hit):
+                    _, first = np.unique(comps[hit], return_index=True)
+                    out += [(int(names[i]), h) for i in hit[first]]
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    return run
+
+
+def _across(members: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """All links between different components of a family (set_hash, n, comp, family), tile against tile.
+
+    A family's sets are dealt to tiles of about TILE elements; a component that fills
+    tiles of its own has them to itself, and no two of those are compared. Sets are sent once
+    for each pair of tiles, so what is sent grows with the square of the family's tiles, not of its sets.
+    """
+    sized = members.groupBy("family", "comp").agg(F.sum("n").alias("w"))
+    large = F.col("w") > TILE // 2
+    small = sized.groupBy("family").agg(F.sum(F.when(~large, F.col("w")).otherwise(0)).alias("rest"), F.count("*").alias("comps")).filter("comps > 1")
+    own = members.join(sized, ["family", "comp"]).join(small, "family")
+    slot = lambda of, weight: F.pmod(F.xxhash64(of, F.lit(3)), F.greatest(F.lit(1), F.ceil(weight / TILE)))
+    own = own.withColumn("tile", F.when(large, F.xxhash64("comp", slot("set_hash", F.col("w")))).otherwise(F.xxhash64(F.lit("rest"), slot("comp", F.col("rest")))))
+    own = own.select("family", "tile", "set_hash", "comp", F.when(large, F.col("comp")).alias("only")).withColumn("place", F.xxhash64("family", "tile"))
+    tiles = own.groupBy("family", "place").agg(F.first("only").alias("only"))
+    other = tiles.select("family", F.col("place").alias("place2"), F.col("only").alias("only2"))
+    pairs = tiles.join(other, "family").filter("place <= place2 and not coalesce(only = only2, false)").select("place", "place2", F.xxhash64("place", "place2").alias("pair"))
+    full = own.select("place", "set_hash", "comp").join(elements, "set_hash")
+    lefts = full.join(pairs.select("place", "pair"), "place").select("pair", F.lit(0).alias("side"), "set_hash", "comp", "elements")
+    rights = full.join(pairs.select(F.col("place2").alias("place"), "pair"), "place").select("pair", F.lit(1).alias("side"), "set_hash", "comp", "elements")
+    return lefts.unionByName(rights).repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_tiles(percent), "a long, b long")
+
+
 def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links between documents
     whose sets of distinct shingles have a Jaccard similarity of at least ``percent`` / 100.
@@ -253,32 +316,19 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
         tails = salted.join(elements.withColumnRenamed("set_hash", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "elements")
         return heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(_verify(percent), "a long, b long")
 
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # each member with the pivot that it shares most segments with
     shared = groups.filter((F.col("set_hash") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).groupBy("set_hash", "pivot").agg(F.count("*").alias("c"))
     best = shared.groupBy("set_hash").agg(F.max(F.struct("c", "pivot")).alias("x"))
-    checked = materialize(best.select(F.col("x.pivot").alias("a"), F.col("set_hash").alias("b")), "pairs")
-    found = materialize(links(checked), "links")
-    tried = ordered(checked)
-
-    for last in (False, True):
-        comps = components(found)
-        member = groups.select("key", "set_hash", "n").join(comps.withColumnRenamed("v", "set_hash"), "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
-        open_ = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        # groups that lie in several components still; one row for each component unless this is the last round
-        rest = materialize(member.join(open_.select("key", "lo"), "key"), "open-groups")
-        if not last:
-            each = rest.groupBy("key", "lo", "comp").agg(F.max(F.struct("n", "set_hash")).alias("x"))
-            heads = each.filter("comp = lo").select("key", F.col("x.set_hash").alias("a"), F.col("x.n").alias("na"))
-            pairs = each.filter("comp <> lo").select("key", F.col("x.set_hash").alias("b"), F.col("x.n").alias("nb")).join(heads, "key")
-        else:
-            x = rest.select("key", F.col("set_hash").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = rest.select("key", F.col("set_hash").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "key").filter("ca < cb")
-        pairs = ordered(pairs.filter(near(F.col("na"), F.col("nb"))).select("a", "b")).join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        more = materialize(links(pairs), "links")
-        found, tried = found.unionByName(more), tried.unionByName(pairs)
+    pairs = materialize(best.select(F.col("x.pivot").alias("a"), F.col("set_hash").alias("b")), "pairs")
+    found = materialize(links(pairs), "links")
+    # groups that lie in several components still, and the families that they make up
+    comps = components(found).withColumnRenamed("v", "set_hash")
+    member = groups.select("key", "set_hash", "n").join(comps, "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
+    open_ = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("set_hash").alias("root")).filter("lo < hi")
+    rest = materialize(member.join(open_.select("key", "root"), "key").groupBy("set_hash", "root").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "open-groups")
+    family = components(rest.select(F.col("set_hash").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("set_hash"), F.col("comp").alias("family"))
+    members = materialize(rest.groupBy("set_hash").agg(F.first("n").alias("n"), F.first("comp").alias("comp")).join(family, "set_hash"), "families")
+    found = found.unionByName(materialize(_across(members, elements, percent), "links"))
     comps = components(found)
     placed = sets.join(comps.withColumnRenamed("v", "set_hash"), "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
     least = placed.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
