@@ -10,8 +10,11 @@ length, in the order of what is known about later and earlier offsets:
 2. An anchor's pointer into the bucket of its context, all bytes of the strings it
    stands for, refines its bucket. All but the first of equal contexts are repeats
    as they are, and need no further sorting.
-3. The firsts of different contexts in one q-gram bucket are refined further: by
-   the bucket of each string of theirs.
+3. The firsts of different contexts in one q-gram bucket are refined by later offsets:
+   an anchor's strings are cut into slots by their distance from the anchor. A slot's bucket
+   is the core that all strings in the slot share, its context all their bytes. Again
+   a core that is alone ends the slot, and equal contexts are repeats.
+4. What is still open is refined once more, by the bucket of each single string.
 
 Buckets are 64-bit hashes of the bytes, so refinement is sorting by bucket
 numbers. Tasks send the first of each bucket only, with its followers packed
@@ -23,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,11 @@ from .hashing import mix, prefixes, spans
 
 #: Bytes of the initial buckets' q-grams.
 Q = 24
-_ROWS = "g long, c long, id long, at long, count int, followers binary"
-_MARKS = "id long, at long, count int, open boolean"
+#: Strings in a slot of the second refinement.
+SLOT = 16
+#: ``count`` holds the number of strings and, above 16 bits, the anchor's distance from the first.
+_ROWS = "g long, c long, id long, at long, count int, followers binary, body binary"
+_MARKS = "id long, at long, count int, open boolean, body binary"
 _FOLLOWER = np.dtype([("id", "<i8"), ("at", "<i8"), ("count", "<i4")])
 
 
@@ -53,7 +60,7 @@ class Slice:
     """Some documents' bytes in one array, with their prefix hashes."""
 
     def __init__(self, texts: list):
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace") for t in texts]
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.first = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(raw), np.uint8)
@@ -84,11 +91,11 @@ class Slice:
         count = np.diff(np.append(np.flatnonzero(new), len(start)))
         anchor = a[new]
         c = mix(spans(self.prefix, low, low + count - 1 + length) + (anchor - low).astype(np.uint64), 9)
-        return h[anchor], c, low, count, self.owner(low)
+        return h[anchor], c, low, count | (anchor - low) << 16, self.owner(low)
 
 
-def _leaders(g, c, ids, at, count):
-    """A batch of the first of each (g, c) by (id, at), the others packed as its followers."""
+def _leaders(g, c, ids, at, count, bodies=None):
+    """A batch of the first of each (g, c) by (id, at), the others packed as its followers; bodies: start and data of each row's bytes."""
     order = np.lexsort((at, ids, c, g))
     g, c, ids, at, count = g[order], c[order], ids[order], at[order], count[order]
     new = np.ones(len(g), bool)
@@ -103,8 +110,13 @@ def _leaders(g, c, ids, at, count):
     ends = np.cumsum(follow)[np.append(lead[1:], len(g)) - 1] * size if len(g) else np.zeros(0, np.int64)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     followers = [blob[a:b] if b > a else None for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    body = [None] * len(lead)
+    if bodies is not None:
+        low, high, data = bodies
+        low, high, raw = low[order][lead].tolist(), high[order][lead].tolist(), data.tobytes()
+        body = [raw[a:b] for a, b in zip(low, high, strict=True)]
     view = lambda x: pa.array(x[lead].view(np.int64))
-    return pa.RecordBatch.from_arrays([view(g), view(c), pa.array(ids[lead]), pa.array(at[lead]), pa.array(count[lead].astype(np.int32)), pa.array(followers, pa.binary())], names=["g", "c", "id", "at", "count", "followers"])
+    return pa.RecordBatch.from_arrays([view(g), view(c), pa.array(ids[lead]), pa.array(at[lead]), pa.array(count[lead].astype(np.int32)), pa.array(followers, pa.binary()), pa.array(body, pa.binary())], names=["g", "c", "id", "at", "count", "followers", "body"])
 
 
 def _slices(batch, size: int = 2 << 20):
@@ -125,24 +137,64 @@ def _anchor_rows(length: int):
     return run
 
 
-def _string_rows(length: int):
-    """The strings of a document's open anchors, each a bucket of its own."""
+def _pressed(batches):
+    """Texts compressed for the shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for part in _slices(batch, 8 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([press.compress((t or "").encode("utf-8", "replace")) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "z"])
+
+
+def _texts(column) -> list[bytes]:
+    return [zstandard.ZstdDecompressor().decompress(z) for z in column.to_pylist()]
+
+
+def _slot_rows(length: int):
+    """The slots of a document's open anchors, with their bytes."""
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch):
-                s = Slice(part.column(1).to_pylist())
+            for part in _slices(batch, 1 << 20):
+                s = Slice(_texts(part.column(1)))
                 n = pa.compute.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
                 flat = part.column(2).flatten()
                 low, count = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
+                reach, count = count >> 16, count & 0xFFFF
                 owner = np.repeat(np.arange(len(n)), n)
+                # the distances from the anchor run from reach down; slots are cut by distance
                 ok = low + count - 1 + length <= s.sizes[owner]
-                low, count, owner = low[ok], count[ok], owner[ok]
-                who = np.repeat(owner, count)
-                at = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-                if len(at):
-                    h = spans(s.prefix, at + s.first[who], at + s.first[who] + length)
-                    yield _leaders(h, h, part.column(0).to_numpy()[who], at, np.ones(len(at), np.int64))
+                low, count, reach, owner = low[ok], count[ok], reach[ok], owner[ok]
+                top, bottom = reach // SLOT, (reach - count + 1) // SLOT
+                times = top - bottom + 1
+                k = np.repeat(np.arange(len(low)), times)
+                slot = top[k] - (np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times))
+                far, close = np.minimum(reach[k], slot * SLOT + SLOT - 1), np.maximum((reach - count + 1)[k], slot * SLOT)
+                who = owner[k]
+                anchor = low[k] + reach[k] + s.first[who]
+                first, last = anchor - far, anchor - close
+                core = spans(s.prefix, anchor - slot * SLOT, anchor - slot * SLOT - SLOT + 1 + length)
+                g = mix(core + slot.astype(np.uint64), 10)
+                c = mix(spans(s.prefix, first, last + length) + far.astype(np.uint64), 11)
+                if len(g):
+                    yield _leaders(g, c, part.column(0).to_numpy()[who], first - s.first[who], last - first + 1, (first, last + length, s.data))
+
+    return run
+
+
+def _string_rows(length: int):
+    """The single strings of open slots, each a bucket of its own."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 20_000):
+                part = batch.slice(a, 20_000)
+                s = Slice(part.column("body").to_pylist())
+                count = part.column("count").to_numpy().astype(np.int64)
+                who = np.repeat(np.arange(len(count)), count)
+                j = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+                if len(who):
+                    h = spans(s.prefix, j + s.first[who], j + s.first[who] + length)
+                    yield _leaders(h, h, part.column("id").to_numpy()[who], part.column("at").to_numpy()[who] + j, np.ones(len(who), np.int64))
 
     return run
 
@@ -155,7 +207,7 @@ def _refine(batches):
     """
     group = context = None
     first = (0, 0)
-    waiting = None  # (id, at, count) of the bucket's first row while it is alone
+    waiting = None  # (id, at, count, body) of the bucket's first row while it is alone
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -163,24 +215,26 @@ def _refine(batches):
         g, c, ids, at, count = (batch.column(i).to_numpy() for i in range(5))
         new_g = np.concatenate([[group is None or g[0] != group], g[1:] != g[:-1]])
         new_c = new_g | np.concatenate([[context is None or c[0] != context], c[1:] != c[:-1]])
-        out = []
+        out, bodies, body = [], [], batch.column(6)
         head = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
         hid, hat = np.where(head >= 0, ids[head], first[0]), np.where(head >= 0, at[head], first[1])
-        repeat = ~new_c & ((ids != hid) | (at != hat))
-        out.append((ids[repeat], at[repeat], count[repeat], np.zeros(int(repeat.sum()), bool)))
         # firsts of second and further contexts are open, and so is the first of the first
-        further = new_c & ~new_g
-        out.append((ids[further], at[further], count[further], np.ones(int(further.sum()), bool)))
+        further = np.flatnonzero(new_c & ~new_g)
         start = np.maximum.accumulate(np.where(new_g, np.arange(n), -1))
         lead = np.unique(start[further])
         if len(lead) and lead[0] < 0:
             if waiting is not None:
-                out.append(tuple(np.array([x]) for x in waiting) + (np.ones(1, bool),))
+                out.append(tuple(np.array([x]) for x in waiting[:3]) + (np.ones(1, bool),))
+                bodies.append(waiting[3])
             waiting, lead = None, lead[1:]
-        out.append((ids[lead], at[lead], count[lead], np.ones(len(lead), bool)))
+        opened = np.concatenate([further, lead])
+        out.append((ids[opened], at[opened], count[opened], np.ones(len(opened), bool)))
+        bodies += body.take(pa.array(opened)).to_pylist()
         last = start[-1]
         if last >= 0:
-            waiting = None if len(lead) and lead[-1] == last else (ids[last], at[last], count[last])
+            waiting = None if len(lead) and lead[-1] == last else (ids[last], at[last], count[last], body[int(last)].as_py())
+        repeat = ~new_c & ((ids != hid) | (at != hat))
+        out.append((ids[repeat], at[repeat], count[repeat], np.zeros(int(repeat.sum()), bool)))
         group, context, first = g[-1], c[-1], (hid[-1], hat[-1])
         blobs = b"".join(x for x in batch.column(5).to_pylist() if x)
         if blobs:
@@ -188,7 +242,8 @@ def _refine(batches):
             out.append((f["id"], f["at"], f["count"], np.zeros(len(f), bool)))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
         kinds = (np.int64, np.int64, np.int32, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(cols, kinds, strict=True)], names=["id", "at", "count", "open"])
+        bodies += [None] * (len(cols[0]) - len(bodies))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(k)) for x, k in zip(cols, kinds, strict=True)), pa.array(bodies, pa.binary())], names=["id", "at", "count", "open", "body"])
 
 
 def covered(size: int, marks: np.ndarray, length: int) -> np.ndarray:
@@ -196,21 +251,20 @@ def covered(size: int, marks: np.ndarray, length: int) -> np.ndarray:
     edge = np.zeros(size + 1, np.int64)
     if len(marks):
         np.add.at(edge, np.minimum(marks[:, 0], size), 1)
-        np.add.at(edge, np.minimum(marks[:, 0] + marks[:, 1] - 1 + length, size), -1)
+        np.add.at(edge, np.minimum(marks[:, 0] + (marks[:, 1] & 0xFFFF) - 1 + length, size), -1)
     return np.cumsum(edge[:size]) > 0
 
 
 def _cut(length: int, characters: bool):
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, 4 << 20):
+            for part in _slices(batch, 2 << 20):
                 kept, sizes, removed, runs, where = [], [], [], [], []
                 n = pa.compute.list_value_length(part.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
                 flat = part.column(2).flatten()
                 all_marks = np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)], 1)
                 ends = np.cumsum(n)
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    raw = (text or "").encode("utf-8", "replace")
+                for i, raw in enumerate(_texts(part.column(1))):
                     marks = all_marks[ends[i] - n[i] : ends[i]]
                     gone = covered(len(raw), marks, length)
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
@@ -233,20 +287,23 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
 
     Null and empty texts stay empty. A null id comes before all others. Ids are to be unique:
     a row repeated in full is one document given twice, with the same result for both. Other
-    columns are passed over, an empty table gives no rows. ``length`` is at least 2 * Q.
+    columns are passed over, an empty table gives no rows. ``length`` lies between 2 * Q and 30,000.
     """
-    if length < 2 * Q:
-        raise ValueError(f"length must be at least {2 * Q}")
+    if not 2 * Q <= length <= 30_000:
+        raise ValueError(f"length must lie between {2 * Q} and 30000")
     least = -(1 << 63)
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("id"), F.col(text).cast("string").alias("__t"))
     sort = lambda rows: rows.repartition("g").sortWithinPartitions("g", "c", "id", "at").mapInArrow(_refine, _MARKS)
     marks = materialize(sort(own.mapInArrow(_anchor_rows(length), _ROWS)), "anchors")
     opened = marks.filter("open").groupBy("id").agg(F.collect_list(F.struct("at", "count")).alias("open"))
-    strings = own.join(opened, "id").select("id", "__t", "open").mapInArrow(_string_rows(length), _ROWS)
-    repeats = marks.filter("not open").select("id", "at", "count").unionByName(sort(strings).filter("not open").select("id", "at", "count"))
+    pressed = own.mapInArrow(_pressed, "id long, z binary")
+    slots = sort(pressed.join(opened, "id").select("id", "z", "open").mapInArrow(_slot_rows(length), _ROWS))
+    strings = sort(slots.filter("open").select("id", "at", "count", "body").mapInArrow(_string_rows(length), _ROWS))
+    closed = lambda m: m.filter("not open").select("id", "at", "count")
+    repeats = closed(marks).unionByName(closed(slots)).unionByName(closed(strings))
     by_doc = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "count")).alias("marks"))
-    full = own.join(by_doc, "id", "left")
-    return full.select("id", "__t", "marks").mapInArrow(_cut(length, characters), f"id long, kept {'string' if characters else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>").select(
+    full = pressed.join(by_doc, "id", "left")
+    return full.select("id", "z", "marks").mapInArrow(_cut(length, characters), f"id long, kept {'string' if characters else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>").select(
         F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "spans"
     )
 
