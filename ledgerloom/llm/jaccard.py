@@ -324,10 +324,11 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
     # groups that lie in several components still, and the families that they make up
     comps = components(found).withColumnRenamed("v", "set_hash")
     member = groups.select("key", "set_hash", "n").join(comps, "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
-    open_ = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("set_hash").alias("root")).filter("lo < hi")
-    rest = materialize(member.join(open_.select("key", "root"), "key").groupBy("set_hash", "root").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "open-groups")
-    family = components(rest.select(F.col("set_hash").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("set_hash"), F.col("comp").alias("family"))
-    members = materialize(rest.groupBy("set_hash").agg(F.first("n").alias("n"), F.first("comp").alias("comp")).join(family, "set_hash"), "families")
+    shares = member.select("key", "comp").distinct()
+    open_ = shares.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    ties = materialize(shares.join(open_.select("key", "lo"), "key").filter("comp <> lo").select(F.col("comp").alias("a"), F.col("lo").alias("b")).distinct(), "open-groups")
+    family = components(ties).select(F.col("comp").alias("family"), F.col("v").alias("comp"))
+    members = materialize(member.groupBy("set_hash").agg(F.first("n").alias("n"), F.first("comp").alias("comp")).join(family, "comp"), "families")
     found = found.unionByName(materialize(_across(members, elements, percent), "links"))
     comps = components(found)
     placed = sets.join(comps.withColumnRenamed("v", "set_hash"), "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
