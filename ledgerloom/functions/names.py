@@ -40,9 +40,9 @@ def name_key(s: Column) -> Column:
 
 
 def doc_of(s: Column) -> Column:
-    """Of 11 digits the middle eight without leading zeros, 7 or 8 digits as they are, else empty."""
+    """Of 11 digits the middle eight, of 7 or 8 all, without leading zeros; else empty."""
     d = F.regexp_replace(F.coalesce(s, F.lit("")), "[^0-9]", "")
-    return F.when(F.length(d) == 11, F.regexp_replace(F.substring(d, 3, 8), "^0+", "")).when(F.length(d).between(7, 8), d).otherwise("")
+    return F.when(F.length(d) == 11, F.regexp_replace(F.substring(d, 3, 8), "^0+", "")).when(F.length(d).between(7, 8), F.regexp_replace(d, "^0+", "")).otherwise("")
 
 
 def cbu_of(s: Column) -> Column:
