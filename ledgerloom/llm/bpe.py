@@ -31,9 +31,10 @@ from .common import sliced, table
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼-¾"
 _S = "\t\n\x0b\x0c\r \x85\xa0"
-_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-_WORDS = re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_SPACED = re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+# Letters and numbers can't start with the quote of a short form, so they may be tried before it.
+_SHORT = "'(?:s|t|re|ve|m|ll|d)"
+_WORDS = re.compile(f"[{_L}]+|[{_N}]|{_SHORT}|[^{_S}{_L}{_N}]+")
+_SPACED = re.compile(f" ?[{_L}]+| ?[{_N}]+|{_SHORT}| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: Words kept encoded per process; beyond it the memo starts anew.
 MEMO_WORDS = 350_000
@@ -309,28 +310,37 @@ class Bpe(Decoder):
             at = m.end()
         return [*out, self.words_of(text[at:])]
 
-    def _learn(self, new: set[str], lists: list[list[str]]) -> None:
-        """Put the new words of the lists into the memo, which starts anew when full."""
-        memo = self.memo
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = set().union(*lists)
-        if new:
-            keyed = {w: self.word(w[1:], raw=False) if w[0] == _LETTERS else self.word(w) for w in new}
-            got = self.encode_words(set(keyed.values()))
-            memo.update((w, got[s]) for w, s in keyed.items())
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encodings of words that the memo lacks; the memo takes them, and starts anew when full."""
+        if not new:
+            return {}
+        keyed = {w: self.word(w[1:], raw=False) if w[0] == _LETTERS else self.word(w) for w in new}
+        got = self.encode_words(set(keyed.values()))
+        fresh = {w: got[s] for w, s in keyed.items()}
+        if len(self.memo) + len(fresh) > MEMO_WORDS:
+            self.memo.clear()
+        if len(fresh) <= MEMO_WORDS:
+            self.memo.update(fresh)
+        return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit) of each text."""
         out: list[bytes] = []
         for a, b in sliced(texts, 4 << 20):
             pieces = [self._pieces(t or "") for t in texts[a:b]]
-            lists = [p for ps in pieces for p in ps if isinstance(p, list)]
             get = self.memo.get
-            self._learn({w for p in lists if None in (got := list(map(get, p))) for w, g in zip(p, got, strict=True) if g is None}, lists)
-            memo = self.memo
-            for ps in pieces:
-                out.append(b"".join([b"".join([memo[w] for w in p]) if isinstance(p, list) else struct.pack("<I", p) for p in ps]))
+            found = [[list(map(get, p)) if isinstance(p, list) else p for p in ps] for ps in pieces]
+            fresh = self._learn({w for ps, gs in zip(pieces, found, strict=True) for p, g in zip(ps, gs, strict=True) if isinstance(g, list) and None in g for w, x in zip(p, g, strict=True) if x is None})
+            for ps, gs in zip(pieces, found, strict=True):
+                parts = []
+                for p, g in zip(ps, gs, strict=True):
+                    if not isinstance(g, list):
+                        parts.append(struct.pack("<I", g))
+                    elif None in g:
+                        parts.append(b"".join([fresh[w] if x is None else x for w, x in zip(p, g, strict=True)]))
+                    else:
+                        parts.append(b"".join(g))
+                out.append(parts[0] if len(parts) == 1 else b"".join(parts))
         return out
 
 
