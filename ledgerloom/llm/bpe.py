@@ -37,7 +37,7 @@ _WORDS = re.compile(f"[{_L}]+|[{_N}]|{_SHORT}|[^{_S}{_L}{_N}]+")
 _SPACED = re.compile(f" ?[{_L}]+| ?[{_N}]+|{_SHORT}| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: Words kept encoded per process; beyond it the memo starts anew.
-MEMO_WORDS = 350_000
+MEMO_WORDS = 200_000
 #: Longer words are walked alone, as a trie of one path.
 LONG_WORD = 2_000
 #: The last symbol of a word stands for itself plus the word-end mark.
@@ -179,7 +179,7 @@ class Bpe(Decoder):
                         break
                 if not got:
                     break
-        if len(self._fits) > 300_000:
+        if len(self._fits) > 200_000:
             self._fits.clear()
         self._fits[left << 20 | right] = got
         return got
@@ -198,7 +198,7 @@ class Bpe(Decoder):
             if nxt is not None or not at:
                 break
             at = self._fail[at]
-        if len(self._step) > 300_000:
+        if len(self._step) > 200_000:
             self._step.clear()
         self._step[state << 10 | c] = nxt or 0
         return nxt or 0
@@ -326,7 +326,7 @@ class Bpe(Decoder):
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit) of each text."""
         out: list[bytes] = []
-        for a, b in sliced(texts, 4 << 20):
+        for a, b in sliced(texts, 2 << 20):
             pieces = [self._pieces(t or "") for t in texts[a:b]]
             get = self.memo.get
             found = [[list(map(get, p)) if isinstance(p, list) else p for p in ps] for ps in pieces]
