@@ -72,7 +72,9 @@ def ratio_table(examples: DataFrame, url: str, accepted: Column) -> DataFrame:
     """One row with ``ratios``: for each context of three symbols and each symbol the
     logarithm of its probability if accepted over that if rejected (32^4 doubles)."""
     spark = examples.sparkSession
-    seen = examples.select(accepted.alias("yes"), F.explode(_windows(_codes(F.col(url)))).alias("w")).groupBy("w").agg(F.sum(F.col("yes").cast("double")).alias("a"), F.sum((~F.col("yes")).cast("double")).alias("r"))
+    # the codes are a column of their own: inside the lambda they would be made anew for each symbol
+    coded = examples.select(accepted.alias("yes"), _codes(F.col(url)).alias("__c"))
+    seen = coded.select("yes", F.explode(_windows(F.col("__c"))).alias("w")).groupBy("w").agg(F.sum(F.col("yes").cast("double")).alias("a"), F.sum((~F.col("yes")).cast("double")).alias("r"))
     # counts by order: o symbols of context, symbol s
     orders = seen.select(F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.pmod("w", F.lit(_N ** (o + 1))).alias("g"), "a", "r") for o in range(4)])).alias("x")).select("x.*")
     counts = orders.groupBy("o", "g").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
@@ -110,9 +112,9 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
 
     def scored(df: DataFrame, url: str) -> DataFrame:
         """Add ``score``: the mean log ratio of the URL's symbols (0 where there is no model)."""
-        with_all = df.withColumns({"__r": ratios.scalar(), "__w": _windows(_codes(F.col(url)))})
+        with_all = df.withColumn("__c", _codes(F.col(url))).withColumns({"__r": ratios.scalar(), "__w": _windows(F.col("__c"))})
         total = F.aggregate("__w", F.lit(0.0), lambda acc, w: acc + F.element_at("__r", w + 1))
-        return with_all.withColumn("score", F.coalesce(total / F.size("__w"), F.lit(0.0))).drop("__r", "__w")
+        return with_all.withColumn("score", F.coalesce(total / F.size("__w"), F.lit(0.0))).drop("__c", "__r", "__w")
 
     # calibration: the threshold with the most balanced accuracy over the examples, in steps; the middle of the best
     steps = scored(examples, "__u").select(F.floor(F.col("score") / _STEP).cast("long").alias("bin"), "yes").groupBy("bin").agg(F.sum(F.col("yes").cast("double")).alias("a"), F.sum((~F.col("yes")).cast("double")).alias("r"))
