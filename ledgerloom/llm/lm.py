@@ -135,11 +135,11 @@ class LogBilinear:
 class Vocabulary:
     """What every task needs of the counts; its size is bounded by FREQUENT, WORDS and CLASSES."""
 
-    def __init__(self, tokens: int, distinct: int, frequent: list[tuple[int, int, int]], class_sums: np.ndarray):
+    def __init__(self, tokens: int, distinct: int, frequent: list[tuple[int, int, int]], class_sums: np.ndarray, ends: int | None = None):
         self.id = uuid.uuid4().hex
         self.tokens, self.distinct = tokens, distinct
         words = [x for x in frequent if x[0] != _END]
-        self.ends = next((n for k, _, n in frequent if k == _END), 0)
+        self.ends = next((n for k, _, n in frequent if k == _END), 0) if ends is None else ends
         self.symbol = {k: 1 + i for i, (k, _, _) in enumerate(words[:WORDS])}
         self.count = {k: n for k, _, n in words}
         own = np.zeros(CLASSES)
@@ -337,11 +337,13 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
     counts = learn.mapInArrow(_count, "key long, cls int, n long").groupBy("key").agg(F.first("cls").alias("cls"), F.sum("n").alias("n"))
     counts = materialize(counts, "word-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = [tuple(r) for r in counts.orderBy(F.desc("n"), "key").select("key", "cls", "n").limit(FREQUENT).collect()]
+    ends = counts.filter(F.col("key") == _END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = counts.filter(F.col("key") != _END)
+    frequent = [tuple(r) for r in words.orderBy(F.desc("n"), "key").select("key", "cls", "n").limit(FREQUENT).collect()]
     class_sums = np.zeros(CLASSES)
     for c, n in counts.filter("cls >= 0").groupBy("cls").agg(F.sum(F.col("n") + 1)).collect():
         class_sums[c] = n
-    vocab = Vocabulary(tokens, distinct, frequent, class_sums)
+    vocab = Vocabulary(tokens, distinct, frequent, class_sums, ends)
     means = learn.mapInArrow(_train(spark.sparkContext.broadcast(vocab)), "seen long, params binary")
     means = materialize(means, "lm-parts")
     parts = means.count()
@@ -356,7 +358,7 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
     sent = spark.sparkContext.broadcast((vocab, net))
 
     # the words looked up are none of the frequent ones, so none of their shards is hot
-    shards = max(16, -(-distinct // SHARD_WORDS), -(-(tokens - sum(n for _, _, n in frequent)) // SHARD_TOKENS))
+    shards = max(16, -(-distinct // SHARD_WORDS), -(-(tokens - ends - sum(n for _, _, n in frequent)) // SHARD_TOKENS))
     two64 = (1 << 64) % shards
     of_key = F.pmod(F.pmod(F.col("key"), F.lit(shards)) + F.when(F.col("key") < 0, F.lit(two64)).otherwise(F.lit(0)), F.lit(shards)).cast("long")
 
@@ -367,7 +369,7 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "kind": [0], "keys": [pdf["key"].to_numpy("<i8").tobytes()], "times": [pdf["n"].to_numpy("<i8").tobytes()]})
 
     least = frequent[-1][2] if len(frequent) == FREQUENT else None
-    rare = counts.filter("false") if least is None else counts.filter(F.col("n") <= least)
+    rare = words.filter("false") if least is None else words.filter(F.col("n") <= least)
     arrays = rare.withColumn("shard", of_key).groupBy("shard").applyInPandas(shard, "shard long, kind int, keys binary, times binary")
     scored = docs.select(F.col(doc_id).cast("long").alias("__id"), body.alias("__t")).mapInArrow(_score(sent, shards), _PARTS)
     dealt = scored.unionByName(arrays, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "kind")

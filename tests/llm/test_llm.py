@@ -177,6 +177,16 @@ def test_lm(docs):
     assert lm.score_lm(docs.limit(0), train).count() == 0
 
 
+def test_lm_end_is_counted_beside_many_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    words = [f"w{i}" for i in range(50)]
+    df = spark.createDataFrame([(1, " ".join(words * 2)), (2, "w1 new")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_lm(df, F.col("doc_id") == 1).collect()}
+    assert [(got[i].n_tokens, got[i].n_known, got[i].train_tokens) for i in (1, 2)] == [(101, 101, 101), (3, 2, 101)]
+    assert got[1].base_score == pytest.approx(100 * math.log10(3 / 153) + math.log10(2 / 153))
+    assert got[2].base_score == pytest.approx(math.log10(3 / 153) + math.log10(1 / 153) + math.log10(2 / 153))
+
+
 def test_lm_is_a_distribution():
     vocab = lm.Vocabulary(100, 5, [(lm._END, -1, 10), *((i + 1, i % lm.CLASSES, 20 - i) for i in range(6))], np.full(lm.CLASSES, 60.0))
     net = lm.LogBilinear(vocab.unigram)
