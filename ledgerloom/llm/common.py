@@ -31,15 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the reread table.
 
     Cuts the lineage: what follows reads committed files, so an executor that is
-    lost later costs no recomputation, and every reader sees the same rows.
+    lost later costs no recomputation, and every reader sees the same rows. ``by``: a column with a folder for each value.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append(path)

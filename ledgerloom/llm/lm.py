@@ -1,21 +1,26 @@
 """A log-bilinear language model trained in numpy with noise-contrastive estimation.
 
-Symbols are the most frequent words, the text's end, and classes of all other
-words (by their last two bytes, so that a class tells of language and form).
+Symbols are all words that occur at least COMMON times (the WORDS most frequent ones in
+any case), the text's end, and classes of all rarer words (by their last two bytes,
+so that a class tells of language and form). So their number grows with the corpus.
 The two symbols before a word predict its symbol: each has a context vector,
-their sum times the word's vector plus its bias is the score. A word that
-stands for itself has its symbol's probability; any other word has its class's
-probability times its own share of the class, (c + 1) over the class's sum, so
-that the model is a distribution over all words and one unseen word per class.
-
-Counts come from all training rows. Every partition trains on its own training
-rows, from the same start (the unigram model); the weighted mean of all
-partitions' parameters is the model. Its normalisers, one per pair of context
-symbols, are made once by batched matrix products.
+their sum times the word's vector plus its bias is the score. The softmax is
+factored: the most frequent symbols and groups of the others first, then the
+symbols of a group. A word that stands for itself has its symbol's probability;
+any other word has its class's probability times its own share of the class,
+(c + 1) over the class's sum, so that the model is a distribution over all words and
+one unseen word per class.
+
+Counts come from all training rows. Training rows are dealt by a hash of id and text to
+chunks of about CHUNK tokens. A round trains on ROUND chunks, each from the same start,
+and takes the mean of each vector over the chunks that changed it; the next round
+starts there. So all rows are trained on once, in an order that neither files nor partitions
+change, and there are more rounds the more tokens there are.
 """
 
 from __future__ import annotations
 
+import copy
 import uuid
 import zlib
 from collections import Counter
@@ -24,19 +29,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_class, materialize, sliced, table
 
-#: Words that are symbols of their own, classes of the others, numbers in a vector.
+#: Words that are symbols of their own at least, classes of the others, numbers in a vector.
 WORDS, CLASSES, SIZE = 447, 64, 24
+#: Occurrences that make any word a symbol of its own.
+COMMON = 200
+#: Symbols that the first softmax tells apart; the others are in groups.
+HEAD = 128
+#: Tokens of a chunk, chunks of a round, rows of parameters that are averaged together.
+CHUNK, ROUND, BLOCK = 2_000_000, 16, 8192
 #: Words whose counts go to every task; the others' are looked up in shards.
 FREQUENT = 1 << 16
 SHARD_WORDS, SHARD_TOKENS = 250_000, 5_000_000
 _END = -1  # the end's key; words have others
-_S = 1 + WORDS + CLASSES
 
 
 def key_of(word: bytes) -> int:
@@ -66,91 +77,121 @@ def _count(batches):
 
 
 class LogBilinear:
-    """Parameters: context vectors of the last and the last but one symbol, word vectors, biases."""
+    """Parameters, one row each: context vectors of the last and of the last but one symbol, vectors and
+    biases of symbols, then of groups. Symbols beyond the HEAD most frequent lie in groups of
+    neighbours by frequency, about as many groups as symbols in a group."""
 
     def __init__(self, unigram: np.ndarray, seed: int = 11):
+        n = self.size = len(unigram)
+        order = np.argsort(-unigram, kind="stable")
+        head, self.tail = order[:HEAD], order[HEAD:]
+        k = int(np.ceil(np.sqrt(len(self.tail) / 2)))
+        self.starts = np.arange(k + 1) * len(self.tail) // max(1, k)  # groups are runs of the tail
+        group = np.repeat(np.arange(k), np.diff(self.starts))
+        self.place = np.empty(n, np.int64)  # a symbol's place in the tail, or -1
+        self.place[head], self.place[self.tail] = -1, np.arange(len(self.tail))
+        self.first = np.empty(n, np.int64)  # what stands for a symbol in the first softmax
+        self.first[head], self.first[self.tail] = np.arange(len(head)), len(head) + group
+        self.rows = np.concatenate([2 * n + head, 3 * n + np.arange(k)]), 2 * n + self.tail
+        rest = unigram[self.tail]
+        self.noise = np.concatenate([unigram[head], np.bincount(group, rest, k)]), rest / max(rest.sum(), 1e-300)
         rng = np.random.default_rng(seed)
-        draw = lambda: (rng.standard_normal((_S, SIZE)) * 0.05).astype(np.float32)
-        self.near, self.far, self.words = draw(), draw(), draw()
-        self.bias = np.log(unigram).astype(np.float32)
-        self.noise = unigram
+        self.params = np.zeros((3 * n + k, SIZE + 1), np.float32)
+        self.params[:, :SIZE] = rng.standard_normal((3 * n + k, SIZE)) * 0.05
+        for rows, p in zip(self.rows, self.noise, strict=True):
+            self.params[rows, SIZE] = np.log(p)
+        self.sums = np.full((3 * n + k, 2), 1e-5, np.float32)  # of squared gradients: vector, bias
+        self.times = np.zeros(3 * n + k, np.float32)  # how often a row was changed
 
     def train(self, w: np.ndarray, near: np.ndarray, far: np.ndarray, rng, noise: int = 64, batch: int = 4096, rate: float = 0.15) -> None:
-        """One pass over positions: symbols and the two before them. NCE with ``noise`` draws shared by a batch."""
-        shift = np.log(noise * self.noise).astype(np.float32)
-        if not hasattr(self, "sums"):
-            self.sums = [np.full(p.shape, 1e-3, np.float32) for p in (self.near, self.far, self.words, self.bias)]
-        cdf = np.cumsum(self.noise)
+        """One pass over positions: symbols and the two before them. NCE of both softmaxes with ``noise`` draws shared by a batch."""
+        levels = [(rows, np.log(noise * p).astype(np.float32), np.cumsum(p)) for rows, p in zip(self.rows, self.noise, strict=True)]
         order = rng.permutation(len(w))
         for at in range(0, len(w), batch):
             i = order[at : at + batch]
-            wi, ni, fi = w[i], near[i], far[i]
-            drawn = np.minimum(np.searchsorted(cdf, rng.random(noise) * cdf[-1]), _S - 1)
-            q = self.near[ni] + self.far[fi]
-            true = np.einsum("ij,ij->i", q, self.words[wi]) + self.bias[wi] - shift[wi]
-            other = q @ self.words[drawn].T + (self.bias[drawn] - shift[drawn])
-            up = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) / len(i)
-            down = (-1 / (1 + np.exp(np.clip(-other, -30, 30)))).astype(np.float32) / len(i)
-            dq = up[:, None] * self.words[wi] + down @ self.words[drawn]
-            dw = np.zeros_like(self.words)
-            np.add.at(dw, drawn, down.T @ q)
-            dw += self._sum(wi, up[:, None] * q)
-            db = np.bincount(wi, up, _S).astype(np.float32)
-            np.add.at(db, drawn, down.sum(0))
-            for p, g, s in zip((self.near, self.far, self.words, self.bias), (self._sum(ni, dq), self._sum(fi, dq), dw, db), self.sums, strict=True):
-                s += (g * 50) ** 2
-                p += rate * g * 50 / np.sqrt(s)
-
-    @staticmethod
-    def _sum(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+            wi, ni, fi = w[i], near[i], self.size + far[i]
+            q = self.params[ni, :SIZE] + self.params[fi, :SIZE]
+            dq = np.zeros((len(i), SIZE + 1), np.float32)
+            place = self.place[wi]
+            deep = np.flatnonzero(place >= 0)
+            changes = []
+            for (rows, shift, cdf), to, at_ in zip(levels, (self.first[wi], place[deep]), (slice(None), deep), strict=True):
+                if not len(to):
+                    continue
+                drawn = np.minimum(np.searchsorted(cdf, rng.random(noise) * cdf[-1]), len(rows) - 1)
+                own, qs, true, other = rows[to], q[at_], self.params[rows[to]], self.params[rows[drawn]]
+                score = np.einsum("ij,ij->i", qs, true[:, :SIZE]) + true[:, SIZE] - shift[to]
+                against = qs @ other[:, :SIZE].T + (other[:, SIZE] - shift[drawn])
+                up = 1 / (1 + np.exp(np.clip(score, -30, 30))) / len(i)
+                down = -1 / (1 + np.exp(np.clip(-against, -30, 30))) / len(i)
+                dq[at_, :SIZE] += up[:, None] * true[:, :SIZE] + down @ other[:, :SIZE]
+                changes += [(own, np.concatenate([up[:, None] * qs, up[:, None]], 1)), (rows[drawn], np.concatenate([down.T @ qs, down.sum(0)[:, None]], 1))]
+            self._change(*(np.concatenate(x) for x in zip((ni, dq), (fi, dq), *changes, strict=True)), rate)
+
+    def _change(self, rows: np.ndarray, values: np.ndarray, rate: float) -> None:
         order = np.argsort(rows, kind="stable")
-        rows, out = rows[order], np.zeros((_S, values.shape[1]), np.float32)
+        rows = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        out[rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
-        return out
-
-    def pack(self) -> bytes:
-        return np.concatenate([p.ravel() for p in (self.near, self.far, self.words, self.bias)]).astype(np.float64).tobytes()
-
-    def unpack(self, flat: np.ndarray) -> None:
-        k = _S * SIZE
-        self.near, self.far, self.words = (flat[i * k : (i + 1) * k].reshape(_S, SIZE).astype(np.float32) for i in range(3))
-        self.bias = flat[3 * k :].astype(np.float32)
+        rows, g = rows[starts], np.add.reduceat(values[order], starts, axis=0) * 50
+        self.times[rows] += 1
+        s = self.sums[rows] + np.stack([(g[:, :SIZE] ** 2).mean(1), g[:, SIZE] ** 2], 1)
+        self.sums[rows] = s
+        root = rate / np.sqrt(s)
+        g[:, :SIZE] *= root[:, :1]
+        g[:, SIZE] *= root[:, 1]
+        self.params[rows] += g
 
     def close(self) -> None:
-        """The tables that scoring reads: scores by last and last but one symbol, and normalisers."""
-        self.by_near = (self.near @ self.words.T + self.bias).astype(np.float64)
-        self.by_far = (self.far @ self.words.T).astype(np.float64)
-        self.norm = np.empty((_S, _S))
-        for far in range(_S):  # a batch: all last symbols after one last but one
-            z = self.by_near + self.by_far[far]
-            top = z.max(1)
-            self.norm[:, far] = top + np.log(np.exp(z - top[:, None]).sum(1))
+        """The tables that scoring reads."""
+        self.top, self.deep = (np.ascontiguousarray(self.params[rows, :SIZE].T) for rows in self.rows)
+        self.top_bias, self.deep_bias = (self.params[rows, SIZE] for rows in self.rows)
 
     def log10(self, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         """log10 of the probabilities of symbols after their contexts."""
-        return (self.by_near[near, w] + self.by_far[far, w] - self.norm[near, far]) / np.log(10)
+        pairs, back = np.unique(near * self.size + far, return_inverse=True)
+        q = self.params[pairs // self.size, :SIZE] + self.params[self.size + pairs % self.size, :SIZE]
+        norm = np.empty(len(pairs))
+        for a in range(0, len(pairs), 4096):
+            norm[a : a + 4096] = _log_sum(q[a : a + 4096] @ self.top + self.top_bias)
+        to = self.first[w]
+        own = self.params[self.rows[0]][to]
+        out = np.einsum("ij,ij->i", q[back], own[:, :SIZE]) + own[:, SIZE] - norm[back]
+        deep = np.flatnonzero(self.place[w] >= 0)
+        deep = deep[np.argsort(to[deep], kind="stable")]
+        place = self.place[w[deep]]
+        cuts = np.searchsorted(to[deep] - len(self.top_bias) + len(self.starts) - 1, np.arange(len(self.starts)))
+        for k in np.flatnonzero(np.diff(cuts)):
+            a, b = self.starts[k], self.starts[k + 1]
+            for i in range(cuts[k], cuts[k + 1], 4096):
+                j = slice(i, min(i + 4096, cuts[k + 1]))
+                z = q[back[deep[j]]] @ self.deep[:, a:b] + self.deep_bias[a:b]
+                out[deep[j]] += z[np.arange(len(z)), place[j] - a] - _log_sum(z)
+        return out / np.log(10)
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    top = z.max(1)
+    return top + np.log(np.exp(z - top[:, None]).sum(1, dtype=np.float64))
 
 
 class Vocabulary:
-    """What every task needs of the counts; its size is bounded by FREQUENT, WORDS and CLASSES."""
+    """What every task needs of the counts: FREQUENT words, or all with COMMON occurrences if they are more."""
 
     def __init__(self, tokens: int, distinct: int, frequent: list[tuple[int, int, int]], class_sums: np.ndarray, ends: int | None = None):
         self.id = uuid.uuid4().hex
         self.tokens, self.distinct = tokens, distinct
         words = [x for x in frequent if x[0] != _END]
         self.ends = next((n for k, _, n in frequent if k == _END), 0) if ends is None else ends
-        self.symbol = {k: 1 + i for i, (k, _, _) in enumerate(words[:WORDS])}
-        self.count = {k: n for k, _, n in words}
-        own = np.zeros(CLASSES)
-        for k, c, n in words[:WORDS]:
-            own[c] += n + 1
+        n = np.array([x[2] for x in words], np.int64)
+        m = self.words = max(WORDS, int((n >= COMMON).sum()))  # symbols 1 to m; where there are fewer words, some stand for none
+        self.rank = {x[0]: i for i, x in enumerate(words)}
+        self.counts = n
+        own = np.bincount([x[1] for x in words[:m]], n[:m] + 1, CLASSES)
         self.class_sums = class_sums - own + 1  # (c + 1) of the others, and the unseen word
-        seen = np.ones(_S)
+        seen = np.ones(1 + m + CLASSES)
         seen[0] += self.ends
-        for i, (_, _, n) in enumerate(words[:WORDS]):
-            seen[1 + i] += n
-        seen[1 + WORDS :] += self.class_sums
+        seen[1 : 1 + len(n[:m])] += n[:m]
+        seen[1 + m :] += self.class_sums
         self.unigram = seen / seen.sum()
 
 
@@ -167,8 +208,8 @@ class Memo(dict):
 
     def __missing__(self, word: bytes) -> int:
         k, n = key_of(word), len(self) + 1
-        s = self.vocab.symbol.get(k)
-        self.entries[:, n] = 1 + WORDS + class_of(word) if s is None else s, k, self.vocab.count.get(k, -1)
+        i, m = self.vocab.rank.get(k), self.vocab.words
+        self.entries[:, n] = 1 + i if i is not None and i < m else 1 + m + class_of(word), k, -1 if i is None else self.vocab.counts[i]
         self[word] = n
         return n
 
@@ -213,33 +254,118 @@ def _contexts(sym: np.ndarray, sizes: np.ndarray):
     return near, far
 
 
-def _train(sent):
+_CHUNK = "chunk long, of long, sym binary"
+_PIECE = "round long, chunk long, piece int, z binary"
+_CHANGES = "block long, chunk long, piece int, times binary, params binary, sums binary"
+
+
+def _coded(sent, chunks: int):
+    """Each training text's symbols, and the chunk that its hash deals it to."""
+
     def run(batches):
-        vocab, net, seen = sent.value, None, 0
-        rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            memo = _memo(vocab)
-            texts = batch.column(0)
+            memo, texts, of = _memo(sent.value), batch.column(0), batch.column(1).to_numpy()
             for a, b in sliced(_lengths(texts), 2 << 20):
                 sym, _, _, sizes = _symbols(texts.slice(a, b - a).to_pylist(), memo)
-                near, far = _contexts(sym, sizes)
-                net = net or LogBilinear(vocab.unigram)
-                net.train(sym, near, far, rng)
-                seen += len(sym)
-        if net is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.pack()], pa.binary())], names=["seen", "params"])
+                raw, ends = sym.astype("<i4").tobytes(), 4 * np.cumsum(sizes)
+                blobs = [raw[e - 4 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(of[a:b] % chunks), pa.array(of[a:b]), pa.array(blobs, pa.binary())], names=["chunk", "of", "sym"])
+
+    return run
+
+
+def _pieces(rounds: int):
+    """Of rows sorted by chunk and hash, a chunk's texts in one row (in several, if copies of one row make it longer)."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        chunk, piece, held, size = None, 0, [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([chunk % rounds], pa.int64()), pa.array([chunk], pa.int64()), pa.array([piece], pa.int32()), pa.array([press.compress(b"".join(held))], pa.binary())], names=["round", "chunk", "piece", "z"])
+
+        for batch in batches:
+            for c, sym in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if held and (c != chunk or size > 2 * CHUNK):
+                    yield row()
+                    piece, held, size = piece + 1 if c == chunk else 0, [], 0
+                chunk = c
+                held.append(sym)
+                size += len(sym) // 4
+        if held:
+            yield row()
+
+    return run
+
+
+def _train(sent):
+    """What each piece changes in the parameters, in blocks of rows."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, piece, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                start = sent.value
+                sym = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), "<i4").astype(np.int64)
+                near, far = _contexts(sym, np.diff(np.flatnonzero(sym == 0), prepend=-1))
+                net = copy.copy(start)
+                net.params, net.sums, net.times = start.params.copy(), start.sums.copy(), np.zeros_like(start.times)
+                rng = np.random.default_rng([chunk, piece])
+                for a in range(0, len(sym), CHUNK // 4):
+                    part = slice(a, a + CHUNK // 4)
+                    net.train(sym[part], near[part], far[part], rng)
+                for block, a in enumerate(range(0, len(net.times), BLOCK)):
+                    part = slice(a, a + BLOCK)
+                    hit = net.times[part] > 0
+                    if hit.any():
+                        more = [net.times[part].astype("<f4"), (net.params[part] - start.params[part])[hit].astype("<f2"), (net.sums[part] - start.sums[part])[hit].astype("<f4")]
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([chunk], pa.int64()), pa.array([piece], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in more)], names=[f.split()[0] for f in _CHANGES.split(", ")])
 
     return run
 
 
 def _mean(batches):
-    total, weight = None, 0
+    """Of changes sorted by block, chunk and piece: each block's means over the pieces that changed a row, by how often they did."""
+    block, total = None, None
+
+    def row():
+        times, params, sums = total
+        hit = times > 0
+        more = [times, (params[hit] / times[hit, None]), (sums[hit] / times[hit, None])]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in more)], names=["block", "times", "params", "sums"])
+
     for batch in batches:
-        for n, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(p, np.float64) * n
-            total, weight = x if total is None else total + x, weight + n
-    if weight:
-        yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([(total / weight).tobytes()], pa.binary())], names=["seen", "params"])
+        for b, t, p, s in zip(*(batch.column(n).to_pylist() for n in ("block", "times", "params", "sums")), strict=True):
+            times = np.frombuffer(t, "<f4").astype(np.float64)
+            if b != block:
+                if block is not None:
+                    yield row()
+                block, total = b, [np.zeros((len(times), *k)) for k in ((), (SIZE + 1,), (2,))]
+            hit = times > 0
+            total[0] += times
+            total[1][hit] += np.frombuffer(p, "<f2").reshape(-1, SIZE + 1) * times[hit, None]
+            total[2][hit] += np.frombuffer(s, "<f4").reshape(-1, 2) * times[hit, None]
+    if block is not None:
+        yield row()
+
+
+def fit_lm(learn: DataFrame, vocab: Vocabulary) -> LogBilinear:
+    """The model of texts and hashes (__t, __of): rounds of training and averaging over all of them."""
+    context = learn.sparkSession.sparkContext
+    net = LogBilinear(vocab.unigram)
+    chunks = max(1, -(-vocab.tokens // CHUNK))
+    rounds = -(-chunks // ROUND)
+    coded = learn.mapInArrow(_coded(context.broadcast(vocab), chunks), _CHUNK)
+    pieces = materialize(coded.repartition("chunk").sortWithinPartitions("chunk", "of").mapInArrow(_pieces(rounds), _PIECE), "lm-pieces", by="round")
+    for k in range(rounds):
+        sent = context.broadcast(net)
+        changes = pieces.filter(F.col("round") == k).select("chunk", "piece", "z").mapInArrow(_train(sent), _CHANGES)
+        means = changes.repartition("block").sortWithinPartitions("block", "chunk", "piece").mapInArrow(_mean, "block long, times binary, params binary, sums binary")
+        for r in means.collect():  # no more than the parameters
+            rows = r["block"] * BLOCK + np.flatnonzero(np.frombuffer(r["times"], "<f4"))
+            net.params[rows] += np.frombuffer(r["params"], "<f4").reshape(-1, SIZE + 1)
+            net.sums[rows] += np.frombuffer(r["sums"], "<f4").reshape(-1, 2)
+        sent.unpersist()
+    return net
 
 
 _PARTS = "shard long, kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, rows binary, keys binary, times binary"
@@ -263,8 +389,8 @@ def _score(sent, shards: int):
                 score = net.log10(sym, near, far)
                 known = counts > 0
                 base = np.where(known, np.log10(np.maximum(counts, 0) + 1.0), 0.0) - floor
-                rest = sym >= 1 + WORDS  # words that share a class
-                score[rest] += np.where(known[rest], np.log10(np.maximum(counts[rest], 0) + 1.0), 0.0) - sums[sym[rest] - 1 - WORDS]
+                rest = sym > vocab.words  # words that share a class
+                score[rest] += np.where(known[rest], np.log10(np.maximum(counts[rest], 0) + 1.0), 0.0) - sums[sym[rest] - 1 - vocab.words]
                 row = np.repeat(np.arange(b - a), sizes)
                 n = b - a
                 add = lambda v: np.bincount(row, v, n)
@@ -333,27 +459,19 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
     """
     spark = docs.sparkSession
     body = F.col(text).cast("string")
-    learn = docs.filter(train).select(body.alias("__t"))
-    counts = learn.mapInArrow(_count, "key long, cls int, n long").groupBy("key").agg(F.first("cls").alias("cls"), F.sum("n").alias("n"))
+    learn = docs.filter(train).select(body.alias("__t"), F.xxhash64(F.col(doc_id).cast("long"), body).alias("__of"))
+    counts = learn.select("__t").mapInArrow(_count, "key long, cls int, n long").groupBy("key").agg(F.first("cls").alias("cls"), F.sum("n").alias("n"))
     counts = materialize(counts, "word-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.filter(F.col("key") == _END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.filter(F.col("key") != _END)
-    frequent = [tuple(r) for r in words.orderBy(F.desc("n"), "key").select("key", "cls", "n").limit(FREQUENT).collect()]
+    sent_words = max(FREQUENT, words.filter(F.col("n") >= COMMON).count())
+    frequent = [tuple(r) for r in words.orderBy(F.desc("n"), "key").select("key", "cls", "n").limit(sent_words).collect()]
     class_sums = np.zeros(CLASSES)
     for c, n in counts.filter("cls >= 0").groupBy("cls").agg(F.sum(F.col("n") + 1)).collect():
         class_sums[c] = n
     vocab = Vocabulary(tokens, distinct, frequent, class_sums, ends)
-    means = learn.mapInArrow(_train(spark.sparkContext.broadcast(vocab)), "seen long, params binary")
-    means = materialize(means, "lm-parts")
-    parts = means.count()
-    while parts > 32:
-        parts = -(-parts // 16)
-        means = materialize(means.repartition(parts).mapInArrow(_mean, "seen long, params binary"), "lm-parts")
-    net = LogBilinear(vocab.unigram)
-    held = means.collect()  # 32 at most
-    if held:
-        net.unpack(sum(np.frombuffer(r["params"], np.float64) * r["seen"] for r in held) / sum(r["seen"] for r in held))
+    net = fit_lm(learn, vocab)
     net.close()
     sent = spark.sparkContext.broadcast((vocab, net))
 
@@ -368,7 +486,7 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
         pdf = pdf.sort_values("key")
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "kind": [0], "keys": [pdf["key"].to_numpy("<i8").tobytes()], "times": [pdf["n"].to_numpy("<i8").tobytes()]})
 
-    least = frequent[-1][2] if len(frequent) == FREQUENT else None
+    least = frequent[-1][2] if len(frequent) == sent_words else None
     rare = words.filter("false") if least is None else words.filter(F.col("n") <= least)
     arrays = rare.withColumn("shard", of_key).groupBy("shard").applyInPandas(shard, "shard long, kind int, keys binary, times binary")
     scored = docs.select(F.col(doc_id).cast("long").alias("__id"), body.alias("__t")).mapInArrow(_score(sent, shards), _PARTS)

@@ -187,6 +187,22 @@ def test_lm_end_is_counted_beside_many_frequent_words(spark, monkeypatch):
     assert got[2].base_score == pytest.approx(math.log10(3 / 153) + math.log10(1 / 153) + math.log10(2 / 153))
 
 
+def test_lm_learns_of_all_common_words_whatever_the_partitions(spark, monkeypatch):
+    """Pairs beyond the WORDS most frequent words, all in one class."""
+    monkeypatch.setattr(lm, "COMMON", 100, raising=False)
+    monkeypatch.setattr(lm, "CHUNK", 20_000, raising=False)
+    monkeypatch.setattr(lm, "ROUND", 2, raising=False)
+    rnd, n = random.Random(3), 30
+    bag = [[f"f{i}"] for i in range(lm.WORDS) for _ in range(130)] + [[f"a{i}xx", f"b{i}xx"] for i in range(n) for _ in range(120)]
+    rnd.shuffle(bag)
+    rows = [(i, " ".join(w for x in bag[a : a + 50] for w in x)) for i, a in enumerate(range(0, len(bag), 50))]
+    rows += [(-1 - i, f"a{i}xx b{i}xx") for i in range(n)] + [(-101 - i, f"a{i}xx b{(i + 1) % n}xx") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in lm.score_lm(df.repartition(k), F.col("doc_id") >= 0).collect()} for k in (1, 7))
+    assert one == pytest.approx(many, abs=1e-9)
+    assert sum(one[-1 - i] - one[-101 - i] for i in range(n)) / n > 0.2
+
+
 def test_lm_is_a_distribution():
     vocab = lm.Vocabulary(100, 5, [(lm._END, -1, 10), *((i + 1, i % lm.CLASSES, 20 - i) for i in range(6))], np.full(lm.CLASSES, 60.0))
     net = lm.LogBilinear(vocab.unigram)
