@@ -30,7 +30,7 @@ from .common import materialize, sliced, table
 from .graph import components
 from .hashing import mix, shingles
 
-_SETS = "id long, n long, set_hash long"
+_SETS = "id long, same long, n long, set_hash long"
 _SIGNED = "key long, set_hash long, n long"
 #: Elements in a tile of a family.
 TILE = 1_000_000
@@ -131,7 +131,7 @@ def _sets(words: int):
         for batch in batches:
             for part in _slices(batch, 1):
                 _, _, n, whole = _of_slice(part.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(whole)], names=["id", "n", "set_hash"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(whole)], names=["id", "same", "n", "set_hash"])
 
     return run
 
@@ -298,6 +298,8 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
     any other as component_id. Other columns are passed over, an empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("__t"))
+    # rows without an id are told by their text: one row of each text holds its set
+    own = own.withColumn("same", F.when(F.col("id").isNull(), F.xxhash64("__t")))
     sets = materialize(own.mapInArrow(_sets(words), _SETS), "shingle-sets")
     signed = own.select("__t").mapInArrow(_signed(words, percent), _SIGNED)
     dealt = signed.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", "set_hash")
@@ -305,8 +307,10 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
 
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     needed = groups.select("set_hash").distinct()
-    holders = sets.groupBy("set_hash").agg(F.min("id").alias("id")).join(needed, "set_hash", "left_semi")
-    bodies = own.join(holders.select("id"), "id", "left_semi").select("__t").mapInArrow(_arrays(words), "set_hash long, elements binary")
+    holders = sets.groupBy("set_hash").agg(F.min("id").alias("id"), F.min("same").alias("same")).join(needed, "set_hash", "left_semi")
+    named = own.join(holders.select("id"), "id", "left_semi").select("__t")
+    nameless = own.filter(F.col("id").isNull()).select("same", "__t").distinct().join(holders.filter(F.col("id").isNull()).select("same"), "same", "left_semi").select("__t")
+    bodies = named.unionByName(nameless).mapInArrow(_arrays(words), "set_hash long, elements binary")
     elements = materialize(bodies.dropDuplicates(["set_hash"]), "elements")
 
     def links(pairs: DataFrame) -> DataFrame:

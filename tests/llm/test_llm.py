@@ -122,6 +122,19 @@ def test_jaccard(docs, k, percent):
     assert jaccard.similar_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_links_through_rows_without_an_id(spark):
+    """1 and 2 are not similar, but both are to the row between them, which has no id; so are two rows without an id and 3."""
+    a, b = [f"a{i}" for i in range(203)], [f"b{i}" for i in range(203)]
+    middle, far = a[:180] + ["x"] * 4 + a[184:], a[:180] + ["x"] * 4 + a[184:190] + ["y"] * 4 + a[194:]
+    rows = [(1, a), (None, middle), (None, middle), (2, far), (None, b), (None, b[3:]), (3, b[6:]), (None, ["alone"] * 9)]
+    sets = [shingle_set(" ".join(t), 4) for _, t in rows]
+    alike = lambda x, y: 100 * len(x & y) >= 90 * len(x | y)
+    assert not alike(sets[0], sets[3]) and alike(sets[0], sets[1]) and alike(sets[1], sets[3])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(df, 4, 90).collect())
+    assert got == Counter((i, len(s), c) for (i, _), s, c in zip(rows, sets, (1, 1, 1, 1, 3, 3, 3, None), strict=True))
+
+
 def test_signatures_meet():
     """Any two sets within the threshold share a key on which the larger one probes."""
     rng = np.random.default_rng(1)
