@@ -2,8 +2,8 @@
 
 documents -> quality -> line dedup -> near duplicates -> repeated strings -> packing.
 Every stage works on all rows that the one before it kept. Null and empty texts
-count as empty; rows without an id pass the stages that compare documents; an empty
-table gives an empty table of the stage's columns; further columns are dropped.
+count as empty; rows without an id are never removed as near duplicates, and each is a
+document of its own where repeated strings are cut; an empty table gives an empty table of the stage's columns; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ledgerloom.llm.jaccard import similar_components
 from ledgerloom.llm.lines import drop_common_lines
 from ledgerloom.llm.packing import packed_documents
 from ledgerloom.llm.quality import fit_quality, score_quality
-from ledgerloom.llm.substrings import remove_repeats
+from ledgerloom.llm.substrings import remove_repeats, with_keys
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -46,8 +46,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier go."""
-    kept = remove_repeats(docs, 100, characters=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
-    full = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    keyed, _ = with_keys(docs.select(*COLUMNS), "__key")
+    kept = remove_repeats(keyed, 100, doc_id="__key", characters=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
+    full = keyed.join(kept, F.col("__key") == F.col("__id"), "left")
     return _with_text(full.withColumn("__text", F.coalesce("__kept", "text")), "__text")
 
 

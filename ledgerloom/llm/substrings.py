@@ -279,20 +279,43 @@ def _cut(length: int, characters: bool):
     return run
 
 
+def with_keys(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
+    """``docs`` with the column ``key``: the id, and for each row without one a number of its own
+    below all ids, in the order of the texts' hashes; and the first number above those.
+
+    Rows without an id are numbered from -2^63 on; an id that lies among these numbers raises an error.
+    """
+    least, id_ = -(1 << 63), F.col(doc_id).cast("long")
+    nameless = docs.filter(id_.isNull())
+    if nameless.isEmpty():
+        return docs.withColumn(key, id_), least
+    # equal texts are spread over tasks by the random number, which of them is first makes no difference
+    sort = (F.xxhash64(F.col(text).cast("string")), F.rand(7))
+    nameless = materialize(nameless.orderBy(*sort).withColumn(key, F.monotonically_increasing_id()), "rows-without-id")
+    part, total, before = F.shiftright(key, 33), 0, []
+    for k, n in sorted(tuple(r) for r in nameless.groupBy(part).count().collect()):
+        before += [F.lit(k), F.lit(least + total)]
+        total += n
+    if (low := docs.agg(F.min(id_)).first()[0]) is not None and low < least + total:
+        raise ValueError(f"ids must not lie below {least + total}, where rows without an id are numbered")
+    own = F.create_map(*before)[part] + F.col(key).bitwiseAND(F.lit((1 << 33) - 1))
+    return docs.filter(id_.isNotNull()).withColumn(key, id_).unionByName(nameless.withColumn(key, own)), least + total
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", characters: bool = False) -> DataFrame:
     """doc_id, kept (bytes; with ``characters`` text, without what a cut leaves of a character), n_bytes, n_removed, n_spans, spans (byte ranges): each text as
     UTF-8 without the bytes covered by a string of ``length`` bytes that also starts
     earlier (smaller doc_id, or the same and an earlier start). Strings don't cross documents and
     are judged on the input; overlaps count.
 
-    Null and empty texts stay empty. A null id comes before all others. Ids are to be unique:
-    a row repeated in full is one document given twice, with the same result for both. Other
+    Null and empty texts stay empty. Rows without an id are documents of their own and come before all others,
+    in the order of their texts' hashes. Ids are to be unique: a row with an id repeated in full is one document given twice, with the same result for both. Other
     columns are passed over, an empty table gives no rows. ``length`` lies between 2 * Q and 30,000.
     """
     if not 2 * Q <= length <= 30_000:
         raise ValueError(f"length must lie between {2 * Q} and 30000")
-    least = -(1 << 63)
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("id"), F.col(text).cast("string").alias("__t"))
+    own, first = with_keys(docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).cast("string").alias("__t")), "id", "__t", "__doc")
+    own = own.select("id", "__t")
     sort = lambda rows: rows.repartition("g").sortWithinPartitions("g", "c", "id", "at").mapInArrow(_refine, _MARKS)
     marks = materialize(sort(own.mapInArrow(_anchor_rows(length), _ROWS)), "anchors")
     opened = marks.filter("open").groupBy("id").agg(F.collect_list(F.struct("at", "count")).alias("open"))
@@ -304,7 +327,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
     by_doc = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "count")).alias("marks"))
     full = pressed.join(by_doc, "id", "left")
     return full.select("id", "z", "marks").mapInArrow(_cut(length, characters), f"id long, kept {'string' if characters else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>").select(
-        F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "spans"
+        F.when(F.col("id") >= first, F.col("id")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "spans"
     )
 
 

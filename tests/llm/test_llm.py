@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -172,6 +173,22 @@ def test_substrings(docs, length):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_keep_their_own_texts(spark):
+    rnd = random.Random(8)
+    made = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    copy, part = made(300), made(150)
+    rows = [(None, copy), (None, copy), (None, made(40) + part + made(30)), (None, made(90) + part), (None, made(200)), (None, None), (3, made(20) + part), (-7, made(400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted((r.doc_id is not None, r.doc_id or 0, r.h, r.doc_id, r.text or "") for r in df.select("*", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("h")).fillna(0, ["h"]).collect())
+    want = Counter((order[i][3], n, gone, kept) for i, (n, gone, _, kept) in repeats([(i, x[4]) for i, x in enumerate(order)], 100).items())
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in substrings.remove_repeats(df, 100).collect()) == want
+    full = df.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    got = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.repeated_strings(spark, full, "").collect())
+    assert got == Counter((i, kept.decode()) for (i, _, _, kept), n in want.items() for _ in range(n))
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(spark.createDataFrame([(None, "a"), (-(1 << 63), "b")], "doc_id long, text string"), 100)
+
+
 def test_lm(docs):
     rows = local(docs)
     train = F.col("doc_id") % 3 != 0
