@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import in_arrow, sliced, table
 
 # Character classes of Latin-1 under Unicode: letters, numbers, white space.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -397,7 +397,7 @@ def encode_bpe(df: DataFrame, vocabulary_path: str, text: str = "text", out: str
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns) if part.schema.field(i).name != "__text"], ids], names=[*[n for n in part.schema.names if n != "__text"], out])
 
     schema = ", ".join([*[f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields], f"`{out}` binary"])
-    return df.withColumn("__text", F.col(text).cast("string")).mapInArrow(run, schema)
+    return in_arrow(df.withColumn("__text", F.col(text).cast("string")), run, schema)
 
 
 def _lengths(texts) -> list:
@@ -426,7 +426,7 @@ def decode_bpe(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str =
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns)], texts], names=[*part.schema.names, out])
 
     schema = ", ".join([*[f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields], f"`{out}` string"])
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,11 @@ from pyspark.sql import functions as F
 BLANKS = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of text that array code works on at a time: its arrays take some fifty times as much.
+SLICE = 1 << 19
+#: Bytes that Spark sends to Python at a time.
+BATCH = 4 << 20
+
 _own_dir: list[str] = []
 _written: list[str] = []
 
@@ -39,7 +47,9 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    # row groups of 32 MB: a task holds one until it is written
+    write = df.write.option("parquet.block.size", 32 << 20)
+    (write.partitionBy(by) if by else write).parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append(path)
@@ -71,6 +81,33 @@ def sliced(texts, most_bytes: int = 4 << 20):
         yield start, len(texts)
 
 
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in bounded memory.
+
+    Batches to Python hold at most BATCH bytes (the session's limit is lowered to that, if it is higher). Workers
+    outlive their tasks, so what a task's arrays took is given back at its end.
+    """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(limit) or "").removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH:
+        conf.set(limit, str(BATCH))
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system (glibc keeps it otherwise)."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def crc_class(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, sliced, table
+from .common import BLANKS, in_arrow, materialize, sliced, table
 
 #: Distinct lines in a shard, and line occurrences that probe one copy of it.
 SHARD_LINES, PROBES = 200_000, 2_000_000
@@ -110,7 +110,7 @@ def _hashes(min_chars: int):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             texts = batch.column(2)
-            for a, b in sliced([range(n or 0) for n in pa.compute.binary_length(texts).to_pylist()], 16 << 20):
+            for a, b in sliced([range(n or 0) for n in pa.compute.binary_length(texts).to_pylist()], 2 << 20):
                 part, flat, starts = batch.slice(a, b - a), [], [0]
                 for text in part.column(2).to_pylist():
                     for line in (text or "").encode("utf-8", "replace").lower().split(b"\n"):
@@ -192,8 +192,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select(F.xxhash64(doc_id).alias("__id") if dict(docs.dtypes)[doc_id] != "bigint" else F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(body).alias("__th"), body.alias("__text"))
-    lines = materialize(keyed.mapInArrow(_hashes(min_chars), "__id long, __th long, hashes array<long>"), "line-hashes")
+    keyed = docs.select(F.xxhash64(doc_id).alias("__id") if dict(docs.dtypes)[doc_id] != "bigint" else F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(body).alias("__th"), body.alias("__t"))
+    lines = materialize(in_arrow(keyed, _hashes(min_chars), "__id long, __th long, hashes array<long>"), "line-hashes")
     counts = lines.select(F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null").groupBy("h").agg(F.count("*").alias("n"))
     total = lines.agg(F.sum(F.size("hashes"))).first()[0] or 0
     shards = max(16, -(-total // SHARD_LINES))
@@ -209,19 +209,17 @@ def drop_common_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     index = materialize(index, "line-index")
     # one number for each shard of up to SHARD_LINES lines, and only for the hot ones
     salts = {r[0]: -(-r[1] // PROBES) for r in index.filter(F.col("probes") > PROBES).select("shard", "probes").collect()}
-    copies = F.lit(1)
-    for s, n in salts.items():
-        copies = F.when(F.col("shard") == s, F.lit(n)).otherwise(copies)
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("sizes").alias("doc_ids"), F.col("bits").alias("text_hashes"), F.col("prints").alias("positions"), F.col("counts").alias("hashes"))
-    probes = lines.mapInArrow(_probes(shards, salts), _HEAD)
+    copies = F.greatest(F.lit(1), F.ceil(F.col("probes") / PROBES)).cast("long")
+    arrays = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("sizes").alias("doc_ids"), F.col("bits").alias("text_hashes"), F.col("prints").alias("positions"), F.col("counts").alias("hashes"))
+    probes = in_arrow(lines, _probes(shards, salts), _HEAD)
     dealt = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    drops = dealt.mapInArrow(_answer(min_docs), "__id long, __th long, drop array<int>")
+    drops = in_arrow(dealt, _answer(min_docs), "__id long, __th long, drop array<int>")
     drops = drops.groupBy("__id", "__th").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("__drop"))
     names = [f"`{c}`" for c in docs.columns if c.lower() not in {"n_lines", "n_dropped", out.lower()}]
-    full = docs.withColumns({"__id": F.xxhash64(doc_id) if dict(docs.dtypes)[doc_id] != "bigint" else F.coalesce(F.col(doc_id), F.lit(-(1 << 63))), "__th": F.xxhash64(body), "__text": body})
-    full = full.join(drops, ["__id", "__th"], "left").withColumn("__lines", F.split("__text", "\n", -1))
+    full = docs.withColumns({"__id": F.xxhash64(doc_id) if dict(docs.dtypes)[doc_id] != "bigint" else F.coalesce(F.col(doc_id), F.lit(-(1 << 63))), "__th": F.xxhash64(body)})
+    full = full.join(drops, ["__id", "__th"], "left").withColumn("__lines", F.split(body, "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    kept = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at("__lines", i + 1)), "\n"))
+    kept = F.when(F.col("__drop").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.element_at("__lines", i + 1)), "\n"))
     return full.select(*names, F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size(F.col("__drop")), F.lit(0)).cast("long").alias("n_dropped"), kept.alias(out))
 
 

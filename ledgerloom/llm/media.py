@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import in_arrow, materialize, sliced, table
 
 ROW = 192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -155,7 +155,7 @@ def parse_interleaved(pages: DataFrame, html: str = "html", keys: tuple[str, ...
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1, part.num_columns)), pa.array(items, kind)], names=[*part.schema.names[1:], "items"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:])
-    return own.mapInArrow(run, f"{fields}, items {_ITEMS}")
+    return in_arrow(own, run, f"{fields}, items {_ITEMS}")
 
 
 def _store(batches):
@@ -179,7 +179,7 @@ def store_texts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("d
     """
     own = docs.select(F.col(text).cast("string").alias("__text"), *keys)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:])
-    return materialize(own.mapInArrow(_store, f"{fields}, html string, digest string, media binary"), "media")
+    return materialize(in_arrow(own, _store, f"{fields}, html string, digest string, media binary"), "media")
 
 
 def _read(batches):
@@ -197,7 +197,7 @@ def _read(batches):
 
 def media_features(media: DataFrame) -> DataFrame:
     """One row per digest: what reading the stored bytes back gives. Copies of a medium are read where they lie, only their results meet."""
-    read = media.select("digest", "media").filter("media is not null").mapInArrow(_read, _FEATURES)
+    read = in_arrow(media.select("digest", "media").filter("media is not null"), _read, _FEATURES)
     names = [f.split()[0] for f in _FEATURES.split(", ")][1:]
     return read.groupBy("digest").agg(F.first(F.struct(*names)).alias("f")).select("digest", "f.*")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary
-from .common import materialize, sliced, table
+from .common import in_arrow, materialize, sliced, table
 
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
@@ -121,7 +121,7 @@ def pack_best_fit(items: DataFrame, item: str = "item", length: str = "length",
     bins = bins.filter(F.col("fill") < capacity)
     parts = bins.rdd.getNumPartitions()
     while True:
-        packed = materialize(bins.mapInArrow(_round(level, capacity), _BINS), f"packing-{level}")
+        packed = materialize(in_arrow(bins, _round(level, capacity), _BINS), f"packing-{level}")
         left = packed.filter(F.col("fill") < capacity - near)
         n = left.count()
         least = -(-n // TASK_ITEMS)
@@ -166,7 +166,7 @@ def tokenize(df: DataFrame, vocabulary_path: str, text: str, keys: tuple[str, ..
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1, part.num_columns)), pa.array(ids, pa.binary())], names=[*part.schema.names[1:], "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:])
-    return own.mapInArrow(run, f"{fields}, ids binary")
+    return in_arrow(own, run, f"{fields}, ids binary")
 
 
 def cut(df: DataFrame, ids: str = "ids", capacity: int = 1024) -> DataFrame:

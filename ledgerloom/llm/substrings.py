@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import SLICE, in_arrow, materialize, sliced, table
 from .hashing import mix, prefixes, spans
 
 #: Bytes of the initial buckets' q-grams.
@@ -119,7 +119,7 @@ def _leaders(g, c, ids, at, count, bodies=None):
     return pa.RecordBatch.from_arrays([view(g), view(c), pa.array(ids[lead]), pa.array(at[lead]), pa.array(count[lead].astype(np.int32)), pa.array(followers, pa.binary()), pa.array(body, pa.binary())], names=["g", "c", "id", "at", "count", "followers", "body"])
 
 
-def _slices(batch, size: int = 2 << 20):
+def _slices(batch, size: int = SLICE):
     lengths = pa.compute.binary_length(batch.column(1)).to_pylist()
     for a, b in sliced([range(n or 0) for n in lengths], size):
         yield batch.slice(a, b - a)
@@ -141,7 +141,7 @@ def _pressed(batches):
     """Texts compressed for the shuffle."""
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        for part in _slices(batch, 8 << 20):
+        for part in _slices(batch, 4 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([press.compress((t or "").encode("utf-8", "replace")) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "z"])
 
 
@@ -154,7 +154,7 @@ def _slot_rows(length: int):
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, 1 << 20):
+            for part in _slices(batch):
                 s = Slice(_texts(part.column(1)))
                 n = pa.compute.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
                 flat = part.column(2).flatten()
@@ -258,7 +258,7 @@ def covered(size: int, marks: np.ndarray, length: int) -> np.ndarray:
 def _cut(length: int, characters: bool):
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, 2 << 20):
+            for part in _slices(batch):
                 kept, sizes, removed, runs, where = [], [], [], [], []
                 n = pa.compute.list_value_length(part.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
                 flat = part.column(2).flatten()
@@ -279,14 +279,20 @@ def _cut(length: int, characters: bool):
     return run
 
 
-def with_keys(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
-    """``docs`` with the column ``key``: the id, and for each row without one a number of its own
-    below all ids, in the order of the texts' hashes; and the first number above those.
+def with_keys(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id", unique: bool = False) -> tuple[DataFrame, int]:
+    """``docs`` with the column ``key``: the id, and for each row without one (with ``unique`` also each
+    row of an id that several rows have) a number of its own below all ids, in the order of the texts' hashes;
+    and the first number above those.
 
-    Rows without an id are numbered from -2^63 on; an id that lies among these numbers raises an error.
+    Such rows are numbered from -2^63 on; an id that lies among these numbers raises an error.
     """
     least, id_ = -(1 << 63), F.col(doc_id).cast("long")
-    nameless = docs.filter(id_.isNull())
+    named, nameless = docs.filter(id_.isNotNull()), docs.filter(id_.isNull())
+    if unique:
+        repeated = named.groupBy(id_.alias("__again")).count().filter("count > 1").select("__again")
+        if not repeated.isEmpty():
+            again = named.join(repeated, id_ == F.col("__again"), "left_semi")
+            named, nameless = named.join(repeated, id_ == F.col("__again"), "left_anti"), nameless.unionByName(again)
     if nameless.isEmpty():
         return docs.withColumn(key, id_), least
     # equal texts are spread over tasks by the random number, which of them is first makes no difference
@@ -296,10 +302,10 @@ def with_keys(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_
     for k, n in sorted(tuple(r) for r in nameless.groupBy(part).count().collect()):
         before += [F.lit(k), F.lit(least + total)]
         total += n
-    if (low := docs.agg(F.min(id_)).first()[0]) is not None and low < least + total:
+    if (low := named.agg(F.min(id_)).first()[0]) is not None and low < least + total:
         raise ValueError(f"ids must not lie below {least + total}, where rows without an id are numbered")
     own = F.create_map(*before)[part] + F.col(key).bitwiseAND(F.lit((1 << 33) - 1))
-    return docs.filter(id_.isNotNull()).withColumn(key, id_).unionByName(nameless.withColumn(key, own)), least + total
+    return named.withColumn(key, id_).unionByName(nameless.withColumn(key, own)), least + total
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", characters: bool = False) -> DataFrame:
@@ -316,17 +322,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
         raise ValueError(f"length must lie between {2 * Q} and 30000")
     own, first = with_keys(docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).cast("string").alias("__t")), "id", "__t", "__doc")
     own = own.select("id", "__t")
-    sort = lambda rows: rows.repartition("g").sortWithinPartitions("g", "c", "id", "at").mapInArrow(_refine, _MARKS)
-    marks = materialize(sort(own.mapInArrow(_anchor_rows(length), _ROWS)), "anchors")
+    sort = lambda rows: in_arrow(rows.repartition("g").sortWithinPartitions("g", "c", "id", "at"), _refine, _MARKS)
+    marks = materialize(sort(in_arrow(own, _anchor_rows(length), _ROWS)), "anchors")
     opened = marks.filter("open").groupBy("id").agg(F.collect_list(F.struct("at", "count")).alias("open"))
-    pressed = own.mapInArrow(_pressed, "id long, z binary")
-    slots = sort(pressed.join(opened, "id").select("id", "z", "open").mapInArrow(_slot_rows(length), _ROWS))
-    strings = sort(slots.filter("open").select("id", "at", "count", "body").mapInArrow(_string_rows(length), _ROWS))
+    pressed = in_arrow(own, _pressed, "id long, z binary")
+    slots = sort(in_arrow(pressed.join(opened, "id").select("id", "z", "open"), _slot_rows(length), _ROWS))
+    strings = sort(in_arrow(slots.filter("open").select("id", "at", "count", "body"), _string_rows(length), _ROWS))
     closed = lambda m: m.filter("not open").select("id", "at", "count")
     repeats = closed(marks).unionByName(closed(slots)).unionByName(closed(strings))
     by_doc = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "count")).alias("marks"))
     full = pressed.join(by_doc, "id", "left")
-    return full.select("id", "z", "marks").mapInArrow(_cut(length, characters), f"id long, kept {'string' if characters else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>").select(
+    return in_arrow(full.select("id", "z", "marks"), _cut(length, characters), f"id long, kept {'string' if characters else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>").select(
         F.when(F.col("id") >= first, F.col("id")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "spans"
     )
 

@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import in_arrow, materialize, table
 
 #: Pivots at most, and rows of a block.
 PIVOTS, BLOCK = 256, 20_000
@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     m = int(min(PIVOTS, max(1, rows**0.5)))
     chosen = vecs.select("vec").orderBy(F.xxhash64("id"), "id").limit(m).toArrow()
     pivots = np.unique(_matrix(chosen.column(0).combine_chunks(), dim), axis=0)
-    cells = materialize(vecs.select("id", "vec").mapInArrow(_assign(pivots, dim), "id long, vec array<double>, cell int, dist double"), "cells")
+    cells = materialize(in_arrow(vecs.select("id", "vec"), _assign(pivots, dim), "id long, vec array<double>, cell int, dist double"), "cells")
     radius, blocks, nearest = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64), [np.zeros(0)] * len(pivots)
     for c, n, far in cells.groupBy("cell").agg(F.count("*"), F.max("dist")).collect():
         radius[c], blocks[c] = far, -(-n // BLOCK)
@@ -165,9 +165,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
         count = F.when(F.col("cell") == int(c), F.lit(int(blocks[c]))).otherwise(count)
     names = "cell int, block int, kind int, id long, vec array<double>"
     data = cells.select("cell", F.pmod(F.xxhash64("id"), count).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vec")
-    queries = vecs.filter("query").select("id", "vec").mapInArrow(_route(pivots, radius, nearest, blocks, k, dim), names)
+    queries = in_arrow(vecs.filter("query").select("id", "vec"), _route(pivots, radius, nearest, blocks, k, dim), names)
     dealt = data.unionByName(queries).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
-    found = dealt.mapInArrow(_solve(k, dim), "query_id long, vec_id long, score long")
+    found = in_arrow(dealt, _solve(k, dim), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
