@@ -12,10 +12,14 @@ the chance that strangers share it, so empty and small segments are left out.
 
 Sets that share a signature are candidates. Copies of a set are one vertex. In a
 group that shares a signature, each member is checked against the group's pivot
-(one check per member, with the pivot it shares most with). Groups that this leaves
-in several components are put together to families, whose components are checked
-against each other tile by tile. So large groups of near copies cost about one check per
-member, and no link between different components is lost.
+(one check per member, with the pivot it shares most with). In groups that this leaves
+in several components, sets of different components are compared by sketches: bit j of a
+sketch is the parity of the elements that fall on j, so two sketches differ in
+no more bits than their sets differ in elements, and pairs whose sketches differ in more bits than
+similar sets may are out for certain. What passes ties components together to families,
+whose components are checked against each other tile by tile. So large groups of near
+copies cost about one check per member, strangers that share a signature cost a few words
+of bits each, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -26,14 +30,16 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import SLICE, in_arrow, materialize, sliced, table
 from .graph import components
 from .hashing import mix, shingles
 
-_SETS = "id long, same long, n long, set_hash long"
+_SETS = "id long, same long, n long, set_hash long, sketch binary"
 _SIGNED = "key long, set_hash long, n long"
 #: Elements in a tile of a family.
 TILE = 1_000_000
+#: 64-bit words of a sketch, by the differences that similar sets of its size may have; rows of a tile of sketches.
+WORDS, ROWS = ((128, 8), (512, 32), (2048, 128), (1 << 62, 512)), 2048
 
 
 def bands(percent: int, most: int = 1 << 32) -> tuple[np.ndarray, np.ndarray]:
@@ -120,18 +126,123 @@ def _of_slice(texts, words: int):
     return owner, values, n, whole
 
 
+def allowed(n: np.ndarray, percent: int) -> np.ndarray:
+    """Elements that two similar sets of ``n`` elements together may differ in."""
+    return (100 - percent) * n // (100 + percent)
+
+
+def sketches(owner: np.ndarray, values: np.ndarray, n: np.ndarray, percent: int) -> list[bytes]:
+    """Each set's parities: as many bits as its size asks for, a power of two."""
+    words = np.select([allowed(2 * n, percent) <= most for most, _ in WORDS], [w for _, w in WORDS]).astype(np.int64)
+    first = np.cumsum(words) - words
+    place = 64 * first[owner] + (mix(values, 7) % (64 * words[owner]).astype(np.uint64)).astype(np.int64)
+    bits = (np.bincount(place, minlength=64 * int(words.sum())) & 1).astype(np.uint8)
+    raw = np.packbits(bits, bitorder="little").tobytes()
+    return [raw[8 * a : 8 * (a + w)] for a, w in zip(first.tolist(), words.tolist(), strict=True)]
+
+
+def _folded(blobs: list[bytes], words: int) -> np.ndarray:
+    """Sketches of ``words`` words and more as rows of ``words`` words: a longer one's parts are put one over another."""
+    out = np.empty((len(blobs), words), np.uint64)
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        parts = np.frombuffer(b"".join(blobs[i] for i in at), np.uint64).reshape(len(at), -1, words)
+        out[at] = np.bitwise_xor.reduce(parts, axis=1)
+    return out
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
+def _may_link(percent: int):
+    """Rows (a, b, n_a, n_b, sketch_a, sketch_b): the pairs that their sketches don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            most = allowed(batch.column(2).to_numpy() + batch.column(3).to_numpy(), percent)
+            least = np.array([min(len(p), len(q)) // 8 for p, q in zip(x, y, strict=True)], np.int64)
+            ok = np.zeros(len(x), bool)
+            for w in np.unique(least).tolist():
+                at = np.flatnonzero(least == w)
+                ok[at] = _differ(_folded([x[i] for i in at], w), _folded([y[i] for i in at], w)) <= most[at]
+            yield batch.filter(pa.array(ok)).select(["a", "b"])
+
+    return run
+
+
+def _between(percent: int):
+    """Rows sorted by pair of tiles: (set_hash, n, comp, other) for each set and each other component that a sketch doesn't rule out.
+
+    Rows (pair, side, set_hash, n, comp, sketch): side 0 is compared with side 1, or with itself where the whole pair is one tile (side 2).
+    """
+
+    def solve(t):
+        pair, side = t.column(0).to_numpy(), t.column(1).to_numpy()
+        sets, n, comp = (t.column(i).to_numpy() for i in (2, 3, 4))
+        blobs = t.column(5).to_pylist()
+        start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        end = np.append(start[1:], len(pair))
+        words = np.minimum.reduceat(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8, start)
+        # a row is compared with those after it (one tile), or with those of the other side
+        group = np.repeat(np.arange(len(start)), end - start)
+        second = np.add.reduceat((side == 0).astype(np.int64), start) + start
+        row = np.arange(len(pair))
+        low = np.where(side == 2, row + 1, np.where(side == 0, second[group], end[group]))
+        count = end[group] - low
+        found = [np.zeros((0, 2), np.int64)]
+        for w in np.unique(words).tolist():
+            mine = np.flatnonzero(words[group] == w)
+            m = _folded([blobs[i] for i in mine], w)
+            at = np.full(len(pair), -1)
+            at[mine] = np.arange(len(mine))
+            step = max(1, (1 << 20) // w)
+            total = np.cumsum(count[mine])
+            for k in range(0, int(total[-1]), step):
+                number = np.arange(k, min(k + step, int(total[-1])))
+                of = np.searchsorted(total, number, side="right")
+                i = mine[of]
+                j = low[i] + number - (total[of] - count[i])
+                fit = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+                i, j = i[fit], j[fit]
+                near = _differ(m[at[i]], m[at[j]]) <= allowed(n[i] + n[j], percent)
+                i, j = i[near], j[near]
+                found.append(np.unique(np.concatenate([np.stack([i, comp[j]], 1), np.stack([j, comp[i]], 1)]), axis=0))
+        hits = np.unique(np.concatenate(found), axis=0)
+        own = hits[:, 0]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[own], n[own], comp[own], hits[:, 1])], names=["set_hash", "n", "comp", "other"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.concat_batches([held, batch]) if held is not None and held.num_rows else batch
+            pair = t.column(0).to_numpy()
+            cut = int(np.searchsorted(pair, pair[-1]))  # the last pair may go on
+            held = t.slice(cut)
+            if cut:
+                yield solve(t.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield solve(held)
+
+    return run
+
+
 def _slices(batch, column: int):
     lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
-    for a, b in sliced([range(x or 0) for x in lengths], 2 << 20):
+    for a, b in sliced([range(x or 0) for x in lengths], SLICE):
         yield batch.slice(a, b - a)
 
 
-def _sets(words: int):
+def _sets(words: int, percent: int):
     def run(batches):
         for batch in batches:
             for part in _slices(batch, 1):
-                _, _, n, whole = _of_slice(part.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(whole)], names=["id", "same", "n", "set_hash"])
+                owner, values, n, whole = _of_slice(part.column(1).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(whole), pa.array(sketches(owner, values, n, percent), pa.binary())], names=["id", "same", "n", "set_hash", "sketch"])
 
     return run
 
@@ -285,7 +396,7 @@ def _across(members: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     full = own.select("place", "set_hash", "comp").join(elements, "set_hash")
     lefts = full.join(pairs.select("place", "pair"), "place").select("pair", F.lit(0).alias("side"), "set_hash", "comp", "elements")
     rights = full.join(pairs.select(F.col("place2").alias("place"), "pair"), "place").select("pair", F.lit(1).alias("side"), "set_hash", "comp", "elements")
-    return lefts.unionByName(rights).repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_tiles(percent), "a long, b long")
+    return in_arrow(lefts.unionByName(rights).repartition("pair").sortWithinPartitions("pair", "side"), _tiles(percent), "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -300,40 +411,57 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("__t"))
     # rows without an id are told by their text: one row of each text holds its set
     own = own.withColumn("same", F.when(F.col("id").isNull(), F.xxhash64("__t")))
-    sets = materialize(own.mapInArrow(_sets(words), _SETS), "shingle-sets")
-    signed = own.select("__t").mapInArrow(_signed(words, percent), _SIGNED)
+    sets = materialize(in_arrow(own, _sets(words, percent), _SETS), "shingle-sets")
+    signed = in_arrow(own.select("__t"), _signed(words, percent), _SIGNED)
     dealt = signed.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", "set_hash")
-    groups = materialize(dealt.mapInArrow(_groups(percent), "key long, set_hash long, n long, pivot long, pivot_n long"), "shared-segments")
-
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    groups = materialize(in_arrow(dealt, _groups(percent), "key long, set_hash long, n long, pivot long, pivot_n long"), "shared-segments")
+    # what stands for a set: its sketch and one row that holds it
     needed = groups.select("set_hash").distinct()
-    holders = sets.groupBy("set_hash").agg(F.min("id").alias("id"), F.min("same").alias("same")).join(needed, "set_hash", "left_semi")
-    named = own.join(holders.select("id"), "id", "left_semi").select("__t")
-    nameless = own.filter(F.col("id").isNull()).select("same", "__t").distinct().join(holders.filter(F.col("id").isNull()).select("same"), "same", "left_semi").select("__t")
-    bodies = named.unionByName(nameless).mapInArrow(_arrays(words), "set_hash long, elements binary")
-    elements = materialize(bodies.dropDuplicates(["set_hash"]), "elements")
+    holders = materialize(sets.groupBy("set_hash").agg(F.min("id").alias("id"), F.min("same").alias("same"), F.min("sketch").alias("sketch")).join(needed, "set_hash", "left_semi"), "holders")
+
+    def elements(wanted: DataFrame) -> DataFrame:
+        """The elements of the sets in ``wanted`` (set_hash), from one row that holds each."""
+        of = holders.select("set_hash", "id", "same").join(wanted.distinct(), "set_hash", "left_semi")
+        named = own.join(of.select("id"), "id", "left_semi").select("__t")
+        nameless = own.filter(F.col("id").isNull()).select("same", "__t").distinct().join(of.filter(F.col("id").isNull()).select("same"), "same", "left_semi").select("__t")
+        bodies = in_arrow(named.unionByName(nameless), _arrays(words), "set_hash long, elements binary")
+        return materialize(bodies.dropDuplicates(["set_hash"]), "elements")
 
     def links(pairs: DataFrame) -> DataFrame:
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
+        bodies = elements(pairs.select(F.col("a").alias("set_hash")).unionByName(pairs.select(F.col("b").alias("set_hash"))))
+        # a pivot's pairs are dealt to as many tasks as their number asks for
+        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / ROWS).alias("salts"))
+        salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
         none = F.lit(None).cast("long")
-        heads = salted.select("a", "salt").distinct().join(elements.withColumnRenamed("set_hash", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), none.alias("b"), "elements")
-        tails = salted.join(elements.withColumnRenamed("set_hash", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "elements")
-        return heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(_verify(percent), "a long, b long")
+        heads = salted.select("a", "salt").distinct().join(bodies.withColumnRenamed("set_hash", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), none.alias("b"), "elements")
+        tails = salted.join(bodies.withColumnRenamed("set_hash", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "elements")
+        return in_arrow(heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind"), _verify(percent), "a long, b long")
 
     # each member with the pivot that it shares most segments with
-    shared = groups.filter((F.col("set_hash") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).groupBy("set_hash", "pivot").agg(F.count("*").alias("c"))
-    best = shared.groupBy("set_hash").agg(F.max(F.struct("c", "pivot")).alias("x"))
-    pairs = materialize(best.select(F.col("x.pivot").alias("a"), F.col("set_hash").alias("b")), "pairs")
+    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    shared = groups.filter((F.col("set_hash") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).groupBy("set_hash", "pivot", "n", "pivot_n").agg(F.count("*").alias("c"))
+    best = shared.groupBy("set_hash").agg(F.max(F.struct("c", "pivot", "n", "pivot_n")).alias("x"))
+    stars = best.select(F.col("x.pivot").alias("a"), F.col("set_hash").alias("b"), F.col("x.pivot_n").alias("n_a"), F.col("x.n").alias("n_b"))
+    sketch = lambda side: holders.select(F.col("set_hash").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    drawn = stars.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    pairs = materialize(in_arrow(drawn, _may_link(percent), "a long, b long"), "pairs")
     found = materialize(links(pairs), "links")
-    # groups that lie in several components still, and the families that they make up
+    # groups that lie in several components still, in tiles; what their sketches tie together makes families
     comps = components(found).withColumnRenamed("v", "set_hash")
-    member = groups.select("key", "set_hash", "n").join(comps, "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
-    shares = member.select("key", "comp").distinct()
-    open_ = shares.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    ties = materialize(shares.join(open_.select("key", "lo"), "key").filter("comp <> lo").select(F.col("comp").alias("a"), F.col("lo").alias("b")).distinct(), "open-groups")
-    family = components(ties).select(F.col("comp").alias("family"), F.col("v").alias("comp"))
-    members = materialize(member.groupBy("set_hash").agg(F.first("n").alias("n"), F.first("comp").alias("comp")).join(family, "comp"), "families")
-    found = found.unionByName(materialize(_across(members, elements, percent), "links"))
+    member = groups.select("key", "set_hash", "n").distinct().join(comps, "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
+    open_ = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / ROWS).alias("tiles")).filter("lo < hi").select("key", "tiles")
+    rows = member.join(open_, "key").join(holders.select("set_hash", "sketch"), "set_hash").withColumn("slot", F.pmod(F.xxhash64("set_hash"), F.col("tiles")))
+    # a tile meets all tiles of its group: as the left side those from it on, as the right side those before it
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    spread = rows.withColumn("with", other).select(
+        F.xxhash64("key", F.least("slot", "with"), F.greatest("slot", "with")).alias("pair"),
+        F.when(F.col("slot") == F.col("with"), 2).when(F.col("slot") < F.col("with"), 0).otherwise(1).alias("side"), "set_hash", "n", "comp", "sketch",
+    )
+    dealt = spread.repartition("pair").sortWithinPartitions("pair", "side")
+    tied = materialize(in_arrow(dealt, _between(percent), "set_hash long, n long, comp long, other long"), "tied")
+    family = components(tied.select(F.col("comp").alias("a"), F.col("other").alias("b"))).select(F.col("comp").alias("family"), F.col("v").alias("comp"))
+    members = materialize(tied.select("set_hash", "n", "comp").distinct().join(family, "comp"), "families")
+    found = found.unionByName(materialize(_across(members, elements(members.select("set_hash")), percent), "links"))
     comps = components(found)
     placed = sets.join(comps.withColumnRenamed("v", "set_hash"), "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
     least = placed.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
