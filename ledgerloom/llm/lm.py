@@ -1,8 +1,9 @@
 """A log-bilinear language model trained in numpy with noise-contrastive estimation.
 
-Symbols are all words that occur at least COMMON times (the WORDS most frequent ones in
+Symbols are all words that occur at least ``common(tokens)`` times (the WORDS most frequent ones in
 any case), the text's end, and classes of all rarer words (by their last two bytes,
-so that a class tells of language and form). So their number grows with the corpus.
+so that a class tells of language and form). The bound grows with the root of the corpus, so the
+number of symbols grows with the corpus too, about as fast as the root.
 The two symbols before a word predict its symbol: each has a context vector,
 their sum times the word's vector plus its bias is the score. The softmax is
 factored: the most frequent symbols and groups of the others first, then the
@@ -12,10 +13,10 @@ any other word has its class's probability times its own share of the class,
 one unseen word per class.
 
 Counts come from all training rows. Training rows are dealt by a hash of id and text to
-chunks of about CHUNK tokens. A round trains on ROUND chunks, each from the same start,
-and takes the mean of each vector over the chunks that changed it; the next round
-starts there. So all rows are trained on once, in an order that neither files nor partitions
-change, and there are more rounds the more tokens there are.
+chunks of about CHUNK tokens (more for a large vocabulary), and chunks to rounds, as many as the number of chunks has binary digits.
+A round trains on its chunks at the same time, each from the same start, and takes the mean of each vector over
+the chunks that changed it; the next round starts there. So all rows are trained on once, in an
+order that neither files nor partitions change, and more input means more and larger rounds.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import copy
 import uuid
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -34,22 +36,29 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_class, materialize, sliced, table
+from .common import crc_class, in_arrow, materialize, sliced, table
 
 #: Words that are symbols of their own at least, classes of the others, numbers in a vector.
-WORDS, CLASSES, SIZE = 447, 64, 24
-#: Occurrences that make any word a symbol of its own.
-COMMON = 200
+WORDS, CLASSES, SIZE = 447, 64, 16
+#: Occurrences that make any word a symbol of its own, in up to COMMON_OF tokens.
+COMMON, COMMON_OF = 200, 10_000_000
 #: Symbols that the first softmax tells apart; the others are in groups.
 HEAD = 128
-#: Tokens of a chunk, chunks of a round, rows of parameters that are averaged together.
-CHUNK, ROUND, BLOCK = 2_000_000, 16, 8192
+#: Tokens of a chunk at least, and for each symbol; rows of parameters that are averaged together.
+CHUNK, PER_SYMBOL, BLOCK = 4_000_000, 100, 8192
+#: Tokens of a chunk that are shuffled together; rows that are scored together.
+RUN, LINES = 500_000, 256
 #: Words whose counts go to every task; the others' are looked up in shards.
 FREQUENT = 1 << 16
 SHARD_WORDS, SHARD_TOKENS = 250_000, 5_000_000
 _END = -1  # the end's key; words have others
 
 
+def common(tokens: int) -> int:
+    """Occurrences that make any word a symbol of its own in a corpus of so many tokens."""
+    return int(COMMON * max(1.0, tokens / COMMON_OF) ** 0.5)
+
+
 def key_of(word: bytes) -> int:
     """A word's 64-bit key, as a signed number. Two words of a corpus share one with a chance below 1e-6 up to 10^6 words."""
     k = xxhash.xxh3_64_intdigest(word) - (1 << 63)
@@ -68,7 +77,7 @@ def _count(batches):
     """Counts of each batch's words and ends: key, class, n."""
     for batch in batches:
         texts = batch.column(0)
-        for a, b in sliced(_lengths(texts), 8 << 20):
+        for a, b in sliced(_lengths(texts), 2 << 20):
             seen: Counter = Counter()
             for t in texts.slice(a, b - a).to_pylist():
                 seen.update((t or "").encode("utf-8", "replace").lower().split())
@@ -103,7 +112,7 @@ class LogBilinear:
         self.sums = np.full((3 * n + k, 2), 1e-5, np.float32)  # of squared gradients: vector, bias
         self.times = np.zeros(3 * n + k, np.float32)  # how often a row was changed
 
-    def train(self, w: np.ndarray, near: np.ndarray, far: np.ndarray, rng, noise: int = 64, batch: int = 4096, rate: float = 0.15) -> None:
+    def train(self, w: np.ndarray, near: np.ndarray, far: np.ndarray, rng, noise: int = 32, batch: int = 4096, rate: float = 0.15) -> None:
         """One pass over positions: symbols and the two before them. NCE of both softmaxes with ``noise`` draws shared by a batch."""
         levels = [(rows, np.log(noise * p).astype(np.float32), np.cumsum(p)) for rows, p in zip(self.rows, self.noise, strict=True)]
         order = rng.permutation(len(w))
@@ -143,39 +152,47 @@ class LogBilinear:
 
     def close(self) -> None:
         """The tables that scoring reads."""
-        self.top, self.deep = (np.ascontiguousarray(self.params[rows, :SIZE].T) for rows in self.rows)
-        self.top_bias, self.deep_bias = (self.params[rows, SIZE] for rows in self.rows)
+        self.top, self.deep = (np.ascontiguousarray(self.params[rows, :SIZE].T.astype(np.float64)) for rows in self.rows)
+        self.top_bias, self.deep_bias = (self.params[rows, SIZE].astype(np.float64) for rows in self.rows)
 
     def log10(self, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         """log10 of the probabilities of symbols after their contexts."""
         pairs, back = np.unique(near * self.size + far, return_inverse=True)
-        q = self.params[pairs // self.size, :SIZE] + self.params[self.size + pairs % self.size, :SIZE]
+        q = (self.params[pairs // self.size, :SIZE] + self.params[self.size + pairs % self.size, :SIZE]).astype(np.float64)
         norm = np.empty(len(pairs))
-        for a in range(0, len(pairs), 4096):
-            norm[a : a + 4096] = _log_sum(q[a : a + 4096] @ self.top + self.top_bias)
+        for a in range(0, len(pairs), LINES):
+            norm[a : a + LINES] = _log_sum(q[a : a + LINES], self.top, self.top_bias)
         to = self.first[w]
-        own = self.params[self.rows[0]][to]
+        own = self.params[self.rows[0]].astype(np.float64)[to]
         out = np.einsum("ij,ij->i", q[back], own[:, :SIZE]) + own[:, SIZE] - norm[back]
         deep = np.flatnonzero(self.place[w] >= 0)
         deep = deep[np.argsort(to[deep], kind="stable")]
-        place = self.place[w[deep]]
+        mine = self.params[self.rows[1]].astype(np.float64)[self.place[w[deep]]]
+        out[deep] += np.einsum("ij,ij->i", q[back[deep]], mine[:, :SIZE]) + mine[:, SIZE]
         cuts = np.searchsorted(to[deep] - len(self.top_bias) + len(self.starts) - 1, np.arange(len(self.starts)))
         for k in np.flatnonzero(np.diff(cuts)):
             a, b = self.starts[k], self.starts[k + 1]
-            for i in range(cuts[k], cuts[k + 1], 4096):
-                j = slice(i, min(i + 4096, cuts[k + 1]))
-                z = q[back[deep[j]]] @ self.deep[:, a:b] + self.deep_bias[a:b]
-                out[deep[j]] += z[np.arange(len(z)), place[j] - a] - _log_sum(z)
+            for i in range(cuts[k], cuts[k + 1], LINES):
+                j = deep[i : min(i + LINES, cuts[k + 1])]
+                out[j] -= _log_sum(q[back[j]], self.deep[:, a:b], self.deep_bias[a:b])
         return out / np.log(10)
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
+def _log_sum(q: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row's scores. Products are made in double precision and blocks have
+    LINES rows always, so that a row's result doesn't hang on the rows beside it."""
+    block = np.zeros((LINES, SIZE))
+    block[: len(q)] = q
+    z = block @ table
+    z += bias
+    z = z.astype(np.float32)
     top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1, dtype=np.float64))
+    z -= top[:, None]
+    return (top + np.log(np.exp(z, out=z).sum(1, dtype=np.float64)))[: len(q)]
 
 
 class Vocabulary:
-    """What every task needs of the counts: FREQUENT words, or all with COMMON occurrences if they are more."""
+    """What every task needs of the counts: FREQUENT words, or all that are symbols if they are more."""
 
     def __init__(self, tokens: int, distinct: int, frequent: list[tuple[int, int, int]], class_sums: np.ndarray, ends: int | None = None):
         self.id = uuid.uuid4().hex
@@ -183,9 +200,9 @@ class Vocabulary:
         words = [x for x in frequent if x[0] != _END]
         self.ends = next((n for k, _, n in frequent if k == _END), 0) if ends is None else ends
         n = np.array([x[2] for x in words], np.int64)
-        m = self.words = max(WORDS, int((n >= COMMON).sum()))  # symbols 1 to m; where there are fewer words, some stand for none
+        m = self.words = max(WORDS, int((n >= common(tokens)).sum()))  # symbols 1 to m; where there are fewer words, some stand for none
         self.rank = {x[0]: i for i, x in enumerate(words)}
-        self.counts = n
+        self.counts, self.class_of_rank = n, np.array([x[1] for x in words], np.int64)
         own = np.bincount([x[1] for x in words[:m]], n[:m] + 1, CLASSES)
         self.class_sums = class_sums - own + 1  # (c + 1) of the others, and the unseen word
         seen = np.ones(1 + m + CLASSES)
@@ -196,23 +213,40 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """word -> number of its entry: symbol, key and count (-1 if it isn't a frequent word). Entry 0 is the end."""
+    """word -> number of its entry: key, and place among the frequent words (for a word that is none, -1 less its class). Entry 0 is the end."""
 
     most = 200_000
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
-        self.vocab = vocab
-        self.entries = np.zeros((3, self.most + 1), np.int64)
-        self.entries[:, 0] = 0, _END, vocab.ends
+        self.vocab, self.rank = vocab, vocab.rank
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.key, self.place = array("q", [_END]), array("q", [0])
 
     def __missing__(self, word: bytes) -> int:
-        k, n = key_of(word), len(self) + 1
-        i, m = self.vocab.rank.get(k), self.vocab.words
-        self.entries[:, n] = 1 + i if i is not None and i < m else 1 + m + class_of(word), k, -1 if i is None else self.vocab.counts[i]
-        self[word] = n
+        n = self[word] = len(self.key)
+        k = key_of(word)
+        self.key.append(k)
+        i = self.rank.get(k)
+        self.place.append(-1 - class_of(word) if i is None else i)
         return n
 
+    def entries(self, at: array) -> np.ndarray:
+        """Symbols, keys and counts (-1 of a word that isn't frequent)."""
+        v, at = self.vocab, np.frombuffer(at, np.int64)
+        keys, place = np.frombuffer(self.key, np.int64), np.frombuffer(self.place, np.int64)
+        often = place >= 0
+        of = v.class_of_rank[place[often]] if len(v.counts) else np.zeros(0, np.int64)
+        symbols, counts = v.words - place, np.full(len(place), -1)  # 1 + words + class
+        symbols[often] = np.where(place[often] < v.words, 1 + place[often], 1 + v.words + of)
+        if len(v.counts):
+            counts[often] = v.counts[place[often]]
+        symbols[0], counts[0] = 0, v.ends
+        return np.stack([symbols[at], keys[at], counts[at]])
+
 
 _memos: dict[str, Memo] = {}
 
@@ -227,18 +261,19 @@ def _memo(vocab: Vocabulary) -> Memo:
 
 def _symbols(texts, memo: Memo):
     """Symbols, keys and counts of all tokens with the ends, and each text's length in tokens."""
-    blocks, sizes = [np.zeros((3, 0), np.int64)], []
+    blocks, sizes, at = [np.zeros((3, 0), np.int64)], [], array("q")
     for t in texts:
         words = (t or "").encode("utf-8", "replace").lower().split()
-        for a in range(0, max(1, len(words)), memo.most // 2):
+        for a in range(0, len(words), memo.most // 2):
             run = words[a : a + memo.most // 2]
             if len(memo) + len(run) > memo.most:
-                memo.clear()
-            at = list(map(memo.__getitem__, run))
-            if a + memo.most // 2 >= len(words):
-                at.append(0)
-            blocks.append(memo.entries[:, at])
+                blocks.append(memo.entries(at))
+                memo.restart()
+                at = array("q")
+            at.extend(map(memo.__getitem__, run))
+        at.append(0)
         sizes.append(len(words) + 1)
+    blocks.append(memo.entries(at))
     sym, keys, counts = np.concatenate(blocks, axis=1)
     return sym, keys, counts, np.array(sizes, np.int64)
 
@@ -259,6 +294,11 @@ _PIECE = "round long, chunk long, piece int, z binary"
 _CHANGES = "block long, chunk long, piece int, times binary, params binary, sums binary"
 
 
+def _width(symbols: int) -> str:
+    """The narrowest type that holds all symbols."""
+    return "<u2" if symbols <= 1 << 16 else "<u4"
+
+
 def _coded(sent, chunks: int):
     """Each training text's symbols, and the chunk that its hash deals it to."""
 
@@ -267,14 +307,15 @@ def _coded(sent, chunks: int):
             memo, texts, of = _memo(sent.value), batch.column(0), batch.column(1).to_numpy()
             for a, b in sliced(_lengths(texts), 2 << 20):
                 sym, _, _, sizes = _symbols(texts.slice(a, b - a).to_pylist(), memo)
-                raw, ends = sym.astype("<i4").tobytes(), 4 * np.cumsum(sizes)
-                blobs = [raw[e - 4 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                kind = np.dtype(_width(len(memo.vocab.unigram)))
+                w, raw, ends = kind.itemsize, sym.astype(kind).tobytes(), np.cumsum(sizes)
+                blobs = [raw[w * (e - n) : w * e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(of[a:b] % chunks), pa.array(of[a:b]), pa.array(blobs, pa.binary())], names=["chunk", "of", "sym"])
 
     return run
 
 
-def _pieces(rounds: int):
+def _pieces(rounds: int, most: int):
     """Of rows sorted by chunk and hash, a chunk's texts in one row (in several, if copies of one row make it longer)."""
 
     def run(batches):
@@ -286,12 +327,12 @@ def _pieces(rounds: int):
 
         for batch in batches:
             for c, sym in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if held and (c != chunk or size > 2 * CHUNK):
+                if held and (c != chunk or size > most):
                     yield row()
                     piece, held, size = piece + 1 if c == chunk else 0, [], 0
                 chunk = c
                 held.append(sym)
-                size += len(sym) // 4
+                size += len(sym)
         if held:
             yield row()
 
@@ -305,13 +346,13 @@ def _train(sent):
         for batch in batches:
             for chunk, piece, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 start = sent.value
-                sym = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), "<i4").astype(np.int64)
+                sym = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), _width(start.size)).astype(np.int32)
                 near, far = _contexts(sym, np.diff(np.flatnonzero(sym == 0), prepend=-1))
                 net = copy.copy(start)
                 net.params, net.sums, net.times = start.params.copy(), start.sums.copy(), np.zeros_like(start.times)
                 rng = np.random.default_rng([chunk, piece])
-                for a in range(0, len(sym), CHUNK // 4):
-                    part = slice(a, a + CHUNK // 4)
+                for a in range(0, len(sym), RUN):
+                    part = slice(a, a + RUN)
                     net.train(sym[part], near[part], far[part], rng)
                 for block, a in enumerate(range(0, len(net.times), BLOCK)):
                     part = slice(a, a + BLOCK)
@@ -352,14 +393,15 @@ def fit_lm(learn: DataFrame, vocab: Vocabulary) -> LogBilinear:
     """The model of texts and hashes (__t, __of): rounds of training and averaging over all of them."""
     context = learn.sparkSession.sparkContext
     net = LogBilinear(vocab.unigram)
-    chunks = max(1, -(-vocab.tokens // CHUNK))
-    rounds = -(-chunks // ROUND)
-    coded = learn.mapInArrow(_coded(context.broadcast(vocab), chunks), _CHUNK)
-    pieces = materialize(coded.repartition("chunk").sortWithinPartitions("chunk", "of").mapInArrow(_pieces(rounds), _PIECE), "lm-pieces", by="round")
+    size = max(CHUNK, PER_SYMBOL * net.size)
+    chunks = max(1, -(-vocab.tokens // size))
+    rounds = chunks.bit_length()
+    coded = in_arrow(learn, _coded(context.broadcast(vocab), chunks), _CHUNK)
+    pieces = materialize(in_arrow(coded.repartition("chunk").sortWithinPartitions("chunk", "of"), _pieces(rounds, 2 * size * np.dtype(_width(net.size)).itemsize), _PIECE), "lm-pieces", by="round")
     for k in range(rounds):
         sent = context.broadcast(net)
-        changes = pieces.filter(F.col("round") == k).select("chunk", "piece", "z").mapInArrow(_train(sent), _CHANGES)
-        means = changes.repartition("block").sortWithinPartitions("block", "chunk", "piece").mapInArrow(_mean, "block long, times binary, params binary, sums binary")
+        changes = in_arrow(pieces.filter(F.col("round") == k).select("chunk", "piece", "z"), _train(sent), _CHANGES)
+        means = in_arrow(changes.repartition("block").sortWithinPartitions("block", "chunk", "piece"), _mean, "block long, times binary, params binary, sums binary")
         for r in means.collect():  # no more than the parameters
             rows = r["block"] * BLOCK + np.flatnonzero(np.frombuffer(r["times"], "<f4"))
             net.params[rows] += np.frombuffer(r["params"], "<f4").reshape(-1, SIZE + 1)
@@ -460,12 +502,12 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
     spark = docs.sparkSession
     body = F.col(text).cast("string")
     learn = docs.filter(train).select(body.alias("__t"), F.xxhash64(F.col(doc_id).cast("long"), body).alias("__of"))
-    counts = learn.select("__t").mapInArrow(_count, "key long, cls int, n long").groupBy("key").agg(F.first("cls").alias("cls"), F.sum("n").alias("n"))
+    counts = in_arrow(learn.select("__t"), _count, "key long, cls int, n long").groupBy("key").agg(F.first("cls").alias("cls"), F.sum("n").alias("n"))
     counts = materialize(counts, "word-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.filter(F.col("key") == _END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.filter(F.col("key") != _END)
-    sent_words = max(FREQUENT, words.filter(F.col("n") >= COMMON).count())
+    sent_words = max(FREQUENT, words.filter(F.col("n") >= common(tokens)).count())
     frequent = [tuple(r) for r in words.orderBy(F.desc("n"), "key").select("key", "cls", "n").limit(sent_words).collect()]
     class_sums = np.zeros(CLASSES)
     for c, n in counts.filter("cls >= 0").groupBy("cls").agg(F.sum(F.col("n") + 1)).collect():
@@ -489,9 +531,9 @@ def score_lm(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "
     least = frequent[-1][2] if len(frequent) == sent_words else None
     rare = words.filter("false") if least is None else words.filter(F.col("n") <= least)
     arrays = rare.withColumn("shard", of_key).groupBy("shard").applyInPandas(shard, "shard long, kind int, keys binary, times binary")
-    scored = docs.select(F.col(doc_id).cast("long").alias("__id"), body.alias("__t")).mapInArrow(_score(sent, shards), _PARTS)
+    scored = in_arrow(docs.select(F.col(doc_id).cast("long").alias("__id"), body.alias("__t")), _score(sent, shards), _PARTS)
     dealt = scored.unionByName(arrays, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "kind")
-    sums = dealt.mapInArrow(_answer, _SUMS)
+    sums = in_arrow(dealt, _answer, _SUMS)
     added = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return added.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

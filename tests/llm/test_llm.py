@@ -220,8 +220,8 @@ def test_lm_end_is_counted_beside_many_frequent_words(spark, monkeypatch):
 def test_lm_learns_of_all_common_words_whatever_the_partitions(spark, monkeypatch):
     """Pairs beyond the WORDS most frequent words, all in one class."""
     monkeypatch.setattr(lm, "COMMON", 100, raising=False)
-    monkeypatch.setattr(lm, "CHUNK", 20_000, raising=False)
-    monkeypatch.setattr(lm, "ROUND", 2, raising=False)
+    monkeypatch.setattr(lm, "CHUNK", 20_000)
+    monkeypatch.setattr(lm, "PER_SYMBOL", 1)
     rnd, n = random.Random(3), 30
     bag = [[f"f{i}"] for i in range(lm.WORDS) for _ in range(130)] + [[f"a{i}xx", f"b{i}xx"] for i in range(n) for _ in range(120)]
     rnd.shuffle(bag)
