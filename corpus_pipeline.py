@@ -1,9 +1,12 @@
 """A training-corpus pipeline of operators from ``ledgerloom.llm``.
 
 documents -> quality -> line dedup -> near duplicates -> repeated strings -> packing.
-Every stage works on all rows that the one before it kept. Null and empty texts
-count as empty; rows without an id are never removed as near duplicates, and each is a
-document of its own where repeated strings are cut; an empty table gives an empty table of the stage's columns; further columns are dropped.
+Every stage works on all rows that the one before it kept, and the rules are the same in each:
+every row is a document of its own, whether its id is null, repeated or unique; null and empty texts
+count as empty; equal texts get equal scores, so ties go or stay together, but of a group of near
+copies one row stays (that of the smallest id; rows whose id is null or repeated come before all
+others, in the order of their texts' hashes); an empty table gives an empty table of the
+stage's columns; further columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,15 +42,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group with similar five-word shingles stays."""
-    groups = similar_components(docs, words=5, percent=80)
-    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    keyed, _ = with_keys(docs.select(*COLUMNS), "__key", unique=True)
+    groups = similar_components(keyed, words=5, percent=80, doc_id="__key")
+    others = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__other"))
+    return keyed.join(others, F.col("__key") == F.col("__other"), "left_anti").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier go."""
-    keyed, _ = with_keys(docs.select(*COLUMNS), "__key")
-    kept = remove_repeats(keyed, 100, doc_id="__key", characters=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
+    keyed, _ = with_keys(docs.select(*COLUMNS), "__key", unique=True)
+    kept = remove_repeats(keyed, 100, doc_id="__key", characters=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
     full = keyed.join(kept, F.col("__key") == F.col("__id"), "left")
     return _with_text(full.withColumn("__text", F.coalesce("__kept", "text")), "__text")
 
