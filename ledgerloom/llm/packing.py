@@ -1,10 +1,11 @@
 """Best-fit packing by hierarchical residual rounds.
 
 Every partition packs its own items, longest first, each into the fullest bin
-that still takes it. Bins that are nearly full are done. The underfull bins
+that still takes it. Full bins are done. The underfull bins
 become the items of the next round, in an eighth of the partitions, and so on
-up a tree until one partition holds them all (or, where they are too many for
-one task, until a round no longer lowers their number).
+up a tree until one task packs them all. TASK_ITEMS bins meet in a task at a time; a round that
+spares less than SPARED of the bins it got ends the tree too, at every size, as another
+one would spare still less.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import in_arrow, materialize, sliced, table
 
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
-#: Partitions that meet in one at each level of the tree.
-FAN_IN = 8
+#: Partitions that meet in one at each level of the tree, and the least share of bins that a round must spare.
+FAN_IN, SPARED = 8, 0.001
 _BINS = "sequence_id long, fill long, members array<struct<item:long,offset:long>>"
 
 
@@ -100,12 +101,12 @@ def _round(level: int, capacity: int):
     return run
 
 
-def pack_best_fit(items: DataFrame, item: str = "item", length: str = "length", capacity: int = 1024, near: int = 4) -> DataFrame:
+def pack_best_fit(items: DataFrame, item: str = "item", length: str = "length", capacity: int = 1024, near: int = 0) -> DataFrame:
     """Place items into sequences of at most ``capacity``: item, sequence_id, offset.
 
     ``item`` is a unique long, ``length`` from 1 to ``capacity``; other lengths and
     nulls raise an error when the query runs. A sequence with at most ``near``
-    tokens of room is done; all others go on to the next round. Every item
+    tokens of room (none: only full ones) is done; all others go on to the next round. Every item
     gets one place; places in a sequence have no gaps from 0. Equal lengths go by
     item, an empty input gives no rows, other columns are passed over. Each round
     is written to the shared folder, so lost executors can't change a placement.
@@ -125,7 +126,7 @@ def pack_best_fit(items: DataFrame, item: str = "item", length: str = "length",
         left = packed.filter(F.col("fill") < capacity - near)
         n = left.count()
         least = -(-n // TASK_ITEMS)
-        if parts == 1 or not n or (parts <= least and before is not None and n > 0.999 * before):
+        if parts == 1 or not n or (before is not None and packed.count() > (1 - SPARED) * before):
             done.append(packed)
             break
         done.append(packed.filter(F.col("fill") >= capacity - near))

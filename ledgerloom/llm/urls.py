@@ -117,7 +117,9 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
         return with_all.withColumn("score", F.coalesce(total / F.size("__w"), F.lit(0.0))).drop("__c", "__r", "__w")
 
     # calibration: the threshold with the most balanced accuracy over the examples, in steps; the middle of the best
-    steps = scored(examples, "__u").select(F.floor(F.col("score") / _STEP).cast("long").alias("bin"), "yes").groupBy("bin").agg(F.sum(F.col("yes").cast("double")).alias("a"), F.sum((~F.col("yes")).cast("double")).alias("r"))
+    # a number of partitions that is given stays: few bytes take long to score
+    spread = examples.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__u")
+    steps = scored(spread, "__u").select(F.floor(F.col("score") / _STEP).cast("long").alias("bin"), "yes").groupBy("bin").agg(F.sum(F.col("yes").cast("double")).alias("a"), F.sum((~F.col("yes")).cast("double")).alias("r"))
     bins = steps.agg(F.array_sort(F.collect_list(F.struct("bin", "a", "r"))).alias("s"), F.sum("a").alias("ta"), F.sum("r").alias("tr"))
     total = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + e[f])
     gain = F.transform("s", lambda b: F.struct(
