@@ -173,8 +173,25 @@ def _may_link(percent: int):
     return run
 
 
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of the edges (a, b), sorted, and the least vertex that each is tied to."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return names, names[label]
+        label = new
+
+
 def _between(percent: int):
-    """Rows sorted by pair of tiles: (set_hash, n, comp, other) for each set and each other component that a sketch doesn't rule out.
+    """Rows sorted by pair of tiles: (set_hash, n, comp, root) for each set that sketches don't rule out as a partner of
+    another component's; the root is the least component that these pairs tie to its own, so ties are stars.
 
     Rows (pair, side, set_hash, n, comp, sketch): side 0 is compared with side 1, or with itself where the whole pair is one tile (side 2).
     """
@@ -192,7 +209,7 @@ def _between(percent: int):
         row = np.arange(len(pair))
         low = np.where(side == 2, row + 1, np.where(side == 0, second[group], end[group]))
         count = end[group] - low
-        found = [np.zeros((0, 2), np.int64)]
+        own, edges = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
         for w in np.unique(words).tolist():
             mine = np.flatnonzero(words[group] == w)
             m = _folded([blobs[i] for i in mine], w)
@@ -209,10 +226,12 @@ def _between(percent: int):
                 i, j = i[fit], j[fit]
                 near = _differ(m[at[i]], m[at[j]]) <= allowed(n[i] + n[j], percent)
                 i, j = i[near], j[near]
-                found.append(np.unique(np.concatenate([np.stack([i, comp[j]], 1), np.stack([j, comp[i]], 1)]), axis=0))
-        hits = np.unique(np.concatenate(found), axis=0)
-        own = hits[:, 0]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[own], n[own], comp[own], hits[:, 1])], names=["set_hash", "n", "comp", "other"])
+                own.append(np.unique(np.concatenate([i, j])))
+                edges.append(np.unique(np.stack([comp[i], comp[j]], 1), axis=0))
+        own, edges = np.unique(np.concatenate(own)), np.concatenate(edges)
+        names, least = _least(edges[:, 0], edges[:, 1])
+        root = least[np.searchsorted(names, comp[own])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[own], n[own], comp[own], root)], names=["set_hash", "n", "comp", "root"])
 
     def run(batches):
         held = None
@@ -458,8 +477,8 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
         F.when(F.col("slot") == F.col("with"), 2).when(F.col("slot") < F.col("with"), 0).otherwise(1).alias("side"), "set_hash", "n", "comp", "sketch",
     )
     dealt = spread.repartition("pair").sortWithinPartitions("pair", "side")
-    tied = materialize(in_arrow(dealt, _between(percent), "set_hash long, n long, comp long, other long"), "tied")
-    family = components(tied.select(F.col("comp").alias("a"), F.col("other").alias("b"))).select(F.col("comp").alias("family"), F.col("v").alias("comp"))
+    tied = materialize(in_arrow(dealt, _between(percent), "set_hash long, n long, comp long, root long"), "tied")
+    family = components(tied.select(F.col("comp").alias("a"), F.col("root").alias("b")).filter("a <> b")).select(F.col("comp").alias("family"), F.col("v").alias("comp"))
     members = materialize(tied.select("set_hash", "n", "comp").distinct().join(family, "comp"), "families")
     found = found.unionByName(materialize(_across(members, elements(members.select("set_hash")), percent), "links"))
     comps = components(found)
