@@ -18,26 +18,24 @@ def parse_number(text: Column) -> Column:
     separators the last is the decimal point; commas alone are one unless there are several
     groups of three; dots alone that part groups of three are thousands.
     """
-    s = F.regexp_replace(text, r"[\s A-Za-z$]", "")
-    paren = s.rlike(r"^\(.*\)$")
-    s1 = F.when(paren, F.regexp_extract(s, r"^\((.*)\)$", 1)).otherwise(s)
-    lead = s1.startswith("-")
-    s2 = F.when(lead, F.regexp_replace(s1, "^-", "")).otherwise(s1)
-    trail = s2.endswith("-")
-    s3 = F.when(trail, F.regexp_replace(s2, "-$", "")).otherwise(s2)
-    dot, comma = F.length(F.substring_index(s3, ".", -1)), F.length(F.substring_index(s3, ",", -1))
-    has_dot, has_comma = F.contains(s3, F.lit(".")), F.contains(s3, F.lit(","))
-    plain = (
-        F.when(has_dot & has_comma & (comma < dot), F.regexp_replace(F.regexp_replace(s3, r"\.", ""), "^([^,]*),", "$1."))
-        .when(has_dot & has_comma, F.regexp_replace(s3, ",", ""))
-        .when(has_comma & s3.rlike(r"^\d{1,3}(,\d{3}){2,}$"), F.regexp_replace(s3, ",", ""))
-        .when(has_comma, F.regexp_replace(s3, "^([^,]*),", "$1."))
-        .when(has_dot & s3.rlike(r"^\d{1,3}(\.\d{3})+$"), F.regexp_replace(s3, r"\.", ""))
-        .otherwise(s3)
-    )
-    value = F.when(plain.rlike(r"^\d*\.?\d+$"), plain.try_cast("double"))
-    negative = paren.cast("int") + lead.cast("int") + trail.cast("int")
-    return F.when(F.pmod(negative, F.lit(2)) == 1, -value).otherwise(value)
+    s = F.regexp_replace(text, r"[\s\u00a0A-Za-z$]", "")
+    shape = s.rlike(r"^(\(-?[\d.,]+-?\)|-?[\d.,]+-?)$")
+    signs = F.length(s) - F.length(F.translate(s, "(-", ""))  # an opening bracket and each minus turn the sign
+
+    def read(p: Column) -> Column:
+        parts, marks = p["parts"], p["marks"]
+        last, n = F.right(marks, F.lit(1)), F.length(marks)
+        same = n - F.length(F.replace(marks, last, F.lit("")))  # how often the last separator occurs
+        head = F.slice(parts, 1, F.size(parts) - 1)
+        triples = F.length(parts[0]).between(1, 3) & F.forall(F.slice(parts, 2, F.size(parts)), lambda x: F.length(x) == 3)
+        thousands = (same == n) & triples & ((last == ".") | (n > 1))
+        whole = F.when((n == 0) | thousands, F.array_join(parts, "")).when(same == 1, F.concat(F.array_join(head, ""), F.lit("."), F.element_at(parts, -1)))
+        return F.when((n == 0) | (F.element_at(parts, -1) != ""), whole.try_cast("double"))
+
+    body = F.regexp_replace(s, "[()-]", "")
+    cut = F.struct(F.split(body, "[.,]").alias("parts"), F.regexp_replace(body, r"\d", "").alias("marks"))
+    value = F.element_at(F.transform(F.array(F.when(shape, cut)), read), 1)
+    return F.when(F.pmod(signs, F.lit(2)) == 1, -value).otherwise(value)
 
 
 def format_money(x: Column) -> Column:
