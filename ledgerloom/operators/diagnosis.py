@@ -52,7 +52,7 @@ def diagnose(pending: DataFrame, panel: DataFrame, wallet: DataFrame, excluded:
     near = _closest(p, w, tolerance).unionByName(_closest(w, p, tolerance))
     other = _closest(w, excluded, tolerance) if excluded is not None else None
     hour = 3_600_000
-    bands = coverage(panel.unionByName(wallet)).select("side", F.explode(F.sequence(F.floor(F.col("lo") / hour), F.floor(F.col("hi") / hour))).alias("h"), "lo", "hi")
+    bands = coverage(panel.filter("not no_time").unionByName(wallet)).select("side", F.explode(F.sequence(F.floor(F.col("lo") / hour), F.floor(F.col("hi") / hour))).alias("h"), "lo", "hi")
     facing = own.select("id", "ms", F.when(F.col("side") == "panel", "wallet").otherwise("panel").alias("side"), F.floor(F.col("ms") / hour).alias("h"))
     seen = facing.join(bands, ["side", "h"]).filter((F.col("ms") >= F.col("lo")) & (F.col("ms") < F.col("hi"))).select("id").distinct().withColumn("covered", F.lit(True))
     full = own.join(near, "id", "left").join(seen, "id", "left")

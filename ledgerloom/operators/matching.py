@@ -18,18 +18,18 @@ from ..plans import params as P
 from ..storage import materialize
 from .joins import band_join, greedy_match
 
-MOVE = ("id", "side", "origin", "account", "party", "ts", "type", "amount", "ref", "doc", "cbu", "no_time", "slots", "shift", "source")
-_TYPES = {"ts": "timestamp_ntz", "amount": "double", "no_time": "boolean", "slots": "array<struct<from_ts:timestamp_ntz,to_ts:timestamp_ntz>>"}
+MOVE = ("id", "load_seq", "side", "origin", "account", "party", "ts", "type", "amount", "ref", "doc", "cbu", "no_time", "slots", "shift", "source")
+_TYPES = {"load_seq": "long", "ts": "timestamp_ntz", "amount": "double", "no_time": "boolean", "slots": "array<struct<from_ts:timestamp_ntz,to_ts:timestamp_ntz>>"}
 
 
 def movements(df: DataFrame, side: str) -> DataFrame:
     """The movement schema: missing columns are null, amounts are positive with two decimals,
-    ``ms`` is the wall clock and ``seq`` the position by time (then by id)."""
+    ``ms`` is the wall clock and ``seq`` the place by time, then by load order (rows without ``load_seq`` are equal, and go by id)."""
     have = set(df.columns)
     own = df.select(*((F.col(c) if c in have else F.lit(side) if c == "side" else F.lit(None)).cast(_TYPES.get(c, "string")).alias(c) for c in MOVE))
     own = own.withColumns({"amount": round2(F.abs("amount")), "no_time": F.coalesce("no_time", F.lit(False)), "ms": to_ms(F.col("ts"))})
     # an order, not a rank: the time, then the id; no single-partition window is needed
-    return own.withColumn("seq", F.col("ms"))
+    return own.withColumn("seq", F.struct("ms", F.coalesce("load_seq", F.lit(0)).alias("loaded")))
 
 
 def amount_bonus(p: Column, w: Column, kind: Column, params: P.Params) -> Column:
@@ -64,13 +64,31 @@ def _related(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
     return with_keys.withColumn("relation", name_relation(F.col("known"), F.col("p_party"), F.col("w_party"), F.col("w_doc"), F.col("w_cbu"))).drop("known", "user_key")
 
 
+def _amount_key(amount: Column, params: P.Params) -> Column:
+    """A key that grows by one over two tolerances (fixed part and a thousandth), however large the amount."""
+    tol = max(params.amount_tolerance, 0.005)
+    return F.floor(F.log(1 + F.greatest(amount, F.lit(0.0)) * (0.001 / tol)) / 0.002).cast("long")
+
+
+def _amount_keys(panel_amount: Column, kind: Column, params: P.Params) -> Column:
+    """The keys of all wallet amounts that ``amount_bonus`` can accept for a panel amount: a few."""
+    tol, edge = params.amount_tolerance, 0.006
+    span = lambda low, high: F.sequence(_amount_key(low * (1 - 1e-9), params), _amount_key(high * (1 + 1e-9), params))
+    exact = span(panel_amount - (tol + edge), panel_amount + (tol + edge))
+    factors = [1 + b / 100 for b in params.bonuses]
+    more = [span((panel_amount - (tol + edge)) / (f + 0.001), (panel_amount + (tol + edge)) / (f - 0.001)) for f in factors]
+    return F.array_distinct(F.flatten(F.array(exact, *(F.when(kind == "COLLECT", m).otherwise(F.array().cast("array<bigint>")) for m in more))))
+
+
 def candidates(panel: DataFrame, wallet: DataFrame, params: P.Params, inverted: bool = False) -> DataFrame:
     """Pairs of equal type within the lag's window whose amounts agree (or differ by a bonus).
 
     ``inverted``: the pairs in the wrong order by at most the clocks' tolerance.
     """
     kinds = lambda d: d.filter(F.col("type").isin(*P.MATCHABLE))
-    pairs = band_join(_side(kinds(panel), "p"), _side(kinds(wallet).filter(~F.col("no_time")), "w"), ["type"], "p_ms", "w_ms", params.reach, params.reach)
+    p = _side(kinds(panel), "p").withColumn("amount_key", F.explode(_amount_keys(F.col("p_amount"), F.col("type"), params)))
+    w = _side(kinds(wallet).filter(~F.col("no_time")), "w").withColumn("amount_key", _amount_key(F.col("w_amount"), params))
+    pairs = band_join(p, w, ["type", "amount_key"], "p_ms", "w_ms", params.reach, params.reach).drop("amount_key")
     most = F.when(F.col("type") == "COLLECT", params.max_collect_lag).otherwise(params.max_payout_lag) * P.MINUTE
     pairs = pairs.withColumns({"lag": lag(F.col("type"), F.col("p_ms"), F.col("w_ms")), "bonus": amount_bonus(F.col("p_amount"), F.col("w_amount"), F.col("type"), params)})
     window = F.col("lag").between(-params.clock_tolerance * P.MINUTE, -1) if inverted else (F.col("lag") >= 0) & (F.col("lag") <= most)
@@ -184,53 +202,113 @@ def two_to_one(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params:
     return _matches(taken, ["p_id"], ["a_id", "b_id"], F.lit(P.GROUPED), F.lit("two wallet movements for one panel operation"), F.lit("medium"))
 
 
+def _user_pairs(panel: DataFrame, most: int, opposite: bool) -> DataFrame:
+    """Pairs of one user's panel rows (a before b) at most ``most`` ms apart, of equal or of opposite types, with their signed sum."""
+    own = panel.filter(F.col("type").isin(*P.MATCHABLE)).withColumn("user", norm(F.col("party")))
+    value = F.when(F.col("type") == "COLLECT", F.col("amount")).otherwise(-F.col("amount"))
+    side = lambda x: own.select("user", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "ms", "seq", "type", "party")), value.alias(f"{x}_value"))
+    pairs = band_join(side("a"), side("b"), ["user"], "a_ms", "b_ms", 0, most)
+    before = (F.col("a_seq") < F.col("b_seq")) | ((F.col("a_seq") == F.col("b_seq")) & (F.col("a_id") < F.col("b_id")))
+    kinds = F.col("a_type") != F.col("b_type") if opposite else F.col("a_type") == F.col("b_type")
+    return pairs.filter(before & kinds).withColumn("value", F.col("a_value") + F.col("b_value"))
+
+
+def _to_wallet(pairs: DataFrame, wallet: DataFrame, params: P.Params, reach: int) -> DataFrame:
+    """Pairs with the wallet rows of their signed sum, within ``reach`` of the first of them."""
+    unit = max(0.01, 2 * params.amount_tolerance)
+    value = F.when(F.col("w_type") == "COLLECT", F.col("w_amount")).otherwise(-F.col("w_amount"))
+    w = _side(wallet.filter(~F.col("no_time") & F.col("type").isin(*P.MATCHABLE)), "w").withColumnRenamed("type", "w_type").withColumn("w_value", value)
+    keyed = pairs.withColumn("sum_key", F.explode(F.array(*(F.floor(F.col("value") / unit) + i for i in (-1, 0, 1)))))
+    both = band_join(keyed, w.withColumn("sum_key", F.floor(F.col("w_value") / unit)), ["sum_key"], "a_ms", "w_ms", reach, reach)
+    return both.filter(F.abs(F.col("value") - F.col("w_value")) <= params.amount_tolerance)
+
+
+def _take_pairs(edges: DataFrame) -> DataFrame:
+    return greedy_match(edges.select("w_id", "a_id", "b_id", "w_seq", "a_seq", "b_seq").distinct(), ["w_id", "a_id", "b_id"], [F.col(c) for c in ("w_seq", "w_id", "a_seq", "a_id", "b_seq", "b_id")])
+
+
 def one_to_two(panel: DataFrame, wallet: DataFrame, params: P.Params) -> DataFrame:
     """One wallet row for two panel rows of one user that add up to it."""
-    pairs = _loose(panel, wallet, params).withColumn("user", norm(F.col("p_party")))
-    a = pairs.select("w_id", "w_seq", "w_amount", "user", F.col("p_id").alias("a_id"), F.col("p_seq").alias("a_seq"), F.col("p_amount").alias("a_amount"))
-    b = pairs.select("w_id", "user", F.col("p_id").alias("b_id"), F.col("p_seq").alias("b_seq"), F.col("p_amount").alias("b_amount"))
-    before = (F.col("a_seq") < F.col("b_seq")) | ((F.col("a_seq") == F.col("b_seq")) & (F.col("a_id") < F.col("b_id")))
-    edges = a.join(b, ["w_id", "user"]).filter(before & (F.abs(F.col("a_amount") + F.col("b_amount") - F.col("w_amount")) <= params.amount_tolerance))
-    taken = greedy_match(edges.select("w_id", "a_id", "b_id", "w_seq", "a_seq", "b_seq"), ["w_id", "a_id", "b_id"], [F.col(c) for c in ("w_seq", "w_id", "a_seq", "a_id", "b_seq", "b_id")])
-    return _matches(taken, ["a_id", "b_id"], ["w_id"], F.lit(P.GROUPED), F.lit("two panel operations for one wallet movement"), F.lit("medium"))
+    most = F.when(F.col("w_type") == "COLLECT", params.max_collect_lag).otherwise(params.max_payout_lag) * P.MINUTE
+    edges = _to_wallet(_user_pairs(panel, params.reach, False), wallet, params, params.reach).filter("a_type = w_type")
+    for x in ("a", "b"):
+        edges = edges.filter(lag(F.col("w_type"), F.col(f"{x}_ms"), F.col("w_ms")).between(F.lit(0), most))
+    return _matches(_take_pairs(edges), ["a_id", "b_id"], ["w_id"], F.lit(P.GROUPED), F.lit("two panel operations for one wallet movement"), F.lit("medium"))
 
 
 def netting(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params: P.Params) -> DataFrame:
     """A load and a withdrawal of one user whose net is one wallet movement of a known or hinted holder."""
     most = max(params.max_collect_lag, params.max_payout_lag) * P.MINUTE
-    own = wallet.filter((F.coalesce("party", F.lit("")) != "") & ~F.col("no_time") & F.col("type").isin(*P.MATCHABLE))
-    pairs = band_join(_side(panel.filter(F.col("type").isin(*P.MATCHABLE)), "p").withColumnRenamed("type", "p_type").withColumn("k", F.lit(0)), _side(own, "w").withColumnRenamed("type", "w_type").withColumn("k", F.lit(0)), ["k"], "p_ms", "w_ms", most, most)
-    pairs = _related(pairs, aliases).filter(F.col("relation").isin("known", "hint")).withColumn("user", norm(F.col("p_party")))
-    sign = lambda kind, x: F.when(F.col(kind) == "COLLECT", F.col(x)).otherwise(-F.col(x))
-    a = pairs.select("w_id", "w_seq", "user", sign("w_type", "w_amount").alias("net"), F.col("p_id").alias("a_id"), F.col("p_seq").alias("a_seq"), F.col("p_type").alias("a_type"), sign("p_type", "p_amount").alias("a_amount"))
-    b = pairs.select("w_id", "user", F.col("p_id").alias("b_id"), F.col("p_seq").alias("b_seq"), F.col("p_type").alias("b_type"), sign("p_type", "p_amount").alias("b_amount"))
-    before = (F.col("a_seq") < F.col("b_seq")) | ((F.col("a_seq") == F.col("b_seq")) & (F.col("a_id") < F.col("b_id")))
-    edges = a.join(b, ["w_id", "user"]).filter(before & (F.col("a_type") != F.col("b_type")) & (F.abs(F.col("a_amount") + F.col("b_amount") - F.col("net")) <= params.amount_tolerance))
-    taken = greedy_match(edges.select("w_id", "a_id", "b_id", "w_seq", "a_seq", "b_seq"), ["w_id", "a_id", "b_id"], [F.col(c) for c in ("w_seq", "w_id", "a_seq", "a_id", "b_seq", "b_id")])
-    return _matches(taken, ["a_id", "b_id"], ["w_id"], F.lit(P.NETTED), F.lit("load and withdrawal net against one movement"), F.lit("medium"))
+    own = wallet.filter(F.coalesce("party", F.lit("")) != "")
+    edges = _to_wallet(_user_pairs(panel, 2 * most, True), own, params, most).filter(F.abs(F.col("b_ms") - F.col("w_ms")) <= most)
+    for x in ("a", "b"):
+        edges = _related(edges.withColumn("p_party", F.col(f"{x}_party")), aliases).filter(F.col("relation").isin("known", "hint")).drop("relation", "p_party")
+    return _matches(_take_pairs(edges), ["a_id", "b_id"], ["w_id"], F.lit(P.NETTED), F.lit("load and withdrawal net against one movement"), F.lit("medium"))
 
 
-def no_time(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params: P.Params, rejected=None, whole_day: bool = False) -> DataFrame:
-    """Wallet rows that have a day (or shift bands) but no time.
-
-    ``whole_day``: passes over the bands, asks for a known or hinted identity, low confidence.
-    """
-    rows = wallet.filter(F.col("no_time") & F.col("type").isin(*P.MATCHABLE))
+def _slot_pairs(panel: DataFrame, rows: DataFrame, params: P.Params, whole_day: bool = False) -> DataFrame:
+    """Pairs of panel rows and wallet rows without a time: within their bands (or day), with amounts that agree (``bonus``)."""
     start = F.col("w_ms") - F.pmod(F.col("w_ms"), F.lit(DAY_MS))
     day = F.array(F.struct(start.alias("a"), (start + DAY_MS).alias("b")))
     slots = F.transform("w_slots", lambda s: F.struct(to_ms(s["from_ts"]).alias("a"), to_ms(s["to_ts"]).alias("b")))
-    if whole_day:
-        rows = rows.filter(F.col("slots").isNotNull())
     bands = day if whole_day else F.coalesce(slots, day)
     tol = params.clock_tolerance * P.MINUTE
     low = F.col("s.a") - F.when(F.col("type") == "COLLECT", tol).otherwise(params.max_payout_lag * P.MINUTE)
     high = F.col("s.b") + F.when(F.col("type") == "COLLECT", params.max_collect_lag * P.MINUTE).otherwise(tol)
     w = _side(rows, "w").withColumn("s", F.explode(bands)).withColumns({"low": low, "high": high}).drop("s")
     hour = 3_600_000
-    w = w.withColumn("__h", F.explode(F.sequence(F.floor(F.col("low") / hour), F.floor(F.col("high") / hour))))
-    p = _side(panel.filter(F.col("type").isin(*P.MATCHABLE)), "p").withColumn("__h", F.floor(F.col("p_ms") / hour))
-    pairs = w.join(p, ["type", "__h"]).filter((F.col("p_ms") >= F.col("low")) & (F.col("p_ms") < F.col("high"))).drop("__h", "low", "high").dropDuplicates(["p_id", "w_id"])
-    pairs = pairs.withColumn("bonus", amount_bonus(F.col("p_amount"), F.col("w_amount"), F.col("type"), params)).filter("bonus is not null")
+    w = w.withColumn("__h", F.explode(F.sequence(F.floor(F.col("low") / hour), F.floor(F.col("high") / hour)))).withColumn("amount_key", _amount_key(F.col("w_amount"), params))
+    p = _side(panel.filter(F.col("type").isin(*P.MATCHABLE)), "p").withColumn("__h", F.floor(F.col("p_ms") / hour)).withColumn("amount_key", F.explode(_amount_keys(F.col("p_amount"), F.col("type"), params)))
+    pairs = w.join(p, ["type", "amount_key", "__h"]).filter((F.col("p_ms") >= F.col("low")) & (F.col("p_ms") < F.col("high"))).drop("__h", "amount_key", "low", "high").dropDuplicates(["p_id", "w_id"])
+    return pairs.withColumn("bonus", amount_bonus(F.col("p_amount"), F.col("w_amount"), F.col("type"), params)).filter("bonus is not null")
+
+
+def repeated_series(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params: P.Params) -> DataFrame:
+    """Three or more equal transfers of one holder without a time, against the one user with a series like it.
+
+    The user's rows must be as many (one may be missing), and the next user's at most a third. Both
+    series are joined in order. Groups go by size; each round decides all groups of which no
+    panel row is also wanted by an undecided group that goes before.
+    """
+    own = wallet.filter(F.col("no_time") & F.col("type").isin(*P.MATCHABLE) & (F.coalesce("party", F.lit("")) != ""))
+    key = F.concat_ws("|", name_key(F.col("party")), F.col("amount"), F.col("type"), F.coalesce("shift", F.lit("")), F.floor(F.col("ms") / DAY_MS))
+    group = Window.partitionBy("g")
+    own = own.withColumn("g", key).withColumns({"size": F.count("*").over(group), "w_rank": F.row_number().over(group.orderBy("seq", "id"))}).filter("size >= 3")
+    own = materialize(own, "series")
+    heads = own.filter("w_rank = 1")
+    pairs = _related(_slot_pairs(panel.filter(F.coalesce("party", F.lit("")) != ""), heads, params), aliases)
+    pairs = pairs.filter((F.abs(F.col("p_amount") - F.col("w_amount")) <= params.amount_tolerance) & (F.coalesce("relation", F.lit("")) != "different"))
+    # the order of groups: the largest first, then by their first rows
+    rank = F.struct((-F.col("size")).alias("size"), F.col("seq").alias("seq"), F.col("id").alias("id"))
+    left = pairs.join(heads.select(F.col("id").alias("w_id"), "g", "size", rank.alias("o")), "w_id").select("g", "size", "o", "p_id", "p_seq", "p_party", norm(F.col("p_party")).alias("user"))
+    left, done = materialize(left, "series-pairs"), []
+    while not left.isEmpty():
+        first = left.groupBy("p_id").agg(F.min("o").alias("m"))
+        ready = materialize(left.join(first, "p_id").groupBy("g").agg(F.every(F.col("o") == F.col("m")).alias("ok")).filter("ok").select("g"), "series-ready")
+        mine = left.join(ready, "g", "left_semi")
+        users = mine.groupBy("g", "size", "user").agg(F.count("*").alias("n"), F.min("p_seq").alias("s"))
+        placed = users.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "s", "user")))
+        best = placed.groupBy("g", "size").agg(F.max(F.when(F.col("r") == 1, F.col("n"))).alias("n1"), F.max(F.when(F.col("r") == 2, F.col("n"))).alias("n2"), F.max(F.when(F.col("r") == 1, F.col("user"))).alias("user"))
+        fit = best.filter((F.col("n1") >= F.greatest(F.lit(3), F.col("size") - 1)) & (F.coalesce("n2", F.lit(0)) <= F.greatest(F.lit(1), F.floor(F.col("size") / 3))))
+        rows = mine.join(fit.select("g", "user", "n1"), ["g", "user"]).withColumn("w_rank", F.row_number().over(Window.partitionBy("g").orderBy("p_seq", "p_id")))
+        won = materialize(rows.join(own.select("g", "w_rank", F.col("id").alias("w_id"), "amount"), ["g", "w_rank"]).select("p_id", "w_id", "size", "n1", "amount", "p_party"), "series-won")
+        done.append(won)
+        left = materialize(left.join(ready, "g", "left_anti").join(won.select("p_id"), "p_id", "left_anti"), "series-pairs")
+    if not done:
+        return panel.sparkSession.createDataFrame([], "panel_ids array<string>, wallet_ids array<string>, status string, note string, confidence string")
+    note = F.format_string("no time, one holder repeated (%d transfers of %.2f and %d rows of %s)", "size", "amount", "n1", "p_party")
+    return _matches(reduce(DataFrame.unionByName, done), ["p_id"], ["w_id"], F.lit(P.MATCHED), note, F.lit("medium"))
+
+
+def no_time(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params: P.Params, rejected=None, whole_day: bool = False) -> DataFrame:
+    """Wallet rows that have a day (or shift bands) but no time.
+
+    ``whole_day``: passes over the bands, asks for a known or hinted identity, low confidence.
+    """
+    rows = wallet.filter(F.col("no_time") & F.col("type").isin(*P.MATCHABLE))
+    if whole_day:
+        rows = rows.filter(F.col("slots").isNotNull())
+    pairs = _slot_pairs(panel, rows, params, whole_day)
     pairs = _related(_without(pairs, rejected), aliases)
     group_w = F.concat_ws("|", name_key(F.col("w_party")), F.col("w_amount"), F.col("type"), F.coalesce("w_shift", F.lit("")))
     group_p = F.concat_ws("|", norm(F.col("p_party")), F.col("p_amount"), F.col("type"))
@@ -259,13 +337,16 @@ def voids(panel: DataFrame, params: P.Params) -> DataFrame:
     return taken.select(F.explode(F.array("a_id", "b_id")).alias("id"), note.alias("note"))
 
 
-def duplicates(loose: DataFrame, paid: DataFrame, params: P.Params) -> DataFrame:
-    """Ids of unmatched payouts with a matched twin in the window, or an earlier unmatched one."""
+def duplicates(loose: DataFrame, paid: DataFrame, params: P.Params, manual: DataFrame | None = None) -> DataFrame:
+    """Ids of unmatched payouts with a matched twin in the window, or an earlier unmatched one. ``manual``:
+    unmatched rows with a state of the user's, which are twins of others but none themselves."""
     pay = lambda d: d.filter((F.col("type") == "PAYOUT") & (F.coalesce("party", F.lit("")) != "")).withColumn("name", name_key(F.col("party")))
-    mine = pay(loose).filter(~F.col("no_time")).select("name", F.col("id").alias("a_id"), F.col("ms").alias("a_ms"), F.col("amount").alias("a_amount"))
-    other = pay(loose).withColumn("matched", F.lit(False)).unionByName(pay(paid).withColumn("matched", F.lit(True))).select("name", F.col("id").alias("b_id"), F.col("ms").alias("b_ms"), F.col("amount").alias("b_amount"), "matched")
+    unit = max(0.01, 2 * params.amount_tolerance)
+    mine = pay(loose).filter(~F.col("no_time")).withColumn("unit", F.explode(F.array(*(F.floor(F.col("amount") / unit) + i for i in (-1, 0, 1))))).select("name", "unit", F.col("id").alias("a_id"), F.col("ms").alias("a_ms"), F.col("amount").alias("a_amount"))
+    alone = loose if manual is None else loose.unionByName(manual)
+    other = pay(alone).withColumn("matched", F.lit(False)).unionByName(pay(paid).withColumn("matched", F.lit(True))).withColumn("unit", F.floor(F.col("amount") / unit)).select("name", "unit", F.col("id").alias("b_id"), F.col("ms").alias("b_ms"), F.col("amount").alias("b_amount"), "matched")
     most = params.duplicate_window * P.MINUTE
-    twins = band_join(mine, other, ["name"], "a_ms", "b_ms", most, most).filter((F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_amount") - F.col("b_amount")) <= params.amount_tolerance))
+    twins = band_join(mine, other, ["name", "unit"], "a_ms", "b_ms", most, most).filter((F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_amount") - F.col("b_amount")) <= params.amount_tolerance))
     return twins.filter(F.col("matched") | (F.col("b_ms") < F.col("a_ms"))).select(F.col("a_id").alias("id")).distinct()
 
 
@@ -279,15 +360,16 @@ def default_status(side: Column, kind: Column) -> Column:
 
 
 def build_matches(rows: DataFrame, panel: DataFrame, wallet: DataFrame) -> DataFrame:
-    """Sums, difference, first time and lag of each match (panel_ids, wallet_ids, status, note, confidence)."""
+    """Sums, difference, first time and lag (null where a member has no time) of each match (panel_ids, wallet_ids, status, note, confidence)."""
     keyed = rows.withColumn("match_id", F.concat(F.array_join("panel_ids", "+"), F.lit("="), F.array_join("wallet_ids", "+")))
     members = keyed.select("match_id", F.explode("panel_ids").alias("id"), F.lit("panel").alias("s")).unionByName(keyed.select("match_id", F.explode("wallet_ids").alias("id"), F.lit("wallet").alias("s")))
-    known = panel.select("id", F.lit("panel").alias("s"), "ms", "ts", "type", "amount", "account", "origin").unionByName(wallet.select("id", F.lit("wallet").alias("s"), "ms", "ts", "type", "amount", "account", "origin"))
+    shape = ("ms", "ts", "type", "amount", "account", "origin", "no_time")
+    known = panel.select("id", F.lit("panel").alias("s"), *shape).unionByName(wallet.select("id", F.lit("wallet").alias("s"), *shape))
     full = members.join(known, ["id", "s"])
     on = lambda s, c: F.when(F.col("s") == s, F.col(c))
     signed = F.when(F.col("type") == "COLLECT", F.col("amount")).otherwise(-F.col("amount"))
     got = full.groupBy("match_id").agg(
-        F.min("ts").alias("ts"), F.min(on("panel", "ts")).alias("panel_ts"), round2(F.sum(F.coalesce(on("panel", "amount"), F.lit(0.0)))).alias("panel_plain"), round2(F.sum(F.coalesce(on("wallet", "amount"), F.lit(0.0)))).alias("wallet_amount"),
+        F.max("no_time").alias("no_time"), F.min("ts").alias("ts"), F.min(on("panel", "ts")).alias("panel_ts"), round2(F.sum(F.coalesce(on("panel", "amount"), F.lit(0.0)))).alias("panel_plain"), round2(F.sum(F.coalesce(on("wallet", "amount"), F.lit(0.0)))).alias("wallet_amount"),
         F.sum(F.when(F.col("s") == "panel", signed)).alias("panel_net"), F.min(on("wallet", "type")).alias("wallet_type"),
         F.min(on("panel", "ms")).alias("p_lo"), F.max(on("panel", "ms")).alias("p_hi"), F.min(on("wallet", "ms")).alias("w_lo"), F.max(on("wallet", "ms")).alias("w_hi"),
         F.min_by(on("panel", "type"), on("panel", "ms")).alias("panel_type"), F.min_by(on("panel", "account"), on("panel", "ms")).alias("agent"),
@@ -300,16 +382,37 @@ def build_matches(rows: DataFrame, panel: DataFrame, wallet: DataFrame) -> DataF
     late = F.when(F.col("type") == "COLLECT", F.col("p_hi") - F.col("w_lo")).otherwise(F.col("w_hi") - F.col("p_lo"))
     return full.select(
         "match_id", "type", "panel_ids", "wallet_ids", "status", "note", "ts", "panel_ts", amount.alias("panel_amount"), "wallet_amount",
-        round2(amount - F.col("wallet_amount")).alias("difference"), F.when(~F.col("note").startswith("no time"), late).alias("lag_ms"), "confidence", "agent", "wallet_account",
+        round2(amount - F.col("wallet_amount")).alias("difference"), F.when(~F.col("no_time"), late).alias("lag_ms"), "confidence", "agent", "wallet_account",
     )
 
 
+def forced_matches(forced: DataFrame, real: DataFrame) -> DataFrame:
+    """The user's matches that stand: (panel_ids, wallet_ids, note), in their order, each id of ``real`` once at most."""
+    order = F.col("ordinal").cast("long") if "ordinal" in forced.columns else F.monotonically_increasing_id()
+    own = materialize(forced.select("panel_ids", "wallet_ids", F.coalesce("note", F.lit("")).alias("note"), order.alias("o")), "forced")
+    ends = own.select("o", F.explode(F.array_distinct(F.concat("panel_ids", "wallet_ids"))).alias("id")).join(real, "id")
+    here = ends.groupBy("o").agg(F.collect_set("id").alias("here"))
+    kept = None
+    left = materialize(ends, "forced-ends")
+    while not left.isEmpty():
+        first = left.groupBy("id").agg(F.min("o").alias("m"))
+        won = materialize(left.join(first, "id").groupBy("o").agg(F.every(F.col("o") == F.col("m")).alias("ok")).filter("ok").select("o"), "forced-won")
+        kept = won if kept is None else kept.unionByName(won)
+        used = left.join(won, "o", "left_semi").select("id")
+        out = left.join(used, "id", "left_semi").select("o").distinct()
+        left = materialize(left.join(out, "o", "left_anti"), "forced-ends")
+    full = own.join(here, "o") if kept is None else own.join(kept, "o", "left_semi").join(here, "o")
+    ids = lambda c: F.filter(c, lambda x: F.array_contains("here", x)).alias(c)
+    return full.select(ids("panel_ids"), ids("wallet_ids"), "note")
+
+
 def reconcile(panel: DataFrame, wallet: DataFrame, params: P.Params | None = None, aliases: DataFrame | None = None, forced: DataFrame | None = None, states: DataFrame | None = None, rejected: DataFrame | None = None, account_hint: DataFrame | None = None) -> dict[str, DataFrame]:
     """All passes in their order. Returns matches, pending and aliases.
 
     forced: (panel_ids, wallet_ids, note); states: (id, status, note); rejected: (pid, wid);
     account_hint: (agent_key, account_key). Ids are unique over both sides. A forced match of which a
-    member is missing keeps the others; where two share a member, the first by ids stands.
+    member is missing keeps the others; one that shares a member with an earlier one that stands is passed over
+    (``ordinal`` of forced, if it has one, is their order, else the order of its rows).
     """
     params = params or P.Params()
     spark = panel.sparkSession
@@ -317,13 +420,7 @@ def reconcile(panel: DataFrame, wallet: DataFrame, params: P.Params | None = Non
     aliases = spark.createDataFrame([], "user_key string, user string, id_key string, label string, n long") if aliases is None else aliases
     done: list[DataFrame] = []
     if forced is not None:
-        numbered = forced.select("panel_ids", "wallet_ids", F.coalesce("note", F.lit("")).alias("note"), F.concat_ws("+", F.col("panel_ids"), F.col("wallet_ids")).alias("o"))
-        real = panel.select("id").unionByName(wallet.select("id"))
-        ends = numbered.select("o", F.explode(F.concat("panel_ids", "wallet_ids")).alias("id")).join(real, "id")
-        firsts = ends.groupBy("id").agg(F.min("o").alias("m"))
-        clear = ends.join(firsts, "id").groupBy("o").agg(F.min((F.col("m") == F.col("o")).cast("int")).alias("ok"), F.collect_set("id").alias("here")).filter("ok = 1")
-        kept = numbered.join(clear, "o").withColumns({s: F.filter(s, lambda x: F.array_contains("here", x)) for s in ("panel_ids", "wallet_ids")})
-        done.append(materialize(_matches_of(kept), "forced"))
+        done.append(materialize(_matches_of(forced_matches(forced, panel.select("id").unionByName(wallet.select("id")))), "forced"))
     free_p = free_w = None
 
     def free():
@@ -350,12 +447,14 @@ def reconcile(panel: DataFrame, wallet: DataFrame, params: P.Params | None = Non
         add(one_to_two(free_p, free_w, params))
         add(netting(free_p, free_w, known, params))
     add(no_time(free_p, free_w, known, params, rejected))
+    add(repeated_series(free_p, free_w, known, params))
     add(no_time(free_p, free_w, known, params, rejected, whole_day=True))
     rows = reduce(DataFrame.unionByName, done)
     matches = materialize(build_matches(rows, panel, wallet), "matches")
     void = materialize(voids(free_p, params), "voids")
     paid = wallet.join(rows.select(F.explode("wallet_ids").alias("id")), "id", "left_semi")
-    twice = materialize(duplicates(free_w, paid, params), "duplicates")
+    stated = None if states is None else _unused(wallet, done, "wallet").join(states.select("id"), "id", "left_semi")
+    twice = materialize(duplicates(free_w, paid, params, stated), "duplicates")
     loose = _unused(panel, done, "panel").unionByName(_unused(wallet, done, "wallet"))
     manual = spark.createDataFrame([], "id string, status string, note string") if states is None else states
     pending = (

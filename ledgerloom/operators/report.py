@@ -83,6 +83,11 @@ def slowest(matches: DataFrame, n: int = 20, lag: str = "lag_ms") -> DataFrame:
     return matches.filter(F.col(lag).isNotNull()).orderBy(F.desc(lag), "match_id").limit(n)
 
 
+def days(moves: DataFrame, start_hour: int = DAY_START_HOUR) -> DataFrame:
+    """The operational days that have movements."""
+    return moves.select(operational_day(F.col("ts"), start_hour).alias("op_day")).distinct()
+
+
 def suggested_day(moves: DataFrame, start_hour: int = DAY_START_HOUR) -> DataFrame:
     """The operational day with most movements, the earliest of equals."""
     return moves.groupBy(operational_day(F.col("ts"), start_hour).alias("op_day")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "op_day").limit(1)

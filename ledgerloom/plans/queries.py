@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, numbers, times
-from ..operators import dedup, diagnosis, matching, report
+from ..operators import dataset, dedup, diagnosis, matching, report
 from ..operators.joins import band_join, nearest
 from . import ledgers
 from .params import MINUTE, Params
@@ -225,6 +225,46 @@ def wallet_coverage(spark, sf_dir):
     return diagnosis.coverage(w.filter(~F.col("no_time"))).select("account", "day", "lo", "hi")
 
 
+_LINES = {"North": ("agent0", "agent1"), "South": ("agent3",)}
+
+
+@query(_MOVES + """SELECT account, count(*) AS n, CASE WHEN account IN ('agent0', 'agent1') THEN 'North' WHEN account = 'agent3' THEN 'South' END AS line FROM both_sides WHERE side = 'panel' GROUP BY account""")
+def agent_inventory(spark, sf_dir):
+    """Movements and line of each agent."""
+    p, _ = _sides(spark, sf_dir)
+    return dataset.agent_inventory(p, _LINES).select("account", "n", "line")
+
+
+@query(_MOVES + "SELECT account, count(*) AS n FROM both_sides WHERE side = 'panel' AND account NOT IN ('agent0', 'agent1') GROUP BY account")
+def excluded_agents(spark, sf_dir):
+    """Rows left out when one line's agents are chosen."""
+    p, _ = _sides(spark, sf_dir)
+    return dataset.excluded_counts(dataset.choose_agents(p, _LINES, line="North")[1])
+
+
+@query(_MOVES + "SELECT account AS source, count(*) AS n, (epoch_us(min(ts)) // 1000) AS first_ms, (epoch_us(max(ts)) // 1000) AS last_ms FROM both_sides WHERE side = 'wallet' GROUP BY account")
+def source_coverage(spark, sf_dir):
+    """Number, first and last time of each wallet account's rows, as of a source's."""
+    _, w = _sides(spark, sf_dir)
+    got = dataset.source_coverage(w.withColumn("source", F.col("account")))
+    return got.select("source", "n", times.to_ms(F.col("first_ts")).alias("first_ms"), times.to_ms(F.col("last_ts")).alias("last_ms"))
+
+
+@query(_MOVES + "SELECT DISTINCT CAST(CAST(ts - INTERVAL 6 HOUR AS DATE) AS VARCHAR) AS op_day FROM both_sides")
+def operational_days(spark, sf_dir):
+    p, w = _sides(spark, sf_dir)
+    return report.days(p.unionByName(w)).select(F.col("op_day").cast("string").alias("op_day"))
+
+
+@query(_MOVES + """, h AS (SELECT party AS user_name, party AS label, count(*) AS n FROM both_sides WHERE side = 'panel' GROUP BY party UNION ALL SELECT party, party, 2 FROM both_sides WHERE side = 'panel' GROUP BY party)
+SELECT user_name, max(n) AS n FROM h GROUP BY user_name""")
+def merged_aliases(spark, sf_dir):
+    """Two alias tables as one, with the larger number of each."""
+    p, _ = _sides(spark, sf_dir)
+    one = p.groupBy("party").agg(F.count("*").alias("n")).select(F.col("party").alias("user_key"), F.col("party").alias("user"), F.col("party").alias("id_key"), F.col("party").alias("label"), "n")
+    return dataset.merge_aliases(one, one.withColumn("n", F.lit(2).cast("long"))).select(F.col("user").alias("user_name"), "n")
+
+
 def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return matching.reconcile(ledgers.panel(spark, sf_dir), ledgers.wallet(spark, sf_dir))
 

@@ -1,4 +1,7 @@
-"""Files as tables of cells: (source_id, sheet, row_no, cells array<string>), without a header.
+"""Files as tables of cells: (source_id, sheet, row_no, cells, numbers), without a header.
+
+``cells`` are texts; ``numbers`` holds the values of a workbook's number cells in the same places (null elsewhere,
+and for files of text), so that they need not be read from their writing.
 
 Reports have preambles and ragged rows, so a file is parsed whole by one task; a table
 of many files is spread over tasks by file. Null and empty files give no rows.
@@ -15,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "source_id string, sheet string, row_no int, cells array<string>"
+SCHEMA = "source_id string, sheet string, row_no int, cells array<string>, numbers array<double>"
 _DELIMITERS = ",;\t|"
+#: Rows of a file that a task passes on at a time.
+ROWS = 5000
 
 
 def decode(data: bytes) -> str:
@@ -80,6 +85,25 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+class Number(str):
+    """A workbook's number as text, with its value."""
+
+    value: float
+
+    def __new__(cls, written: str):
+        value = float(written)
+        own = super().__new__(cls, str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value))
+        own.value = value
+        return own
+
+
+def _number(written: str) -> str:
+    try:
+        return Number(written)
+    except ValueError:
+        return written
+
+
 def xlsx_tables(data: bytes) -> list[tuple[str, list[list[str]]]]:
     """Each sheet's rows: shared and inline strings, formula results, numbers as written; errors are empty, blank rows go."""
     local = lambda e: e.tag.rpartition("}")[2]
@@ -98,7 +122,7 @@ def xlsx_tables(data: bytes) -> list[tuple[str, list[list[str]]]]:
                 for c in row:
                     value = next((v.text or "" for v in c if local(v) == "v"), "")
                     kind = c.get("t")
-                    value = shared[int(value)] if kind == "s" and value else text(c) if kind == "inlineStr" else "" if kind == "e" else value
+                    value = shared[int(value)] if kind == "s" and value else text(c) if kind == "inlineStr" else "" if kind == "e" else _number(value) if kind in (None, "n") and value else value
                     cells[_column(c.get("r") or "") if c.get("r") else len(cells)] = value
                 line = [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
                 if any(line):
@@ -124,16 +148,18 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for sheet, rows in tables_of(p, data or b""):
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * n, pa.string()), pa.array([sheet] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["source_id", "sheet", "row_no", "cells"])
+                for sheet, whole in tables_of(p, data or b""):
+                    for a in range(0, len(whole), ROWS):
+                        rows = whole[a : a + ROWS]
+                        n, values = len(rows), [[getattr(c, "value", None) for c in r] if any(isinstance(c, Number) for c in r) else None for r in rows]
+                        yield pa.RecordBatch.from_arrays([pa.array([p] * n, pa.string()), pa.array([sheet] * n, pa.string()), pa.array(range(a, a + n), pa.int32()), pa.array([[str(c) for c in r] for r in rows], pa.list_(pa.string())), pa.array(values, pa.list_(pa.float64()))], names=["source_id", "sheet", "row_no", "cells", "numbers"])
 
     return files.mapInArrow(run, SCHEMA)
 
 
 def pasted_cells(spark: SparkSession, text: str, source_id: str = "pasted") -> DataFrame:
     """Cells of a text from the clipboard."""
-    rows = [(source_id, "", i, r) for i, r in enumerate(pasted_rows(text))]
+    rows = [(source_id, "", i, r, None) for i, r in enumerate(pasted_rows(text))]
     return spark.createDataFrame(rows, SCHEMA)
 
 

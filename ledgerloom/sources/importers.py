@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +60,11 @@ def _cell(at: int | None) -> Column:
     return F.lit(None).cast("string") if at is None or at < 0 else F.get("cells", at)
 
 
+def _amount(at: int | None) -> Column:
+    """A number cell's value, else what the text says."""
+    return parse_number(_cell(at)) if at is None or at < 0 else F.coalesce(F.get("numbers", F.lit(at)), parse_number(_cell(at)))
+
+
 def _time(c: Column) -> Column:
     """Text, or a workbook's serial number."""
     return F.coalesce(parse_datetime(c), from_excel_serial(c.try_cast("double")))
@@ -89,12 +94,15 @@ class Format:
     project: Callable[[dict[str, int]], tuple[Column, list[Column]]]
     anchor: str | None = None
     exact: tuple[str, ...] = ()
+    most_cells: int | None = None  # filled cells of the header at most
     lookup: bool = False
 
     def find(self, rows: list[list[str]]):
         found = find_header(rows, self.names, anchor=self.anchor)
         if found and any(plain(rows[found[0]][found[1][c]]) != c for c in self.exact):
             return None
+        if found and self.most_cells and sum(plain(c) != "" for c in rows[found[0]]) > self.most_cells:
+            return None
         return found
 
 
@@ -103,14 +111,14 @@ def _by_word(op: Column) -> Column:
 
 
 def _two_row_panel(c):
-    kind, amount, ts = norm(_cell(c["kind"])), parse_number(_cell(c["amount"])), _time(_cell(c["date"]))
+    kind, amount, ts = norm(_cell(c["kind"])), _amount(c["amount"]), _time(_cell(c["date"]))
     word = F.when(F.contains(kind, F.lit("bonus")) | F.contains(kind, F.lit("bono")), "BONUS").when(F.contains(kind, F.lit("withdraw")), "PAYOUT").when(F.contains(kind, F.lit("deposit")), "COLLECT").when(amount >= 0, "COLLECT").otherwise("PAYOUT")
     ok = (norm(_cell(c["owner"])) == "player") & amount.isNotNull() & ts.isNotNull()
     return ok, _move("panel", origin=F.lit("TWO_ROW"), account=clean_text(_cell(c["agent"])), party=clean_text(_cell(c["name"])), ts=ts, type=word, amount=amount, ref=clean_text(_cell(c["ref"])), detail=clean_text(_cell(c["note"])))
 
 
 def _from_to_panel(c):
-    op, ts, amount = clean_text(_cell(c["op"])), _time(_cell(c["date"])), parse_number(_cell(c["amount"]))
+    op, ts, amount = clean_text(_cell(c["op"])), _time(_cell(c["date"])), _amount(c["amount"])
     by, source, target = (clean_text(_cell(c[x])) for x in ("by", "de", "a"))
     party = F.when((target != "") & (norm(target) != norm(by)), target).when((source != "") & (norm(source) != norm(by)), source).otherwise(target)
     ok = op.rlike("(?i)^(dep[oó]sito|retiro|bonus|bono|bonificaci[oó]n)$") & ts.isNotNull() & (F.coalesce(amount, F.lit(0.0)) != 0)
@@ -118,7 +126,7 @@ def _from_to_panel(c):
 
 
 def _flat_panel(c):
-    day, clock, amount = _time(_cell(c["day"])), _clock(_cell(c["hour"])), parse_number(_cell(c["amount"]))
+    day, clock, amount = _time(_cell(c["day"])), _clock(_cell(c["hour"])), _amount(c["amount"])
     op, agent = norm(_cell(c["op"])), clean_text(_cell(c["agent"]))
     kind = F.when(op.startswith("bon"), "BONUS").when((op == "pago") | op.startswith("retiro") | (amount < 0), "PAYOUT").otherwise("COLLECT")
     ts = from_ms(_day_start(day) + F.coalesce(clock, F.lit(0)))
@@ -126,7 +134,7 @@ def _flat_panel(c):
 
 
 def _anchored_wallet(c):
-    amount, ts, state = parse_number(_cell(c["amount"])), _time(_cell(c["date"])), F.coalesce(norm(_cell(c["state"])), F.lit(""))
+    amount, ts, state = _amount(c["amount"]), _time(_cell(c["date"])), F.coalesce(norm(_cell(c["state"])), F.lit(""))
     back, inward = state.startswith("revert"), norm(_cell(c["way"])).startswith("entr")
     concept, channel = clean_text(_cell(c["concept"])), norm(_cell(c["channel"]))
     kind = F.when(back, "REVERSED").when(norm(concept) == "fee", "FEE").when(channel == "interno", "INTERNAL").when(inward, "COLLECT").otherwise("PAYOUT")
@@ -137,7 +145,7 @@ def _anchored_wallet(c):
 
 
 def _market_wallet(c):
-    amount, op = parse_number(_cell(c["value"])), clean_text(_cell(c["op"]))
+    amount, op = _amount(c["value"]), clean_text(_cell(c["op"]))
     ts = F.coalesce(_time(_cell(c["approved"])), _time(_cell(c["created"])))
     ok = (F.coalesce(amount, F.lit(0.0)) != 0) & ts.isNotNull() & ~op.rlike("(?i)rechaz|cancel|pendiente")
     return ok, _move("wallet", origin=F.lit("MARKET"), account=clean_text(_cell(c["account"])), party=clean_text(_cell(c["payer"])), doc=doc_of(_cell(c["payer_doc"])), ts=ts, type=F.when(amount > 0, "COLLECT").otherwise("PAYOUT"), amount=amount, ref=clean_text(_cell(c["iddeoperacionenmercadopago"])), detail=op)
@@ -149,7 +157,7 @@ def _holders(c):
 
 
 def _captures(c):
-    day, amount, clock = _time(_cell(c["fecha"])), parse_number(_cell(c["monto"])), _clock(_cell(c["hora"]))
+    day, amount, clock = _time(_cell(c["fecha"])), _amount(c["monto"]), _clock(_cell(c["hora"]))
     name = clean_text(_cell(c["titular"]))
     ts = from_ms(_day_start(day) + F.coalesce(clock, F.lit(DAY_MS // 2)))
     kind = F.when(norm(_cell(c["operacion"])).startswith("cobro"), "COLLECT").otherwise("PAYOUT")
@@ -157,7 +165,7 @@ def _captures(c):
 
 
 def _branches(c):
-    amount, ts, kind = parse_number(_cell(c["amount"])), _time(_cell(c["date"])), F.coalesce(norm(_cell(c["kind"])), F.lit(""))
+    amount, ts, kind = _amount(c["amount"]), _time(_cell(c["date"])), F.coalesce(norm(_cell(c["kind"])), F.lit(""))
     account = F.array_join(F.filter(F.array(clean_text(_cell(c["branch"])), clean_text(_cell(c["till"]))), lambda x: x != ""), " · ")
     ok = (F.coalesce(amount, F.lit(0.0)) != 0) & ts.isNotNull() & kind.rlike("^(ingreso|egreso)")
     return ok, _move("wallet", origin=F.lit("BRANCH"), account=account, doc=doc_of(_cell(c["tax"])), cbu=cbu_of(_cell(c["target"])), ts=ts, type=F.when(kind.startswith("ingreso"), "COLLECT").otherwise("PAYOUT"), amount=amount, detail=clean_text(_cell(c["text"])))
@@ -172,7 +180,7 @@ FORMATS = (
     Format("HOLDERS", "wallet", 100, {"id": "numeroderetiro", "holder": "nombredeltitular"}, _holders, lookup=True),
     Format("CAPTURES", "wallet", 100, {"fecha": "fecha", "titular": "titular", "operacion": "operacion", "monto": "monto", "?cuenta": "cuenta", "?imagen": "imagen", "?leyenda": "leyenda", "?hora": "hora", "?turno": "turno", "?referencia": "referencia"}, _captures, anchor="origencapturadepantalla"),
     Format("BRANCHES", "wallet", 90, {"branch": "sucursal", "date": "fecha", "kind": "tipo", "amount": "importe", "?till": "caja", "?text": "descripcion", "?target": "destino", "?tax": "cuit"}, _branches),
-    Format("FLAT_PANEL", "panel", 70, {"day": "dia", "hour": "hora", "op": "operacion", "agent": "agente", "name": "nombre", "amount": "monto"}, _flat_panel),
+    Format("FLAT_PANEL", "panel", 70, {"day": "dia", "hour": "hora", "op": "operacion", "agent": "agente", "name": "nombre", "amount": "monto"}, _flat_panel, most_cells=8),
 )
 
 
@@ -225,9 +233,30 @@ class Mapping:
     collect_if: str = ""
 
 
+def signature(row: list[str]) -> str:
+    """A header row as the key of a saved mapping."""
+    return "|".join(plain(c) for c in row)
+
+
+def saved_mapping(cells: DataFrame, saved: dict[str, Mapping], most: int = 5) -> Mapping | None:
+    """The mapping saved for one of the source's first rows; it goes before detection."""
+    for at, row in enumerate(head(cells, most)):
+        if any(row) and (m := saved.get(signature(row))):
+            return replace(m, header_row=at)
+    return None
+
+
+def column_letter(i: int) -> str:
+    """A column's name: A to Z, AA and so on."""
+    out = ""
+    while i >= 0:
+        out, i = chr(65 + i % 26) + out, i // 26 - 1
+    return out
+
+
 def import_mapped(cells: DataFrame, m: Mapping) -> DataFrame:
     """Rows of a source by a user's mapping; rows without a time or with a zero amount are left out."""
-    ts, clock, amount, word = _time(_cell(m.date)), _clock(_cell(m.hour)), parse_number(_cell(m.amount)), F.coalesce(norm(_cell(m.kind)), F.lit(""))
+    ts, clock, amount, word = _time(_cell(m.date)), _clock(_cell(m.hour)), _amount(m.amount), F.coalesce(norm(_cell(m.kind)), F.lit(""))
     sign = F.when(amount >= 0, "COLLECT").otherwise("PAYOUT")
     if m.collect_if:
         named = F.when(F.contains(word, F.lit(plain(m.collect_if))), "COLLECT").otherwise("PAYOUT")
