@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number and sum of hashes of the edges: equal if a round has changed nothing."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, comp) for every vertex of an edge: the smallest vertex it reaches.
 
     Alternates the two star operations: neighbours larger than a vertex, then its
     smaller ones and itself, are tied to the smallest of its neighbourhood, until
     every vertex is tied to its component's smallest. Rounds are written to
-    the shared folder. Loops and repeated edges do no harm; nulls are passed over.
+    the shared folder. Loops and repeated edges do no harm; nulls are passed over. Edges that are
+    such stars already take one round, no edges none.
     """
     own = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    own, state = materialize(own, "edges"), None
-    while True:
+    own = materialize(own, "edges")
+    state = _state(own)
+    while state[0]:
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         own = materialize(small, "edges")
-        now = tuple(own.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = _state(own)
         if now == state:
             break
         state = now

@@ -480,8 +480,10 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
     tied = materialize(in_arrow(dealt, _between(percent), "set_hash long, n long, comp long, root long"), "tied")
     family = components(tied.select(F.col("comp").alias("a"), F.col("root").alias("b")).filter("a <> b")).select(F.col("comp").alias("family"), F.col("v").alias("comp"))
     members = materialize(tied.select("set_hash", "n", "comp").distinct().join(family, "comp"), "families")
-    found = found.unionByName(materialize(_across(members, elements(members.select("set_hash")), percent), "links"))
-    comps = components(found)
+    across = materialize(_across(members, elements(members.select("set_hash")), percent), "links")
+    # the components so far are stars; only what ties them together is new
+    stars = comps.select(F.col("set_hash").alias("a"), F.col("comp").alias("b"))
+    comps = components(stars.unionByName(across))
     placed = sets.join(comps.withColumnRenamed("v", "set_hash"), "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
     least = placed.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     full = placed.withColumn("comp", F.when(F.col("n") > 0, F.col("comp"))).join(least, "comp", "left")
