@@ -357,29 +357,37 @@ def _verify(percent: int):
 
 
 def _tiles(percent: int):
-    """Rows sorted by tile pair and side: links between different components, one for each component and set."""
+    """Rows sorted by tile pair and side: (a, b) for each component that links tie to others, b the least of them; these are stars."""
+
+    def stars(ties):
+        edges = np.unique(np.concatenate(ties), axis=0)
+        names, least = _least(edges[:, 0], edges[:, 1])
+        fit = names != least
+        return np.stack([names[fit], least[fit]], 1)
 
     def run(batches):
-        pair, left, index = None, [], None
+        pair, left, index, ties = None, [], None, []
         for batch in batches:
             out = []
-            tile_pair, side, sets, comp, blobs = (batch.column(i).to_pylist() for i in range(5))
-            for p, s, h, c, blob in zip(tile_pair, side, sets, comp, blobs, strict=True):
+            tile_pair, side, comp, blobs = (batch.column(i).to_pylist() for i in range(4))
+            for p, s, c, blob in zip(tile_pair, side, comp, blobs, strict=True):
                 x = np.frombuffer(blob, "<u8")
                 if p != pair:
-                    pair, left, index = p, [], None
+                    if ties:
+                        out.append(stars(ties))
+                    pair, left, index, ties = p, [], None, []
                 if s == 0:
-                    left.append((h, c, x))
+                    left.append((c, x))
                     continue
                 if not left:
                     continue
                 if index is None:
-                    sizes = np.array([len(e[2]) for e in left])
-                    all_ = np.concatenate([e[2] for e in left])
+                    sizes = np.array([len(e[1]) for e in left])
+                    all_ = np.concatenate([e[1] for e in left])
                     order = np.argsort(all_, kind="stable")
                     words, starts = np.unique(all_[order], return_index=True)
-                    index = (words, np.append(starts, len(all_)), np.repeat(np.arange(len(left)), sizes)[order], sizes, np.array([e[0] for e in left]), np.array([e[1] for e in left]))
-                words, starts, owner, sizes, names, comps = index
+                    index = (words, np.append(starts, len(all_)), np.repeat(np.arange(len(left)), sizes)[order], sizes, np.array([e[0] for e in left]))
+                words, starts, owner, sizes, comps = index
                 at = np.minimum(np.searchsorted(words, x), len(words) - 1)
                 at = at[words[at] == x]
                 n = starts[at + 1] - starts[at]
@@ -387,16 +395,22 @@ def _tiles(percent: int):
                 common = np.bincount(owner[rows], minlength=len(left))
                 hit = np.flatnonzero((100 * common >= percent * (sizes + len(x) - common)) & (comps != c))
                 if len(hit):
-                    _, first = np.unique(comps[hit], return_index=True)
-                    out += [(int(names[i]), h) for i in hit[first]]
-            cols = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+                    far = np.unique(comps[hit])
+                    ties.append(np.stack([np.full(len(far), c), far], 1))
+                    if len(ties) > 4096:
+                        ties = [stars(ties)]
+            if out:
+                found = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        if ties:
+            found = stars(ties)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return run
 
 
 def _across(members: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """All links between different components of a family (set_hash, n, comp, family), tile against tile.
+    """(a, b): the components of a family (set_hash, n, comp, family) that any links tie together, found tile against tile.
 
     A family's sets are dealt to tiles of about TILE elements; a component that fills
     tiles of its own has them to itself, and no two of those are compared. Sets are sent once
@@ -413,8 +427,8 @@ def _across(members: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     other = tiles.select("family", F.col("place").alias("place2"), F.col("only").alias("only2"))
     pairs = tiles.join(other, "family").filter("place <= place2 and not coalesce(only = only2, false)").select("place", "place2", F.xxhash64("place", "place2").alias("pair"))
     full = own.select("place", "set_hash", "comp").join(elements, "set_hash")
-    lefts = full.join(pairs.select("place", "pair"), "place").select("pair", F.lit(0).alias("side"), "set_hash", "comp", "elements")
-    rights = full.join(pairs.select(F.col("place2").alias("place"), "pair"), "place").select("pair", F.lit(1).alias("side"), "set_hash", "comp", "elements")
+    lefts = full.join(pairs.select("place", "pair"), "place").select("pair", F.lit(0).alias("side"), "comp", "elements")
+    rights = full.join(pairs.select(F.col("place2").alias("place"), "pair"), "place").select("pair", F.lit(1).alias("side"), "comp", "elements")
     return in_arrow(lefts.unionByName(rights).repartition("pair").sortWithinPartitions("pair", "side"), _tiles(percent), "a long, b long")
 
 
@@ -481,10 +495,12 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
     family = components(tied.select(F.col("comp").alias("a"), F.col("root").alias("b")).filter("a <> b")).select(F.col("comp").alias("family"), F.col("v").alias("comp"))
     members = materialize(tied.select("set_hash", "n", "comp").distinct().join(family, "comp"), "families")
     across = materialize(_across(members, elements(members.select("set_hash")), percent), "links")
-    # the components so far are stars; only what ties them together is new
-    stars = comps.select(F.col("set_hash").alias("a"), F.col("comp").alias("b"))
-    comps = components(stars.unionByName(across))
-    placed = sets.join(comps.withColumnRenamed("v", "set_hash"), "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
+    # only what ties components together is new: a graph of components
+    roots = components(across).withColumnsRenamed({"v": "__comp", "comp": "__root"})
+    of = members.select("set_hash", "comp")
+    known = comps.select("set_hash", "comp").unionByName(of.join(comps, "set_hash", "left_anti"))
+    comps = known.join(roots, F.col("comp") == F.col("__comp"), "left").select("set_hash", F.coalesce("__root", "comp").alias("comp"))
+    placed = sets.join(comps, "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
     least = placed.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     full = placed.withColumn("comp", F.when(F.col("n") > 0, F.col("comp"))).join(least, "comp", "left")
     return full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
