@@ -108,6 +108,25 @@ def give_back() -> None:
             trim(0)
 
 
+#: Bits of the table that ``maybe_among`` sends to all tasks: 2 MB, whatever the input.
+BITS = 1 << 24
+
+
+def maybe_among(df: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` whose ``columns`` may be among those of ``wanted`` (same names), before an exact join.
+
+    Rows that are among them all stay; of the others as many as share a bit of BITS with them. So a join that
+    needs few rows of a large table moves few, and no more than all where nearly all are wanted.
+    """
+    bit = F.pmod(F.xxhash64(*columns), F.lit(BITS))
+    marks = wanted.select(bit.alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
+    own = df.withColumn("__bit", bit).withColumns({"__bucket_of": F.bitmap_bucket_number("__bit"), "__place": F.bitmap_bit_position("__bit").cast("int")})
+    joined = own.join(F.broadcast(marks), F.col("__bucket_of") == F.col("__bucket"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, F.col("__place") % 8).bitwiseAND(1) == 1
+    return joined.filter(hit).select(*df.columns)
+
+
 def crc_class(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, in_arrow, materialize, sliced, table
+from .common import SLICE, in_arrow, materialize, maybe_among, sliced, table
 from .graph import components
 from .hashing import mix, shingles
 
@@ -455,8 +455,9 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
     def elements(wanted: DataFrame) -> DataFrame:
         """The elements of the sets in ``wanted`` (set_hash), from one row that holds each."""
         of = holders.select("set_hash", "id", "same").join(wanted.distinct(), "set_hash", "left_semi")
-        named = own.join(of.select("id"), "id", "left_semi").select("__t")
-        nameless = own.filter(F.col("id").isNull()).select("same", "__t").distinct().join(of.filter(F.col("id").isNull()).select("same"), "same", "left_semi").select("__t")
+        near = maybe_among(own, of, "id", "same")
+        named = near.join(of.select("id"), "id", "left_semi").select("__t")
+        nameless = near.filter(F.col("id").isNull()).select("same", "__t").distinct().join(of.filter(F.col("id").isNull()).select("same"), "same", "left_semi").select("__t")
         bodies = in_arrow(named.unionByName(nameless), _arrays(words), "set_hash long, elements binary")
         return materialize(bodies.dropDuplicates(["set_hash"]), "elements")
 
