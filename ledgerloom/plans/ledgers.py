@@ -43,9 +43,9 @@ def _fill(secs, events: str) -> str:
 DUCKDB = "WITH " + _fill(lambda x: f"to_seconds({x})", "events")
 
 
-def _spark(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _spark(spark: SparkSession, sf_dir: str, name: str, more: str = "") -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spark.sql("WITH " + _fill(lambda x: f"make_dt_interval(0, 0, 0, {x})", "{events}") + f" SELECT * FROM {name}", events=events)
+    return spark.sql("WITH " + _fill(lambda x: f"make_dt_interval(0, 0, 0, {x})", "{events}") + more + f" SELECT * FROM {name}", events=events)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,10 +228,12 @@ def wallet_coverage(spark, sf_dir):
 _LINES = {"North": ("agent0", "agent1"), "South": ("agent3",)}
 
 
-@query(_MOVES + """SELECT account, count(*) AS n, CASE WHEN account IN ('agent0', 'agent1') THEN 'North' WHEN account = 'agent3' THEN 'South' END AS line FROM both_sides WHERE side = 'panel' GROUP BY account""")
+@query(_MOVES + """SELECT min(CASE WHEN epoch_ms(ts) % 2 = 0 THEN account ELSE 'AGENT-' || account[6:] END) FILTER (rn = 1) AS account, count(*) AS n, CASE WHEN key IN ('agent0', 'agent1') THEN 'North' WHEN key = 'agent3' THEN 'South' END AS line
+FROM (SELECT *, account AS key, row_number() OVER (PARTITION BY account ORDER BY ts, CASE WHEN epoch_ms(ts) % 2 = 0 THEN account ELSE 'AGENT-' || account[6:] END) AS rn FROM both_sides WHERE side = 'panel') GROUP BY key""")
 def agent_inventory(spark, sf_dir):
-    """Movements and line of each agent."""
+    """Movements and line of each agent, written in two ways."""
     p, _ = _sides(spark, sf_dir)
+    p = p.withColumn("account", F.when(F.col("ms") % 2 == 0, F.col("account")).otherwise(F.concat(F.lit("AGENT-"), F.substring("account", 6, 9)))).drop("load_seq")
     return dataset.agent_inventory(p, _LINES).select("account", "n", "line")
 
 
