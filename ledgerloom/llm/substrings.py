@@ -308,19 +308,20 @@ def with_keys(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_
     return named.withColumn(key, id_).unionByName(nameless.withColumn(key, own)), least + total
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", characters: bool = False, keyed: bool = False) -> DataFrame:
     """doc_id, kept (bytes; with ``characters`` text, without what a cut leaves of a character), n_bytes, n_removed, n_spans, spans (byte ranges): each text as
     UTF-8 without the bytes covered by a string of ``length`` bytes that also starts
     earlier (smaller doc_id, or the same and an earlier start). Strings don't cross documents and
     are judged on the input; overlaps count.
 
-    Null and empty texts stay empty. Rows without an id are documents of their own and come before all others,
-    in the order of their texts' hashes. Ids are to be unique: a row with an id repeated in full is one document given twice, with the same result for both. Other
+    Null and empty texts stay empty. Every row is a document of its own: rows without an id, and rows whose id others have too, come before all others,
+    in the order of their texts' hashes, and keep their ids. ``keyed``: ids are known to be unique, so none are looked for that repeat. Other
     columns are passed over, an empty table gives no rows. ``length`` lies between 2 * Q and 30,000.
     """
     if not 2 * Q <= length <= 30_000:
         raise ValueError(f"length must lie between {2 * Q} and 30000")
-    own, first = with_keys(docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).cast("string").alias("__t")), "id", "__t", "__doc")
+    own, first = with_keys(docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).cast("string").alias("__t")), "id", "__t", "__doc", unique=not keyed)
+    numbered = own.filter(F.col("id") < first).select("id", "__doc") if first > -(1 << 63) else None
     own = own.select("id", "__t")
     sort = lambda rows: in_arrow(rows.repartition("g").sortWithinPartitions("g", "c", "id", "at"), _refine, _MARKS)
     marks = materialize(sort(in_arrow(own, _anchor_rows(length), _ROWS)), "anchors")
@@ -332,9 +333,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
     repeats = closed(marks).unionByName(closed(slots)).unionByName(closed(strings))
     by_doc = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "count")).alias("marks"))
     full = pressed.join(by_doc, "id", "left")
-    return in_arrow(full.select("id", "z", "marks"), _cut(length, characters), f"id long, kept {'string' if characters else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>").select(
-        F.when(F.col("id") >= first, F.col("id")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "spans"
-    )
+    cut = in_arrow(full.select("id", "z", "marks"), _cut(length, characters), f"id long, kept {'string' if characters else 'binary'}, n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>")
+    out = cut if numbered is None else cut.join(numbered, "id", "left")
+    name = F.when(F.col("id") >= first, F.col("id"))
+    return out.select((name if numbered is None else F.coalesce(name, "__doc")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "spans")
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:

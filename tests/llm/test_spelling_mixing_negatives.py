@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, negatives, spelling
+from ledgerloom.llm import mixing, negatives, spelling, substrings
 
 # --- hard negatives ---------------------------------------------------------
 
@@ -225,3 +225,18 @@ def test_mix_is_emitted(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
     blank = mixing.mix_sources(df.withColumn("text", F.lit(None).cast("string")))
     assert blank.agg(F.sum("taken"), F.sum("target")).first() == (0, 0.0)
+
+
+# --- repeated strings of rows that share an id --------------------------------
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    a, other = text(150), text(400)
+    rows = [(1, a), (2, "x" + a + "y"), (2, other), (3, a), (None, text(200)), (4, None)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, __doc string").repartition(3)
+    got = substrings.remove_repeats(df, 100).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    # rows of a repeated id come first, so theirs is the copy that stays, and nothing else is cut
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 200, 0), (1, 150, 150), (2, 152, 0), (2, 400, 0), (3, 150, 150), (4, 0, 0)]
