@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier go."""
     keyed, _ = with_keys(docs.select(*COLUMNS), "__key", unique=True)
-    kept = remove_repeats(keyed, 100, doc_id="__key", characters=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
+    kept = remove_repeats(keyed, 100, doc_id="__key", characters=True, keyed=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
     full = keyed.join(kept, F.col("__key") == F.col("__id"), "left")
     return _with_text(full.withColumn("__text", F.coalesce("__kept", "text")), "__text")
 
