@@ -455,9 +455,11 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, text:
     def elements(wanted: DataFrame) -> DataFrame:
         """The elements of the sets in ``wanted`` (set_hash), from one row that holds each."""
         of = holders.select("set_hash", "id", "same").join(wanted.distinct(), "set_hash", "left_semi")
+        # inner joins: a semi-join would be moved below the one that leaves most rows out
         near = maybe_among(own, of, "id", "same")
-        named = near.join(of.select("id"), "id", "left_semi").select("__t")
-        nameless = near.filter(F.col("id").isNull()).select("same", "__t").distinct().join(of.filter(F.col("id").isNull()).select("same"), "same", "left_semi").select("__t")
+        named = near.join(of.select("id").distinct(), "id").select("__t")
+        lone = of.filter(F.col("id").isNull()).select("same").distinct()
+        nameless = near.filter(F.col("id").isNull()).select("same", "__t").distinct().join(lone, "same").select("__t")
         bodies = in_arrow(named.unionByName(nameless), _arrays(words), "set_hash long, elements binary")
         return materialize(bodies.dropDuplicates(["set_hash"]), "elements")
 
