@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import norm
+from ..functions.order import by_name
 from ..functions.times import DAY_MS, SHIFTS, from_ms, shift_bands, to_ms
 from ..plans import params as P
 from ..sources.importers import fill_holders
 from .dedup import absorb_unreferenced, keep_first, stable_ids
 
+#: The label of rows without an agent.
+NO_AGENT = "(no agent)"
 SLOTS = "array<struct<from_ts:timestamp_ntz,to_ts:timestamp_ntz>>"
 
 
@@ -61,15 +64,23 @@ def assemble(sources: list[Source], config: Config | None = None) -> DataFrame:
         name = f"{s.name} / {s.sheet}" if s.sheet else s.name
         parts.append(s.records.withColumns({"source": F.lit(name), "load_seq": F.lit(i << 40) + F.col("load_seq")}))
     moves = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    holders = [s.holders.select("ref", "holder") for s in active if s.holders is not None]
-    if holders:
-        moves = fill_holders(moves, reduce(DataFrame.unionByName, holders))
+    # of two holders of one reference the last loaded counts
+    at = lambda s, i: F.lit(i << 40) + (F.col("load_seq") if "load_seq" in s.holders.columns else F.lit(0))
+    holders = [s.holders.select("ref", "holder", at(s, i).alias("load_seq")) for i, s in enumerate(active) if s.holders is not None]
+    return assemble_records(moves, reduce(DataFrame.unionByName, holders) if holders else None, config)
+
+
+def assemble_records(moves: DataFrame, holders: DataFrame | None = None, config: Config | None = None) -> DataFrame:
+    """Records of all sources (movement columns, source, load_seq) and holders (ref, holder, load_seq) as movements with stable ids."""
+    config = config or Config()
+    if holders is not None:
+        moves = fill_holders(moves, holders)
     if config.accounts:
         alias = moves.sparkSession.createDataFrame(list(config.accounts.items()), "account_key string, __alias string")
         moves = moves.withColumn("account_key", norm(F.col("account"))).join(alias, "account_key", "left").withColumn("account", F.coalesce("__alias", "account")).drop("account_key", "__alias")
     moves = with_slots(moves, config.shifts)
     moves = keep_first(moves).withColumns({"id": F.col("load_seq").cast("string"), "ms": to_ms(F.col("ts"))})
-    moves = absorb_unreferenced(moves).withColumn("seq", F.struct("ms", "load_seq"))
+    moves = absorb_unreferenced(moves).withColumn("seq", F.struct("ms", (F.coalesce("ref", F.lit("")) == "").alias("bare"), "load_seq"))
     return stable_ids(moves).drop("seq", "ms")
 
 
@@ -96,15 +107,21 @@ def choose_agents(panel: DataFrame, lines: dict[str, tuple[str, ...]], line: str
 
 
 def excluded_counts(excluded: DataFrame) -> DataFrame:
-    """How many rows of each agent were left out."""
-    return excluded.groupBy("account").agg(F.count("*").alias("n"))
+    """How many rows of each agent were left out; rows without one have a label of their own."""
+    name = F.coalesce(F.nullif("account", F.lit("")), F.lit(NO_AGENT))
+    return excluded.groupBy(name.alias("account")).agg(F.count("*").alias("n"))
 
 
 def agent_inventory(panel: DataFrame, lines: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Movements, origins and line of each agent; by line, then by number."""
-    seen = panel.filter(F.coalesce("account", F.lit("")) != "").groupBy("account").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("origin")).alias("origins"))
+    """Movements, origins and line of each agent; agents without a line first, then by line, then by number.
+
+    Writings that are equal after ``norm`` are one agent, shown as first written (by time, then load order, then text).
+    """
+    order = F.struct(*(c for c in ("ts", "load_seq") if c in panel.columns), "account")
+    own = panel.filter(F.coalesce("account", F.lit("")) != "").withColumns({"__key": norm(F.col("account")), "__order": order})
+    seen = own.groupBy("__key").agg(F.min_by("account", "__order").alias("account"), F.count("*").alias("n"), F.sort_array(F.collect_set("origin")).alias("origins")).drop("__key")
     full = line_of(seen, lines) if lines else seen.withColumn("line", F.lit(None).cast("string"))
-    return full.orderBy(F.col("line").asc_nulls_last(), F.desc("n"), "account")
+    return full.orderBy(by_name(F.coalesce("line", F.lit(""))), F.desc("n"), "account")
 
 
 def source_coverage(moves: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def absorb_unreferenced(moves: DataFrame, window_ms: int = 60_000, order: str =
     keyed = moves.withColumns({"user": norm(F.col("party")), "cents": F.round(F.col("amount") * 100).cast("long")})
     side = lambda d, x: d.select("side", "type", "user", "cents", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "ms", "source", order)))
     pairs = band_join(side(keyed.filter(~has), "a"), side(keyed.filter(has), "b"), ["side", "type", "user", "cents"], "a_ms", "b_ms", window_ms, window_ms).filter("a_source <> b_source")
-    taken = greedy_match(pairs, ["a_id", "b_id"], [F.col(c) for c in (f"a_{order}", "a_id", f"b_{order}", "b_id")])
+    taken = greedy_match(pairs, ["a_id", "b_id"], [F.col(c) for c in (f"a_{order}", "a_id", f"b_{order}", "b_id")], at="a_ms")
     return moves.join(taken.select(F.col("a_id").alias("id")), "id", "left_anti")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import DAY_MS, to_ms
+from ..functions.numbers import format_money
+from ..functions.times import DAY_MS, from_ms, to_ms
 from ..plans import params as P
 from .joins import band_join
 
@@ -42,11 +43,35 @@ def _closest(rows: DataFrame, others: DataFrame, tolerance: float) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("a_id").alias("id"), F.col("b_id").alias("near_id"), (F.col("b_ms") - F.col("a_ms")).alias("near_ms"))
 
 
-def diagnose(pending: DataFrame, panel: DataFrame, wallet: DataFrame, excluded: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
-    """Add ``reason``, ``near_id`` and ``near_ms`` to the actionable rows of ``pending``; null for all others.
+def _who(party: Column, account: Column) -> Column:
+    return F.array_join(F.filter(F.array(party, account), lambda x: F.coalesce(x, F.lit("")) != ""), " · ")
 
-    ``panel`` and ``wallet`` are all loaded movements (for coverage), ``excluded`` the panel rows of filtered agents.
+
+def _when(ms: Column, no_time: Column) -> Column:
+    ts = from_ms(ms)
+    return F.concat(F.date_format(ts, "dd/MM/yyyy "), F.when(no_time, "n/t").otherwise(F.date_format(ts, "HH:mm")))
+
+
+def why_apart(kind: Column, p_ms: Column, w_ms: Column, timeless: Column, params: P.Params) -> Column:
+    """Why a possible pair was not joined by itself, from the clocks of its panel and wallet rows."""
+    apart = F.floor(F.abs(p_ms - w_ms) / P.MINUTE + 0.5).cast("long")
+    text = apart.cast("string")
+    tol, most = params.clock_tolerance * P.MINUTE, F.when(kind == "COLLECT", params.max_collect_lag).otherwise(params.max_payout_lag)
+    return (
+        F.when(timeless, "no time, and more than one candidate")
+        .when((kind == "COLLECT") & (w_ms > p_ms + tol), F.concat(F.lit("the money shows "), text, F.lit(" min after the load")))
+        .when((kind == "PAYOUT") & (w_ms < p_ms - tol), F.concat(F.lit("the payment shows "), text, F.lit(" min before the withdrawal")))
+        .when(apart > most, F.concat(text, F.lit(" min apart (at most "), most.cast("string"), F.lit(")")))
+        .otherwise("another equal movement competes for the pair")
+    )
+
+
+def diagnose(pending: DataFrame, panel: DataFrame, wallet: DataFrame, excluded: DataFrame | None = None, tolerance: float = 0.01, params: P.Params | None = None) -> DataFrame:
+    """Add ``reason``, ``detail_text`` (the reason in words), ``near_id`` and ``near_ms`` to the actionable rows of ``pending``; null for all others.
+
+    ``panel`` and ``wallet`` are all loaded movements (for coverage), ``excluded`` the panel rows of filtered agents; ``params`` has the lags that the words name.
     """
+    params = params or P.Params()
     own = pending.filter(F.col("status").isin(*ACTIONABLE))
     p, w = own.filter("side = 'panel'"), own.filter("side <> 'panel'")
     near = _closest(p, w, tolerance).unionByName(_closest(w, p, tolerance))
@@ -55,17 +80,39 @@ def diagnose(pending: DataFrame, panel: DataFrame, wallet: DataFrame, excluded:
     bands = coverage(panel.filter("not no_time").unionByName(wallet)).select("side", F.explode(F.sequence(F.floor(F.col("lo") / hour), F.floor(F.col("hi") / hour))).alias("h"), "lo", "hi")
     facing = own.select("id", "ms", F.when(F.col("side") == "panel", "wallet").otherwise("panel").alias("side"), F.floor(F.col("ms") / hour).alias("h"))
     seen = facing.join(bands, ["side", "h"]).filter((F.col("ms") >= F.col("lo")) & (F.col("ms") < F.col("hi"))).select("id").distinct().withColumn("covered", F.lit(True))
-    full = own.join(near, "id", "left").join(seen, "id", "left")
+    full = own.select("id", "side", "type", "ms", "amount", "no_time").join(near, "id", "left").join(seen, "id", "left")
     full = full.withColumn("o_id", F.lit(None).cast("string")) if other is None else full.join(other.select("id", F.col("near_id").alias("o_id")), "id", "left")
+    mine = F.col("side") == "panel"
     reason = (
         F.when(F.col("near_id").isNotNull(), POSSIBLE_PAIR).when(F.col("o_id").isNotNull(), OTHER_AGENT)
-        .when((F.col("side") != "panel") & ~F.col("no_time") & F.col("covered").isNull(), NO_PANEL_COVERAGE)
-        .when((F.col("side") == "panel") & F.col("covered").isNull(), NO_WALLET_COVERAGE).otherwise(NO_SUCH_AMOUNT)
+        .when(~mine & ~F.col("no_time") & F.col("covered").isNull(), NO_PANEL_COVERAGE)
+        .when(mine & F.col("covered").isNull(), NO_WALLET_COVERAGE).otherwise(NO_SUCH_AMOUNT)
+    )
+    full = full.withColumns({"reason": reason, "near_id": F.coalesce("near_id", "o_id")})
+    shape = lambda d: d.select(F.col("id").alias("n_id"), F.col("party").alias("n_party"), F.col("account").alias("n_account"), F.col("ms").alias("n_ms"), F.col("no_time").alias("n_no"), F.col("amount").alias("n_amount"))
+    met = shape(own) if excluded is None else shape(own).unionByName(shape(excluded))
+    full = full.join(met, F.col("near_id") == F.col("n_id"), "left")
+    at = _when(F.col("n_ms"), F.col("n_no"))
+    p_ms, w_ms = F.when(mine, F.col("ms")).otherwise(F.col("n_ms")), F.when(mine, F.col("n_ms")).otherwise(F.col("ms"))
+    money = F.concat(F.lit("$"), format_money(F.col("amount")))
+    unknown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("?"))
+    collect = F.col("type") == "COLLECT"
+    detail = (
+        F.when(reason_is(POSSIBLE_PAIR), F.concat(_who(F.col("n_party"), F.col("n_account")), F.lit(" "), at, F.lit(": "), why_apart(F.col("type"), p_ms, w_ms, F.col("no_time") | F.col("n_no"), params)))
+        .when(reason_is(OTHER_AGENT), F.concat(unknown(F.col("n_party")), F.lit(" of "), unknown(F.col("n_account")), F.lit(" "), at, F.lit(", $"), format_money(F.col("n_amount"))))
+        .when(reason_is(NO_PANEL_COVERAGE), "no panel movements are loaded at that time")
+        .when(reason_is(NO_WALLET_COVERAGE), "no loaded wallet covers that time: the report or the captures of that shift are missing")
+        .when(mine, F.concat(F.lit("wallets of that time are loaded, but none with a "), F.when(collect, "deposit").otherwise("payment"), F.lit(" of "), money, F.lit(": a wallet or a capture may be missing")))
+        .otherwise(F.concat(F.lit("the panel has no "), F.when(collect, "collect").otherwise("payout"), F.lit(" of "), money, F.lit(" near that time")))
     )
-    found = full.select("id", reason.alias("reason"), F.coalesce("near_id", "o_id").alias("near_id"), "near_ms")
+    found = full.select("id", "reason", detail.alias("detail_text"), "near_id", "near_ms")
     return pending.join(found, "id", "left")
 
 
+def reason_is(reason: str) -> Column:
+    return F.col("reason") == reason
+
+
 def reason_counts(diagnosed: DataFrame) -> DataFrame:
     """Rows and money of each reason, by side."""
     return diagnosed.filter("reason is not null").groupBy("reason").pivot("side", ["panel", "wallet"]).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))

@@ -24,12 +24,12 @@ _TYPES = {"load_seq": "long", "ts": "timestamp_ntz", "amount": "double", "no_tim
 
 def movements(df: DataFrame, side: str) -> DataFrame:
     """The movement schema: missing columns are null, amounts are positive with two decimals,
-    ``ms`` is the wall clock and ``seq`` the place by time, then by load order (rows without ``load_seq`` are equal, and go by id)."""
+    ``ms`` is the wall clock and ``seq`` the place by time, then rows with a reference, then by load order (rows without ``load_seq`` are equal, and go by id)."""
     have = set(df.columns)
     own = df.select(*((F.col(c) if c in have else F.lit(side) if c == "side" else F.lit(None)).cast(_TYPES.get(c, "string")).alias(c) for c in MOVE))
     own = own.withColumns({"amount": round2(F.abs("amount")), "no_time": F.coalesce("no_time", F.lit(False)), "ms": to_ms(F.col("ts"))})
     # an order, not a rank: the time, then the id; no single-partition window is needed
-    return own.withColumn("seq", F.struct("ms", F.coalesce("load_seq", F.lit(0)).alias("loaded")))
+    return own.withColumn("seq", F.struct("ms", (F.coalesce("ref", F.lit("")) == "").alias("bare"), F.coalesce("load_seq", F.lit(0)).alias("loaded")))
 
 
 def amount_bonus(p: Column, w: Column, kind: Column, params: P.Params) -> Column:
@@ -96,7 +96,7 @@ def candidates(panel: DataFrame, wallet: DataFrame, params: P.Params, inverted:
 
 
 def _edges(pairs: DataFrame, account_hint: DataFrame | None = None) -> DataFrame:
-    own = pairs.select(F.col("p_id").alias("pid"), F.col("w_id").alias("wid"), "type", "p_party", "w_party", "w_doc", "w_cbu", "p_account", "w_account", "lag", "bonus", "relation", score(F.col("lag"), F.col("bonus"), F.col("relation")).alias("score"), F.col("p_seq"), F.col("w_seq"))
+    own = pairs.select(F.col("p_id").alias("pid"), F.col("w_id").alias("wid"), "type", "p_party", "w_party", "w_doc", "w_cbu", "p_account", "w_account", "lag", "bonus", "relation", score(F.col("lag"), F.col("bonus"), F.col("relation")).alias("score"), "p_seq", "w_seq", "p_ms")
     if account_hint is not None:
         # accounts that are expected of an agent: (agent_key, account_key)
         own = own.withColumns({"agent_key": norm(F.col("p_account")), "account_key": norm(F.col("w_account"))}).join(account_hint.select("agent_key", "account_key", F.lit(10).alias("__plus")).distinct(), ["agent_key", "account_key"], "left")
@@ -130,10 +130,11 @@ def _matches(taken: DataFrame, panel: list[str], wallet: list[str], status: Colu
 
 
 def _unused(df: DataFrame, matches: list[DataFrame], side: str) -> DataFrame:
-    out = df
-    for m in matches:
-        out = out.join(m.select(F.explode(f"{side}_ids").alias("id")), "id", "left_anti")
-    return out
+    """Rows that no match has: one anti-join with the ids of all of them."""
+    if not matches:
+        return df
+    used = reduce(DataFrame.unionByName, (m.select(F.explode(f"{side}_ids").alias("id")) for m in matches))
+    return df.join(used, "id", "left_anti")
 
 
 def learn(aliases: DataFrame, matches: list[DataFrame], panel: DataFrame, wallet: DataFrame) -> DataFrame:
@@ -168,43 +169,50 @@ def one_to_one(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params:
     sure = F.coalesce(F.col("relation").isin("known", "hint"), F.lit(False)) | ((F.col("n_p") == 1) & (F.col("n_w") == 1))
     if safe_only or inverted:
         edges = edges.filter(sure & (F.coalesce("relation", F.lit("")) != "different"))
-    taken = greedy_match(edges, ["pid", "wid"], _order())
+    taken = greedy_match(edges, ["pid", "wid"], _order(), at="p_ms")
     bonus = F.when(F.col("bonus") > 0, F.format_string("bonus %d%%", "bonus")).otherwise("")
     if inverted:
         return _matches(taken, ["pid"], ["wid"], _status(F.col("bonus")), F.lit("clock order reversed, review the time"), F.lit("low"))
     return _matches(taken, ["pid"], ["wid"], _status(F.col("bonus")), bonus, confidence(F.col("relation"), F.col("bonus"), F.col("score")))
 
 
-def _loose(panel: DataFrame, wallet: DataFrame, params: P.Params) -> DataFrame:
-    """Pairs in the lag's window, whatever their amounts."""
-    kinds = lambda d: d.filter(F.col("type").isin(*P.MATCHABLE))
-    pairs = band_join(_side(kinds(panel), "p"), _side(kinds(wallet).filter(~F.col("no_time")), "w"), ["type"], "p_ms", "w_ms", params.reach, params.reach)
-    most = F.when(F.col("type") == "COLLECT", params.max_collect_lag).otherwise(params.max_payout_lag) * P.MINUTE
-    d = lag(F.col("type"), F.col("p_ms"), F.col("w_ms"))
-    return pairs.filter((d >= 0) & (d <= most))
+def _wallet_pairs(wallet: DataFrame, most: int) -> DataFrame:
+    """Pairs of wallet rows of one type (a before b) at most ``most`` ms apart whose holders are the same or not known, with their sum."""
+    own = wallet.filter(~F.col("no_time") & F.col("type").isin(*P.MATCHABLE)).withColumn("name", name_key(F.col("party"))).withColumn("blank", F.coalesce("party", F.lit("")) == "")
+    side = lambda x, rows: rows.select("type", "name", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "ms", "seq", "amount", "party", "doc", "cbu")))
+    named, blank = own.filter("not blank"), own.filter("blank")
+    # one holder: by name; an unknown one goes with any
+    same = band_join(side("a", named), side("b", named), ["type", "name"], "a_ms", "b_ms", 0, most).drop("name")
+    loose = lambda a, b: band_join(side("a", a).drop("name"), side("b", b).drop("name"), ["type"], "a_ms", "b_ms", 0, most)
+    pairs = same.unionByName(loose(blank, own)).unionByName(loose(named, blank))
+    before = (F.col("a_seq") < F.col("b_seq")) | ((F.col("a_seq") == F.col("b_seq")) & (F.col("a_id") < F.col("b_id")))
+    return pairs.filter(before).withColumn("value", F.col("a_amount") + F.col("b_amount"))
 
 
 def two_to_one(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params: P.Params) -> DataFrame:
-    """One panel row for two wallet rows that add up to it, of one holder or unknown ones."""
-    pairs = _related(_loose(panel, wallet, params), aliases).filter(F.col("w_amount") <= F.col("p_amount") + params.amount_tolerance)
-    a = pairs.select("p_id", "p_seq", "p_amount", F.col("w_id").alias("a_id"), F.col("w_seq").alias("a_seq"), F.col("w_amount").alias("a_amount"), name_key(F.col("w_party")).alias("a_name"), "relation")
-    b = pairs.select(F.col("p_id").alias("__p"), F.col("w_id").alias("b_id"), F.col("w_seq").alias("b_seq"), F.col("w_amount").alias("b_amount"), name_key(F.col("w_party")).alias("b_name"))
-    # the second's amount is known within the tolerance, so whole units narrow the join to equal keys
-    unit = max(1.0, 2 * params.amount_tolerance)
-    a = a.withColumn("__k", F.explode(F.array(*(F.floor((F.col("p_amount") - F.col("a_amount")) / unit) + i for i in (-1, 0, 1)))))
-    b = b.withColumn("__k2", F.floor(F.col("b_amount") / unit))
-    both = a.join(b, (F.col("p_id") == F.col("__p")) & (F.col("__k") == F.col("__k2")))
-    before = (F.col("a_seq") < F.col("b_seq")) | ((F.col("a_seq") == F.col("b_seq")) & (F.col("a_id") < F.col("b_id")))
-    fit = F.abs(F.col("a_amount") + F.col("b_amount") - F.col("p_amount")) <= params.amount_tolerance
-    same = (F.col("a_name") == "") | (F.col("b_name") == "") | (F.col("a_name") == F.col("b_name"))
-    edges = both.filter(before & fit & same & (F.coalesce("relation", F.lit("")) != "different")).select("p_id", "a_id", "b_id", "p_seq", "a_seq", "b_seq").distinct()
-    taken = greedy_match(edges, ["p_id", "a_id", "b_id"], [F.col(c) for c in ("p_seq", "p_id", "a_seq", "a_id", "b_seq", "b_id")])
+    """One panel row for two wallet rows that add up to it, of one holder or unknown ones.
+
+    Wallet rows pair up first (by holder, within a lag), their sum finds the panel row, and identities are compared last.
+    """
+    lags = {"COLLECT": params.max_collect_lag * P.MINUTE, "PAYOUT": params.max_payout_lag * P.MINUTE}
+    pairs = _wallet_pairs(wallet, max(lags.values()))
+    unit = max(0.01, 2 * params.amount_tolerance)
+    keyed = pairs.withColumn("sum_key", F.explode(F.array(*(F.floor(F.col("value") / unit) + i for i in (-1, 0, 1)))))
+    p = _side(panel.filter(F.col("type").isin(*P.MATCHABLE)), "p").withColumn("sum_key", F.floor(F.col("p_amount") / unit))
+    both = band_join(keyed, p, ["type", "sum_key"], "a_ms", "p_ms", lags["PAYOUT"], lags["COLLECT"]).filter(F.abs(F.col("value") - F.col("p_amount")) <= params.amount_tolerance)
+    most = F.when(F.col("type") == "COLLECT", lags["COLLECT"]).otherwise(lags["PAYOUT"])
+    for x in ("a", "b"):
+        both = both.filter(lag(F.col("type"), F.col("p_ms"), F.col(f"{x}_ms")).between(F.lit(0), most))
+    first = both.withColumnsRenamed({"a_party": "w_party", "a_doc": "w_doc", "a_cbu": "w_cbu"})
+    edges = _related(first, aliases).filter(F.coalesce("relation", F.lit("")) != "different").select("p_id", "a_id", "b_id", "p_seq", "a_seq", "b_seq", "p_ms").distinct()
+    taken = greedy_match(edges, ["p_id", "a_id", "b_id"], [F.col(c) for c in ("p_seq", "p_id", "a_seq", "a_id", "b_seq", "b_id")], at="p_ms")
     return _matches(taken, ["p_id"], ["a_id", "b_id"], F.lit(P.GROUPED), F.lit("two wallet movements for one panel operation"), F.lit("medium"))
 
 
-def _user_pairs(panel: DataFrame, most: int, opposite: bool) -> DataFrame:
+def _user_pairs(panel: DataFrame, most: int, opposite: bool, named: bool = False) -> DataFrame:
     """Pairs of one user's panel rows (a before b) at most ``most`` ms apart, of equal or of opposite types, with their signed sum."""
     own = panel.filter(F.col("type").isin(*P.MATCHABLE)).withColumn("user", norm(F.col("party")))
+    own = own.filter("user <> ''") if named else own
     value = F.when(F.col("type") == "COLLECT", F.col("amount")).otherwise(-F.col("amount"))
     side = lambda x: own.select("user", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "ms", "seq", "type", "party")), value.alias(f"{x}_value"))
     pairs = band_join(side("a"), side("b"), ["user"], "a_ms", "b_ms", 0, most)
@@ -224,7 +232,7 @@ def _to_wallet(pairs: DataFrame, wallet: DataFrame, params: P.Params, reach: int
 
 
 def _take_pairs(edges: DataFrame) -> DataFrame:
-    return greedy_match(edges.select("w_id", "a_id", "b_id", "w_seq", "a_seq", "b_seq").distinct(), ["w_id", "a_id", "b_id"], [F.col(c) for c in ("w_seq", "w_id", "a_seq", "a_id", "b_seq", "b_id")])
+    return greedy_match(edges.select("w_id", "a_id", "b_id", "w_seq", "a_seq", "b_seq", "w_ms").distinct(), ["w_id", "a_id", "b_id"], [F.col(c) for c in ("w_seq", "w_id", "a_seq", "a_id", "b_seq", "b_id")], at="w_ms")
 
 
 def one_to_two(panel: DataFrame, wallet: DataFrame, params: P.Params) -> DataFrame:
@@ -240,7 +248,7 @@ def netting(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params: P.P
     """A load and a withdrawal of one user whose net is one wallet movement of a known or hinted holder."""
     most = max(params.max_collect_lag, params.max_payout_lag) * P.MINUTE
     own = wallet.filter(F.coalesce("party", F.lit("")) != "")
-    edges = _to_wallet(_user_pairs(panel, 2 * most, True), own, params, most).filter(F.abs(F.col("b_ms") - F.col("w_ms")) <= most)
+    edges = _to_wallet(_user_pairs(panel, 2 * most, True, named=True), own, params, most).filter(F.abs(F.col("b_ms") - F.col("w_ms")) <= most)
     for x in ("a", "b"):
         edges = _related(edges.withColumn("p_party", F.col(f"{x}_party")), aliases).filter(F.col("relation").isin("known", "hint")).drop("relation", "p_party")
     return _matches(_take_pairs(edges), ["a_id", "b_id"], ["w_id"], F.lit(P.NETTED), F.lit("load and withdrawal net against one movement"), F.lit("medium"))
@@ -316,8 +324,8 @@ def no_time(panel: DataFrame, wallet: DataFrame, aliases: DataFrame, params: P.P
     points = 100 + F.when(F.col("relation") == "known", 60).when(F.col("relation") == "hint", 25).when(F.col("relation") == "different", -45).otherwise(0) - F.when(F.col("bonus") > 0, 15).otherwise(0)
     sure = F.coalesce(F.col("relation").isin("known", "hint"), F.lit(False))
     edges = pairs.withColumns({"alone": alone, "score": points.cast("double")}).filter(sure if whole_day else sure | F.col("alone"))
-    edges = edges.select(F.col("p_id").alias("pid"), F.col("w_id").alias("wid"), "bonus", "relation", "score", "p_seq", "w_seq")
-    taken = greedy_match(edges, ["pid", "wid"], [-F.col("score"), F.col("w_seq"), F.col("wid"), F.col("p_seq"), F.col("pid")])
+    edges = edges.select(F.col("p_id").alias("pid"), F.col("w_id").alias("wid"), "bonus", "relation", "score", "p_seq", "w_seq", "w_ms")
+    taken = greedy_match(edges, ["pid", "wid"], [-F.col("score"), F.col("w_seq"), F.col("wid"), F.col("p_seq"), F.col("pid")], at="w_ms")
     conf = F.lit("low") if whole_day else F.when(F.col("relation") == "known", "high").when(F.col("relation") == "hint", "medium").otherwise("low")
     note = F.concat_ws(", ", F.lit("no time"), F.lit("outside its shift") if whole_day else F.lit(None), F.when(F.col("bonus") > 0, F.format_string("bonus %d%%", "bonus")))
     return _matches(taken, ["pid"], ["wid"], _status(F.col("bonus")), note, conf)
@@ -329,7 +337,7 @@ def voids(panel: DataFrame, params: P.Params) -> DataFrame:
     side = lambda x: own.select("user", "agent", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "ms", "seq", "amount", "type")))
     pairs = band_join(side("a"), side("b"), ["user", "agent"], "a_ms", "b_ms", 0, params.void_window * P.MINUTE)
     pairs = pairs.filter((F.col("a_id") != F.col("b_id")) & (F.col("a_type") != F.col("b_type")) & (F.abs(F.col("a_amount") - F.col("b_amount")) <= params.amount_tolerance))
-    taken = greedy_match(pairs.select("a_id", "b_id", "a_seq", "b_seq", "a_ms", "b_ms", "a_type", "b_type"), ["a_id", "b_id"], [F.col(c) for c in ("a_seq", "a_id", "b_seq", "b_id")])
+    taken = greedy_match(pairs.select("a_id", "b_id", "a_seq", "b_seq", "a_ms", "b_ms", "a_type", "b_type"), ["a_id", "b_id"], [F.col(c) for c in ("a_seq", "a_id", "b_seq", "b_id")], at="a_ms")
     sec = F.floor((F.col("b_ms") - F.col("a_ms")) / 1000 + 0.5)
     span = F.when(sec < 120, F.concat(sec.cast("string"), F.lit(" s"))).otherwise(F.concat(F.floor(sec / 60 + 0.5).cast("string"), F.lit(" min")))
     word = lambda c: F.when(F.col(c) == "COLLECT", "load").otherwise("withdrawal")
@@ -360,7 +368,7 @@ def default_status(side: Column, kind: Column) -> Column:
 
 
 def build_matches(rows: DataFrame, panel: DataFrame, wallet: DataFrame) -> DataFrame:
-    """Sums, difference, first time and lag (null where a member has no time) of each match (panel_ids, wallet_ids, status, note, confidence)."""
+    """Sums, difference, first time and lag (null where a member has no time, but for forced matches) of each match (panel_ids, wallet_ids, status, note, confidence)."""
     keyed = rows.withColumn("match_id", F.concat(F.array_join("panel_ids", "+"), F.lit("="), F.array_join("wallet_ids", "+")))
     members = keyed.select("match_id", F.explode("panel_ids").alias("id"), F.lit("panel").alias("s")).unionByName(keyed.select("match_id", F.explode("wallet_ids").alias("id"), F.lit("wallet").alias("s")))
     shape = ("ms", "ts", "type", "amount", "account", "origin", "no_time")
@@ -382,7 +390,7 @@ def build_matches(rows: DataFrame, panel: DataFrame, wallet: DataFrame) -> DataF
     late = F.when(F.col("type") == "COLLECT", F.col("p_hi") - F.col("w_lo")).otherwise(F.col("w_hi") - F.col("p_lo"))
     return full.select(
         "match_id", "type", "panel_ids", "wallet_ids", "status", "note", "ts", "panel_ts", amount.alias("panel_amount"), "wallet_amount",
-        round2(amount - F.col("wallet_amount")).alias("difference"), F.when(~F.col("no_time"), late).alias("lag_ms"), "confidence", "agent", "wallet_account",
+        round2(amount - F.col("wallet_amount")).alias("difference"), F.when(~F.col("no_time") | (F.col("status") == P.MANUAL), late).alias("lag_ms"), "confidence", "agent", "wallet_account",
     )
 
 
@@ -453,9 +461,12 @@ def reconcile(panel: DataFrame, wallet: DataFrame, params: P.Params | None = Non
     matches = materialize(build_matches(rows, panel, wallet), "matches")
     void = materialize(voids(free_p, params), "voids")
     paid = wallet.join(rows.select(F.explode("wallet_ids").alias("id")), "id", "left_semi")
-    stated = None if states is None else _unused(wallet, done, "wallet").join(states.select("id"), "id", "left_semi")
+    stated = None if states is None else wallet.join(states.select("id").distinct(), "id", "left_semi")
     twice = materialize(duplicates(free_w, paid, params, stated), "duplicates")
     loose = _unused(panel, done, "panel").unionByName(_unused(wallet, done, "wallet"))
+    if states is not None:  # a row with a state of the user's is shown as such, though a forced match has it
+        both = panel.unionByName(wallet).join(states.select("id").distinct(), "id", "left_semi")
+        loose = loose.join(states.select("id"), "id", "left_anti").unionByName(both)
     manual = spark.createDataFrame([], "id string, status string, note string") if states is None else states
     pending = (
         loose.join(manual.select("id", F.col("status").alias("m_status"), F.col("note").alias("m_note")), "id", "left")

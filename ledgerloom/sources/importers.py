@@ -20,6 +20,11 @@ from ..functions.numbers import parse_number, round2
 from ..functions.times import DAY_MS, from_excel_serial, from_ms, parse_datetime, parse_time_of_day, to_ms
 from .cells import head
 
+#: The words that name an operation of a panel, and words of money that comes in and goes out in unknown reports.
+OPERATION = r"(?i)^(dep[oó]sito|retiro|bonus|bono|bonificaci[oó]n)$"
+IN_WORDS, OUT_WORDS = "cobro|deposit|entra|ingres|credit|carga", "pago|retir|sal|egres|debit|descarga"
+#: The columns of a two-row export that comes without its header.
+TWO_ROW_COLUMNS = {"ref": 1, "date": 3, "amount": 4, "note": 5, "kind": 6, "owner": 7, "name": 12, "agent": 14}
 COLUMNS = ("side", "origin", "account", "party", "ts", "type", "amount", "ref", "detail", "doc", "cbu", "no_time", "shift")
 
 
@@ -56,13 +61,24 @@ def find_header(rows: list[list[str]], names: dict[str, str | list[str]], most:
     return None
 
 
-def _cell(at: int | None) -> Column:
+class Places:
+    """Column numbers that a row carries itself (``columns``), so that one projection serves sources whose columns differ."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.try_element_at(F.col("columns"), F.lit(name))
+
+
+def _cell(at: int | Column | None) -> Column:
+    if isinstance(at, Column):
+        return F.get("cells", at)
     return F.lit(None).cast("string") if at is None or at < 0 else F.get("cells", at)
 
 
-def _amount(at: int | None) -> Column:
+def _amount(at: int | Column | None) -> Column:
     """A number cell's value, else what the text says."""
-    return parse_number(_cell(at)) if at is None or at < 0 else F.coalesce(F.get("numbers", F.lit(at)), parse_number(_cell(at)))
+    if at is None or (isinstance(at, int) and at < 0):
+        return parse_number(_cell(at))
+    return F.coalesce(F.get("numbers", at if isinstance(at, Column) else F.lit(at)), parse_number(_cell(at)))
 
 
 def _time(c: Column) -> Column:
@@ -96,6 +112,13 @@ class Format:
     exact: tuple[str, ...] = ()
     most_cells: int | None = None  # filled cells of the header at most
     lookup: bool = False
+    #: a column whose presence makes the format certain (score 100)
+    certain: str | None = None
+    #: rows that count as skipped if they can't be read; None: all
+    meant: Callable | None = None
+
+    def points(self, columns: dict[str, int]) -> int:
+        return 100 if self.certain and columns.get(self.certain, -1) >= 0 else self.score
 
     def find(self, rows: list[list[str]]):
         found = find_header(rows, self.names, anchor=self.anchor)
@@ -110,6 +133,12 @@ def _by_word(op: Column) -> Column:
     return F.when(norm(op).startswith("retiro"), "PAYOUT").when(norm(op).startswith("bon"), "BONUS").otherwise("COLLECT")
 
 
+def player(by: Column, source: Column, target: Column) -> Column:
+    """Of the two ends of an operation the one that did not begin it."""
+    other = lambda x: (x != "") & (norm(x) != norm(by))
+    return F.when(other(target), target).when(other(source), source).otherwise(target)
+
+
 def _two_row_panel(c):
     kind, amount, ts = norm(_cell(c["kind"])), _amount(c["amount"]), _time(_cell(c["date"]))
     word = F.when(F.contains(kind, F.lit("bonus")) | F.contains(kind, F.lit("bono")), "BONUS").when(F.contains(kind, F.lit("withdraw")), "PAYOUT").when(F.contains(kind, F.lit("deposit")), "COLLECT").when(amount >= 0, "COLLECT").otherwise("PAYOUT")
@@ -120,8 +149,8 @@ def _two_row_panel(c):
 def _from_to_panel(c):
     op, ts, amount = clean_text(_cell(c["op"])), _time(_cell(c["date"])), _amount(c["amount"])
     by, source, target = (clean_text(_cell(c[x])) for x in ("by", "de", "a"))
-    party = F.when((target != "") & (norm(target) != norm(by)), target).when((source != "") & (norm(source) != norm(by)), source).otherwise(target)
-    ok = op.rlike("(?i)^(dep[oó]sito|retiro|bonus|bono|bonificaci[oó]n)$") & ts.isNotNull() & (F.coalesce(amount, F.lit(0.0)) != 0)
+    party = player(by, source, target)
+    ok = op.rlike(OPERATION) & ts.isNotNull() & (F.coalesce(amount, F.lit(0.0)) != 0)
     return ok, _move("panel", origin=F.lit("FROM_TO"), account=by, party=party, ts=ts, type=_by_word(op), amount=amount, ref=clean_text(_cell(c["id"])), detail=op)
 
 
@@ -173,13 +202,13 @@ def _branches(c):
 
 #: The formats' header names.
 FORMATS = (
-    Format("TWO_ROW_PANEL", "panel", 100, {"kind": "transactiontype", "owner": "ownertype", "name": "ownername", "amount": "amount", "date": "date", "?agent": "username", "?ref": "transactionid", "?note": "notes"}, _two_row_panel),
+    Format("TWO_ROW_PANEL", "panel", 100, {"kind": "transactiontype", "owner": "ownertype", "name": "ownername", "amount": "amount", "date": "date", "?agent": "username", "?ref": "transactionid", "?note": "notes"}, _two_row_panel, meant=lambda c: norm(_cell(c["owner"])) == "player"),
     Format("FROM_TO_PANEL", "panel", 97, {"date": "fecha", "op": "operacion", "by": "iniciador", "de": "de", "a": "a", "amount": "monto", "?id": "id"}, _from_to_panel, exact=("de", "a")),
     Format("ANCHORED_WALLET", "wallet", 100, {"amount": "monto", "way": "direccion", "date": "fecha", "?account": "cuenta", "?channel": "canal", "?state": "estado", "?concept": "concepto", "?sender": "nombreremitente", "?receiver": "nombredestinatario", "?sender_doc": "cuitremitente", "?receiver_doc": "cuitdestinatario", "?sender_cbu": "cburemitente", "?receiver_cbu": "cbudestinatario"}, _anchored_wallet, anchor="idinterno"),
     Format("MARKET_WALLET", "wallet", 100, {"op": "tipodeoperacion", "value": ["valordelacompra", "montonetodelaoperacion"], "?approved": "fechadeaprobacion", "?created": "fechadeorigen", "?account": "codigodelacuentadelvendedor", "?payer": "pagador", "?payer_doc": "numerodeidentificaciondelpagador"}, _market_wallet, anchor="iddeoperacionenmercadopago"),
     Format("HOLDERS", "wallet", 100, {"id": "numeroderetiro", "holder": "nombredeltitular"}, _holders, lookup=True),
     Format("CAPTURES", "wallet", 100, {"fecha": "fecha", "titular": "titular", "operacion": "operacion", "monto": "monto", "?cuenta": "cuenta", "?imagen": "imagen", "?leyenda": "leyenda", "?hora": "hora", "?turno": "turno", "?referencia": "referencia"}, _captures, anchor="origencapturadepantalla"),
-    Format("BRANCHES", "wallet", 90, {"branch": "sucursal", "date": "fecha", "kind": "tipo", "amount": "importe", "?till": "caja", "?text": "descripcion", "?target": "destino", "?tax": "cuit"}, _branches),
+    Format("BRANCHES", "wallet", 90, {"branch": "sucursal", "date": "fecha", "kind": "tipo", "amount": "importe", "?till": "caja", "?text": "descripcion", "?target": "destino", "?tax": "cuit"}, _branches, certain="target"),
     Format("FLAT_PANEL", "panel", 70, {"day": "dia", "hour": "hora", "op": "operacion", "agent": "agente", "name": "nombre", "amount": "monto"}, _flat_panel, most_cells=8),
 )
 
@@ -261,7 +290,7 @@ def import_mapped(cells: DataFrame, m: Mapping) -> DataFrame:
     if m.collect_if:
         named = F.when(F.contains(word, F.lit(plain(m.collect_if))), "COLLECT").otherwise("PAYOUT")
     else:
-        named = F.when(word.rlike("cobro|deposit|entra|ingres|credit|carga"), "COLLECT").when(word.rlike("pago|retir|sal|egres|debit|descarga"), "PAYOUT").otherwise(sign)
+        named = F.when(word.rlike(IN_WORDS), "COLLECT").when(word.rlike(OUT_WORDS), "PAYOUT").otherwise(sign)
     kind = F.when(word == "", sign).when(F.contains(word, F.lit("bon")), "BONUS").otherwise(named)
     when = F.when(clock.isNotNull(), from_ms(_day_start(ts) + clock)).otherwise(ts)
     kept = cells.filter((F.col("row_no") > m.header_row) & ts.isNotNull() & (F.coalesce(amount, F.lit(0.0)) != 0))
@@ -270,7 +299,8 @@ def import_mapped(cells: DataFrame, m: Mapping) -> DataFrame:
 
 
 def fill_holders(records: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Empty parties are filled from (ref, holder)."""
-    one = lookup.groupBy("ref").agg(F.max("holder").alias("__holder"))
+    """Empty parties are filled from (ref, holder); of several holders of one reference the last loaded (``load_seq``, if there is one) counts."""
+    last = F.struct("load_seq", "holder") if "load_seq" in lookup.columns else F.struct("holder")
+    one = lookup.groupBy("ref").agg(F.max(last)["holder"].alias("__holder"))
     full = records.join(one, "ref", "left")
     return full.withColumn("party", F.when(F.coalesce("party", F.lit("")) == "", F.coalesce("__holder", F.lit(""))).otherwise(F.col("party"))).drop("__holder")

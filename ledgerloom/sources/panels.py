@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import clean_text, norm
+from ..functions.names import clean_text
 from ..functions.numbers import parse_number
-from .importers import _by_word, _move, _time
+from .importers import OPERATION, _by_word, _move, _time, player
 
-#: The words that name an operation in the pasted and in the shifted report.
-PASTED_OPERATION = r"(?i)^(dep[oó]sito|retiro|bonus|bono|bonificaci[oó]n)$"
+#: The words that name an operation in the shifted report.
 SHIFTED_OPERATION = r"(?i)^(DEPOSITO|RETIRO|BONUS|BONO)\b"
 #: Tokens of a pasted record: id, time, operation, who began it, from, to, amount.
 RECORD = 7
@@ -25,14 +24,17 @@ def with_counter(cells: DataFrame, sample: int = 60) -> DataFrame:
 
 
 def tokens(cells: DataFrame) -> DataFrame:
-    """source_id, sheet, at (from 0), row_no and token: all cells in order, cut at tabs and line ends, without blank ones and counters."""
+    """source_id, sheet, at (from 0), row_no, token and number (a workbook's value): all cells in order, cut at tabs and line ends, without blank ones and counters."""
     counted = with_counter(cells).withColumn("counter", F.lit(True))
     own = cells.join(counted, ["source_id", "sheet"], "left")
-    body = F.when(F.col("counter"), F.slice("cells", 2, F.size("cells"))).otherwise(F.col("cells"))
-    parts = F.flatten(F.transform(body, lambda c: F.split(F.coalesce(c, F.lit("")), "[\t\n]")))
-    flat = own.select("source_id", "sheet", "row_no", F.posexplode(F.filter(F.transform(parts, clean_text), lambda t: t != "")).alias("k", "token"))
+    # each cell with its number; a cell of several tokens has none
+    number = F.when(F.col("numbers").isNotNull(), F.col("numbers")).otherwise(F.array().cast("array<double>"))
+    whole = F.transform("cells", lambda c, i: F.struct(c.alias("text"), F.get(number, i).alias("number")))
+    body = F.when(F.col("counter"), F.slice(whole, 2, F.size("cells"))).otherwise(whole)
+    parts = F.flatten(F.transform(body, lambda c: F.transform(F.split(F.coalesce(c["text"], F.lit("")), "[\t\n]"), lambda t: F.struct(clean_text(t).alias("token"), c["number"].alias("number")))))
+    flat = own.select("source_id", "sheet", "row_no", F.posexplode(F.filter(parts, lambda t: t["token"] != "")).alias("k", "t"))
     order = Window.partitionBy("source_id", "sheet").orderBy("row_no", "k")
-    return flat.withColumn("at", F.row_number().over(order) - 1).select("source_id", "sheet", "at", "row_no", "token")
+    return flat.select("source_id", "sheet", "row_no", (F.row_number().over(order) - 1).alias("at"), "t.token", "t.number")
 
 
 def _apart(places: Column, length: int) -> Column:
@@ -45,15 +47,16 @@ def pasted_records(cells: DataFrame) -> DataFrame:
     """Movements of reports that were pasted token by token; a record that begins within an earlier one is none."""
     order = Window.partitionBy("source_id", "sheet").orderBy("at")
     look = tokens(cells).withColumns({f"t{i}": F.lead("token", i).over(order) for i in range(1, RECORD)})
-    amount, ts = parse_number(F.col("t6")), _time(F.col("t1"))
-    starts = look.filter(F.col("token").rlike(r"^\d{8,}$") & F.col("t2").rlike(PASTED_OPERATION) & ts.isNotNull() & amount.isNotNull())
+    look = look.withColumn("n6", F.lead("number", RECORD - 1).over(order))
+    amount, ts = F.coalesce("n6", parse_number(F.col("t6"))), _time(F.col("t1"))
+    starts = look.filter(F.col("token").rlike(r"^\d{8,}$") & F.col("t2").rlike(OPERATION) & ts.isNotNull() & amount.isNotNull())
     # starts that lie close to one another make a run; the walk is over within each
     gap = F.col("at") - F.lag("at").over(order)
     runs = starts.withColumn("new", (F.coalesce(gap, F.lit(RECORD)) >= RECORD).cast("int")).withColumn("run", F.sum("new").over(order))
     taken = runs.groupBy("source_id", "sheet", "run").agg(F.sort_array(F.collect_list("at")).alias("places")).select("source_id", "sheet", F.explode(_apart(F.col("places"), RECORD)).alias("at"))
     own = runs.join(taken, ["source_id", "sheet", "at"])
     by, source, target = (F.col(c) for c in ("t3", "t4", "t5"))
-    party = F.when((target != "") & (norm(target) != norm(by)), target).when((source != "") & (norm(source) != norm(by)), source).otherwise(target)
+    party = player(by, source, target)
     moved = _move("panel", origin=F.lit("PASTED"), account=by, party=party, ts=ts, type=_by_word(F.col("t2")), amount=amount, ref=F.col("token"), detail=F.col("t2"))
     return own.select(*moved, F.col("source_id").alias("source"), F.col("at").cast("long").alias("load_seq"))
 
@@ -68,10 +71,12 @@ def shifted_records(cells: DataFrame) -> DataFrame:
     left = F.slice("text", 1, F.col("spot") - 1)
     times = F.transform(left, lambda c, i: F.struct(_time(c).alias("ts"), i.alias("i")))
     own = own.withColumn("time", F.try_element_at(F.filter(times, lambda t: t["ts"].isNotNull()), F.lit(-1)))
-    rest = F.filter(F.slice("text", F.col("spot") + 1, F.size("text")), lambda c: c != "")
+    number = F.when(F.col("numbers").isNotNull(), F.col("numbers")).otherwise(F.array().cast("array<double>"))
+    valued = F.transform("text", lambda c, i: F.struct(c.alias("text"), F.get(number, i).alias("number")))
+    rest = F.filter(F.slice(valued, F.col("spot") + 1, F.size("text")), lambda c: c["text"] != "")
     own = own.filter(F.col("time.ts") >= F.lit("2000-01-01").cast("timestamp_ntz")).withColumns({"rest": rest, "op": F.get("text", F.col("spot") - 1)})
-    at = lambda i: F.get("rest", F.lit(i))
-    first, second = (F.abs(F.coalesce(parse_number(at(i)), F.lit(0.0))) for i in (2, 3))
+    at = lambda i: F.get("rest", F.lit(i))["text"]
+    first, second = (F.abs(F.coalesce(F.get("rest", F.lit(i))["number"], parse_number(at(i)), F.lit(0.0))) for i in (2, 3))
     kind = _by_word(F.col("op"))
     out = kind == "PAYOUT"
     amount = F.when(out, F.when(second != 0, second).otherwise(first)).otherwise(F.when(first != 0, first).otherwise(second))

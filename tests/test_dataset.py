@@ -82,7 +82,7 @@ def test_assembly(spark):
     lines = {"L": ("main",)}
     kept, out = dataset.choose_agents(panel, lines, line="L")
     assert [r.account for r in kept.collect()] == ["Main"] and [(r.account, r.n) for r in dataset.excluded_counts(out).collect()] == [("b", 1)]
-    assert [(r.account, r.line, r.n) for r in dataset.agent_inventory(panel, lines).collect()] == [("Main", "L", 1), ("b", None, 1)]
+    assert [(r.account, r.line, r.n) for r in dataset.agent_inventory(panel, lines).collect()] == [("b", None, 1), ("Main", "L", 1)]
     late = F.lit("2025-05-07").cast("timestamp_ntz")
     assert {r.source for r in dataset.sources_outside(got, F.lit("2025-05-06 09:00:00").cast("timestamp_ntz"), late).collect()} == {"b"}
 

@@ -26,14 +26,14 @@ def workbook(rows):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Preamble\nDIA,HORA,Operacion,agente,NOMBRE,MONTO\n02/03/2026,10:05,Carga,ag ZEUS,ana1,\"1.500,50\"\n02/03/2026,,Retiro,ag,leo,20\nx,,,,,1\n")
-    (tmp_path / "b.xlsx").write_bytes(workbook([["ID Interno", "Cuenta", "Monto", "Direccion", "Fecha", "Estado", "Nombre Remitente", "CUIT Remitente"], ["7", "box", "100", "Entrante", "02/03/2026, 10:00:00", "Hecha", "ANA PAZ", "20-32303596-3"], ["8", "box", "5", "Saliente", "02/03/2026, 10:00:00", "Pendiente", "", ""]]))
+    (tmp_path / "b.xlsx").write_bytes(workbook([["ID Interno", "Cuenta", "Monto", "Direccion", "Fecha", "Estado", "Nombre Remitente", "CUIT Remitente"], ["7", "box", "100", "Entrante", "02/03/2026, 10:00:00", "Hecha", "ANA PAZ", "20-30414243-3"], ["8", "box", "5", "Saliente", "02/03/2026, 10:00:00", "Pendiente", "", ""]]))
     cells = read_cells(spark, str(tmp_path))
     by = {p: import_source(cells.filter(cells.source_id.endswith(p))) for p in ("a.csv", "b.xlsx")}
     a = sorted((r.party, r.type, r.amount, str(r.ts), r.origin, r.account) for r in by["a.csv"].records.collect())
     assert by["a.csv"].format == "FLAT_PANEL" and by["a.csv"].skipped == 1
     assert a == [("ana1", "COLLECT", 1500.5, "2026-03-02 10:05:00", "ZEUS", "ag"), ("leo", "PAYOUT", 20.0, "2026-03-02 00:00:00", "PANEL", "ag")]
     (b,) = by["b.xlsx"].records.collect()
-    assert (b.party, b.doc, b.ref, b.type, b.amount) == ("ANA PAZ", "32303596", "7", "COLLECT", 100.0)
+    assert (b.party, b.doc, b.ref, b.type, b.amount) == ("ANA PAZ", "30414243", "7", "COLLECT", 100.0)
 
 
 def test_mapping_and_lookup(spark):
