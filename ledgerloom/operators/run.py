@@ -143,7 +143,7 @@ def _joined(matches: DataFrame, moves: DataFrame, ids: str, prefix: str) -> Data
 
 def matched_sheet(r: Result) -> DataFrame:
     """Shown matches with both sides' members, lag and shift; by the first panel row's time."""
-    full = r.matches.join(_joined(r.matches, r.panel, "panel_ids", "panel"), "match_id", "left").join(_joined(r.matches, r.wallet, "wallet_ids", "wallet"), "match_id", "left")
+    full = r.matches.drop("agent", "wallet_account").join(_joined(r.matches, r.panel, "panel_ids", "panel"), "match_id", "left").join(_joined(r.matches, r.wallet, "wallet_ids", "wallet"), "match_id", "left")
     at = F.coalesce("panel_time", "ts")
     return full.select(
         operational_day(at, r.start_hour).alias("op_day"), "status", "confidence", _named(F.col("type")).alias("operation"), shift_of(at, r.config.shifts).alias("shift"), "panel_time", "panel_origin", F.col("panel_account").alias("agent"), F.col("panel_party").alias("user"), "panel_amount",
