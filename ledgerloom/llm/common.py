@@ -30,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a
-    temporary one of this process where that is unset (local runs and tests)."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; where that is unset a
+    temporary one of this process, if all tasks run on this machine (local runs and tests)."""
     if given := spark.conf.get("spark.checkpoint.dir", None):
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="shared-"))
     return _own_dir[0]
