@@ -156,15 +156,22 @@ def void_candidates(spark, sf_dir):
     return pairs.filter((F.col("a_id") != F.col("b_id")) & (F.col("a_type") != F.col("b_type")) & (F.abs(F.col("a_amount") - F.col("b_amount")) <= 0.5)).select("a_id", "b_id", (F.col("b_ms") - F.col("a_ms")).alias("gap"))
 
 
-@query(_MOVES + """, q AS (SELECT id, epoch_ms(ts) AS e, amount, array_to_string(list_filter(regexp_split_to_array(lower(party), '[^a-z]+'), lambda t: len(t) >= 2), ' ') AS name FROM both_sides WHERE side = 'wallet' AND type = 'PAYOUT' AND NOT no_time AND party <> '')
-SELECT DISTINCT a.id FROM q a JOIN q b ON a.name = b.name AND a.id <> b.id AND abs(a.amount - b.amount) <= 0.5 AND a.e - b.e BETWEEN 1 AND 3600000""")
+@query(_MOVES + """, q AS (SELECT id, epoch_ms(ts) AS e, amount, array_to_string(list_filter(regexp_split_to_array(lower(party), '[^a-z]+'), lambda t: len(t) >= 2), ' ') AS name FROM both_sides WHERE side = 'wallet' AND type = 'PAYOUT' AND party <> '')
+SELECT DISTINCT a.id FROM q a JOIN q b ON a.name = b.name AND a.id <> b.id AND abs(a.amount - b.amount) <= 0.5 AND abs(a.e - b.e) <= 3600000 AND (b.id[1] = 'w' OR b.e < a.e) WHERE a.id[1] <> 'w'""")
 def duplicate_payouts(spark, sf_dir):
-    """Payouts with an earlier twin of the same holder within the hour."""
+    """Payouts beside the main ones that have a twin of the same holder within the hour: a main one, or an earlier one of their own."""
     _, w = _sides(spark, sf_dir)
-    return matching.duplicates(w.filter(~F.col("no_time")), w.filter("false"), Params())
+    main = F.col("id").startswith("w")
+    return matching.duplicates(w.filter(~main), w.filter(main), Params())
 
 
-@query(_MOVES + ", u AS (SELECT DISTINCT p.party AS user_name, w.party AS holder FROM panel p JOIN wallet w USING (k)) SELECT user_name, holder, CASE WHEN holder <> '' AND user_name NOT LIKE 'xq%' THEN true ELSE false END AS hint FROM u")
+@query(_MOVES + """, u AS (SELECT DISTINCT p.party AS user_name, w.party AS holder FROM panel p JOIN wallet w USING (k)),
+rs AS (SELECT user_name, regexp_extract_all(lower(user_name), '[a-z]+') AS rs FROM (SELECT DISTINCT user_name FROM u)),
+r AS (SELECT user_name, unnest(CASE WHEN len(rs) > 1 THEN list_append(rs, array_to_string(rs, '')) ELSE rs END) AS r FROM rs),
+w2 AS (SELECT holder, unnest(regexp_split_to_array(lower(holder), '[^a-z]+')) AS w FROM (SELECT DISTINCT holder FROM u)),
+h AS (SELECT DISTINCT u.user_name, u.holder FROM u JOIN r USING (user_name) JOIN w2 USING (holder) WHERE len(r) >= 4 AND len(w) >= 3 AND (starts_with(w, r) OR starts_with(r, w) OR (len(r) >= 5 AND contains(w, r))
+  OR (len(r) >= 5 AND least(levenshtein(r, w[:len(r)]), levenshtein(r, w[:len(r) + 1])) <= 1) OR (len(w) >= 5 AND len(r) > len(w) AND contains(r, w)) OR (len(r) = 4 AND len(w) >= 5 AND levenshtein(r, w[:5]) = 1 AND r[1] = w[1])))
+SELECT u.user_name, u.holder, h.user_name IS NOT NULL AS hint FROM u LEFT JOIN h USING (user_name, holder)""")
 def name_hints(spark, sf_dir):
     """Which user names resemble the holders they meet."""
     p = ledgers.panel(spark, sf_dir).select("k", F.col("party").alias("user_name"))
@@ -258,13 +265,13 @@ def operational_days(spark, sf_dir):
     return report.days(p.unionByName(w)).select(F.col("op_day").cast("string").alias("op_day"))
 
 
-@query(_MOVES + """, h AS (SELECT party AS user_name, party AS label, count(*) AS n FROM both_sides WHERE side = 'panel' GROUP BY party UNION ALL SELECT party, party, 2 FROM both_sides WHERE side = 'panel' GROUP BY party)
-SELECT user_name, max(n) AS n FROM h GROUP BY user_name""")
+@query(_MOVES + """, h AS (SELECT party AS user_name, account, count(*) AS n FROM both_sides WHERE side = 'panel' AND type = 'COLLECT' GROUP BY ALL UNION ALL SELECT party, account, 2 * count(*) FROM both_sides WHERE side = 'panel' AND type = 'PAYOUT' GROUP BY ALL)
+SELECT user_name, account, CAST(max(n) AS BIGINT) AS n FROM h GROUP BY ALL""")
 def merged_aliases(spark, sf_dir):
-    """Two alias tables as one, with the larger number of each."""
+    """Two alias tables (users with the agents of their collects, and of their payouts, these counted twice) as one, with the larger number of each."""
     p, _ = _sides(spark, sf_dir)
-    one = p.groupBy("party").agg(F.count("*").alias("n")).select(F.col("party").alias("user_key"), F.col("party").alias("user"), F.col("party").alias("id_key"), F.col("party").alias("label"), "n")
-    return dataset.merge_aliases(one, one.withColumn("n", F.lit(2).cast("long"))).select(F.col("user").alias("user_name"), "n")
+    of = lambda kind, times: p.filter(F.col("type") == kind).groupBy("party", "account").agg((F.count("*") * times).alias("n")).select(F.col("party").alias("user_key"), F.col("party").alias("user"), F.col("account").alias("id_key"), F.col("account").alias("label"), "n")
+    return dataset.merge_aliases(of("COLLECT", 1), of("PAYOUT", 2)).select(F.col("user").alias("user_name"), F.col("label").alias("account"), "n")
 
 
 def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
