@@ -25,7 +25,9 @@ import copy
 import uuid
 import zlib
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ HEAD = 128
 CHUNK, PER_SYMBOL, BLOCK = 4_000_000, 100, 8192
 #: Tokens of a chunk that are shuffled together; rows that are scored together.
 RUN, LINES = 500_000, 256
+#: Bytes that tables of factors may take in a process; how far apart logs may lie that are factors in single precision.
+TABLES, SPREAD = 192 << 20, 80.0
 #: Words whose counts go to every task; the others' are looked up in shards.
 FREQUENT = 1 << 16
 SHARD_WORDS, SHARD_TOKENS = 250_000, 5_000_000
@@ -59,14 +63,28 @@ def common(tokens: int) -> int:
     return int(COMMON * max(1.0, tokens / COMMON_OF) ** 0.5)
 
 
-def key_of(word: bytes) -> int:
-    """A word's 64-bit key, as a signed number. Two words of a corpus share one with a chance below 1e-6 up to 10^6 words."""
-    k = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-    return k if k != _END else 0
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """Words' 64-bit keys, as signed numbers. Two words of a corpus share one with a chance below 1e-6 up to 10^6 words."""
+    k = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+    k = k.view(np.int64)
+    k[k == _END] = 0
+    return k
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % CLASSES
+@lru_cache(1)
+def _class_table() -> np.ndarray:
+    """Classes of all pairs of bytes, then of single bytes."""
+    ends = [bytes((a, b)) for a in range(256) for b in range(256)] + [bytes((a,)) for a in range(256)]
+    return np.array([zlib.crc32(x) % CLASSES for x in ends], np.int64)
+
+
+def classes_of(words: list[bytes]) -> np.ndarray:
+    """Words' classes: by their last two bytes."""
+    if not words:
+        return np.zeros(0, np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    text, ends = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(sizes)
+    return _class_table()[np.where(sizes > 1, text[ends - 2] << 8, 1 << 16) + text[ends - 1]]
 
 
 def _lengths(texts) -> list:
@@ -81,8 +99,8 @@ def _count(batches):
             seen: Counter = Counter()
             for t in texts.slice(a, b - a).to_pylist():
                 seen.update((t or "").encode("utf-8", "replace").lower().split())
-            keys = [_END, *map(key_of, seen)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([-1, *map(class_of, seen)], pa.int32()), pa.array([b - a, *seen.values()], pa.int64())], names=["key", "cls", "n"])
+            words = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys_of(words), _END)), pa.array(np.append(classes_of(words), -1).astype(np.int32)), pa.array([*seen.values(), b - a], pa.int64())], names=["key", "cls", "n"])
 
 
 class LogBilinear:
@@ -132,13 +150,16 @@ class LogBilinear:
                 score = np.einsum("ij,ij->i", qs, true[:, :SIZE]) + true[:, SIZE] - shift[to]
                 against = qs @ other[:, :SIZE].T + (other[:, SIZE] - shift[drawn])
                 up = 1 / (1 + np.exp(np.clip(score, -30, 30))) / len(i)
-                down = -1 / (1 + np.exp(np.clip(-against, -30, 30))) / len(i)
+                down = np.exp(np.clip(np.negative(against, out=against), -30, 30, out=against), out=against)
+                down += 1
+                np.divide(-1, down, out=down)
+                down /= len(i)
                 dq[at_, :SIZE] += up[:, None] * true[:, :SIZE] + down @ other[:, :SIZE]
                 changes += [(own, np.concatenate([up[:, None] * qs, up[:, None]], 1)), (rows[drawn], np.concatenate([down.T @ qs, down.sum(0)[:, None]], 1))]
             self._change(*(np.concatenate(x) for x in zip((ni, dq), (fi, dq), *changes, strict=True)), rate)
 
     def _change(self, rows: np.ndarray, values: np.ndarray, rate: float) -> None:
-        order = np.argsort(rows, kind="stable")
+        order = _by_number(rows)
         rows = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         rows, g = rows[starts], np.add.reduceat(values[order], starts, axis=0) * 50
@@ -154,28 +175,89 @@ class LogBilinear:
         """The tables that scoring reads."""
         self.top, self.deep = (np.ascontiguousarray(self.params[rows, :SIZE].T.astype(np.float64)) for rows in self.rows)
         self.top_bias, self.deep_bias = (self.params[rows, SIZE].astype(np.float64) for rows in self.rows)
+        self.opened = None
+
+    def _open(self):
+        """What a process makes of these tables, once: contexts, and vectors and biases of both softmaxes, as rows; and the factors of
+        the first softmax's sums. exp(a + b) is exp(a) exp(b), so each context has a row of factors and a pair's sum is a product of
+        two rows. None, if factors would take too much memory or lie too far apart for single precision."""
+        if self.opened is None:
+            near, far = (np.ascontiguousarray(self.params[a : a + self.size, :SIZE]) for a in (0, self.size))
+            vectors = [(np.ascontiguousarray(t.T), b) for t, b in ((self.top, self.top_bias), (self.deep, self.deep_bias))]
+            factors = None
+            if 8 * self.size * len(self.top_bias) <= TABLES:
+                factors = [_factors(near, self.top, 0.0), _factors(far, self.top, self.top_bias)]
+                if min(f[2] for f in factors) > SPREAD:
+                    factors = None
+            self.opened = near, far, vectors, factors
+        return self.opened
+
+    def _norms(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Logs of the first softmax's sums after pairs of contexts."""
+        n, f, _, factors = self._open()
+        out = np.empty(len(near))
+        for a in range(0, len(near), LINES):
+            i, j = near[a : a + LINES], far[a : a + LINES]
+            if factors is None:
+                out[a : a + LINES] = _log_sum((n[i] + f[j]).astype(np.float64), self.top, self.top_bias)
+            else:
+                (x, up, _), (y, more, _) = factors
+                z = x[i]
+                z *= y[j]
+                out[a : a + LINES] = np.log(z.sum(1, dtype=np.float64)) + up[i] + more[j]
+        return out
 
     def log10(self, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         """log10 of the probabilities of symbols after their contexts."""
-        pairs, back = np.unique(near * self.size + far, return_inverse=True)
-        q = (self.params[pairs // self.size, :SIZE] + self.params[self.size + pairs % self.size, :SIZE]).astype(np.float64)
-        norm = np.empty(len(pairs))
-        for a in range(0, len(pairs), LINES):
-            norm[a : a + LINES] = _log_sum(q[a : a + LINES], self.top, self.top_bias)
-        to = self.first[w]
-        own = self.params[self.rows[0]].astype(np.float64)[to]
-        out = np.einsum("ij,ij->i", q[back], own[:, :SIZE]) + own[:, SIZE] - norm[back]
-        deep = np.flatnonzero(self.place[w] >= 0)
-        deep = deep[np.argsort(to[deep], kind="stable")]
-        mine = self.params[self.rows[1]].astype(np.float64)[self.place[w[deep]]]
-        out[deep] += np.einsum("ij,ij->i", q[back[deep]], mine[:, :SIZE]) + mine[:, SIZE]
-        cuts = np.searchsorted(to[deep] - len(self.top_bias) + len(self.starts) - 1, np.arange(len(self.starts)))
+        if not len(w):
+            return np.zeros(0)
+        n, f, ((top, top_bias), (rest, rest_bias)), _ = self._open()
+        pairs = near * self.size + far
+        order = np.argsort(pairs)  # equal contexts side by side
+        w, near, far, pairs = w[order], near[order], far[order], pairs[order]
+        fresh = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+        starts = np.flatnonzero(fresh)
+        out = -self._norms(near[starts], far[starts])[np.cumsum(fresh) - 1]
+        q, to, place = np.empty((len(w), SIZE), np.float32), self.first[w], self.place[w]
+        for a in range(0, len(w), 16 * LINES):
+            part = slice(a, a + 16 * LINES)
+            q[part] = n[near[part]] + f[far[part]]
+            out[part] += np.einsum("ij,ij->i", q[part].astype(np.float64), top[to[part]]) + top_bias[to[part]]
+        deep = np.flatnonzero(place >= 0)
+        group = to[deep] - len(top_bias) + len(self.starts) - 1
+        sort = _by_number(group)
+        deep = deep[sort]
+        cuts = np.searchsorted(group[sort], np.arange(len(self.starts)))
         for k in np.flatnonzero(np.diff(cuts)):
             a, b = self.starts[k], self.starts[k + 1]
+            table, bias = np.ascontiguousarray(self.deep[:, a:b]), self.deep_bias[a:b]
             for i in range(cuts[k], cuts[k + 1], LINES):
                 j = deep[i : min(i + LINES, cuts[k + 1])]
-                out[j] -= _log_sum(q[back[j]], self.deep[:, a:b], self.deep_bias[a:b])
-        return out / np.log(10)
+                context, own = q[j].astype(np.float64), place[j]
+                out[j] += np.einsum("ij,ij->i", context, rest[own]) + rest_bias[own] - _log_sum(context, table, bias)
+        back = np.empty(len(w))
+        back[order] = out
+        return back / np.log(10)
+
+
+def _by_number(x: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 to 2^32: by 16 bits at a time, which numpy sorts by counting."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(x) and int(x.max()) >> 16:
+        order = order[np.argsort((x[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
+def _factors(contexts: np.ndarray, table: np.ndarray, bias) -> tuple[np.ndarray, np.ndarray, float]:
+    """Each context's exponentials of its scores less its highest; its highest; how far a score lies below its highest at most."""
+    out, high, apart = np.empty((len(contexts), table.shape[1]), np.float32), np.empty(len(contexts)), 0.0
+    for a in range(0, len(contexts), 16 * LINES):
+        z = contexts[a : a + 16 * LINES].astype(np.float64) @ table + bias
+        high[a : a + 16 * LINES] = top = z.max(1)
+        z -= top[:, None]
+        apart = max(apart, -float(z.min()))
+        out[a : a + 16 * LINES] = np.exp(z)
+    return out, high, apart
 
 
 def _log_sum(q: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -201,8 +283,10 @@ class Vocabulary:
         self.ends = next((n for k, _, n in frequent if k == _END), 0) if ends is None else ends
         n = np.array([x[2] for x in words], np.int64)
         m = self.words = max(WORDS, int((n >= common(tokens)).sum()))  # symbols 1 to m; where there are fewer words, some stand for none
-        self.rank = {x[0]: i for i, x in enumerate(words)}
-        self.counts, self.class_of_rank = n, np.array([x[1] for x in words], np.int64)
+        keys = np.array([x[0] for x in words], np.int64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.counts = n
         own = np.bincount([x[1] for x in words[:m]], n[:m] + 1, CLASSES)
         self.class_sums = class_sums - own + 1  # (c + 1) of the others, and the unseen word
         seen = np.ones(1 + m + CLASSES)
@@ -211,41 +295,43 @@ class Vocabulary:
         seen[1 + m :] += self.class_sums
         self.unigram = seen / seen.sum()
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Places among the frequent words, by number of occurrences; -1 of others."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.order[at], -1)
 
-class Memo(dict):
-    """word -> number of its entry: key, and place among the frequent words (for a word that is none, -1 less its class). Entry 0 is the end."""
+
+class Memo(defaultdict):
+    """word -> number of its entry, in the order in which words came. ``table`` has each entry's symbol, key and count (-1 of a word that
+    isn't frequent), of words that came since at the next call of ``entries``. Entry 0 is the end."""
 
     most = 200_000
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
-        self.vocab, self.rank = vocab, vocab.rank
+        self.vocab = vocab
         self.restart()
 
     def restart(self) -> None:
         self.clear()
-        self.key, self.place = array("q", [_END]), array("q", [0])
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.key)
-        k = key_of(word)
-        self.key.append(k)
-        i = self.rank.get(k)
-        self.place.append(-1 - class_of(word) if i is None else i)
-        return n
+        self.default_factory = count(1).__next__
+        self.table = np.array([[0], [_END], [self.vocab.ends]], np.int64)
 
     def entries(self, at: array) -> np.ndarray:
-        """Symbols, keys and counts (-1 of a word that isn't frequent)."""
-        v, at = self.vocab, np.frombuffer(at, np.int64)
-        keys, place = np.frombuffer(self.key, np.int64), np.frombuffer(self.place, np.int64)
-        often = place >= 0
-        of = v.class_of_rank[place[often]] if len(v.counts) else np.zeros(0, np.int64)
-        symbols, counts = v.words - place, np.full(len(place), -1)  # 1 + words + class
-        symbols[often] = np.where(place[often] < v.words, 1 + place[often], 1 + v.words + of)
-        if len(v.counts):
+        """Symbols, keys and counts."""
+        v, words = self.vocab, list(islice(self, self.table.shape[1] - 1, None))
+        if words:
+            keys = keys_of(words)
+            place = v.places(keys)
+            symbols, counts = 1 + v.words + classes_of(words), np.full(len(words), -1)
+            often = np.flatnonzero(place >= 0)
             counts[often] = v.counts[place[often]]
-        symbols[0], counts[0] = 0, v.ends
-        return np.stack([symbols[at], keys[at], counts[at]])
+            own = often[place[often] < v.words]
+            symbols[own] = 1 + place[own]
+            self.table = np.concatenate([self.table, [symbols, keys, counts]], axis=1)
+        return self.table[:, np.frombuffer(at, np.int64)]
 
 
 _memos: dict[str, Memo] = {}

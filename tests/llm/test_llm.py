@@ -10,6 +10,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -243,6 +244,47 @@ def test_lm_is_a_distribution():
         assert (10 ** net.log10(np.arange(n), np.full(n, near), np.full(n, far))).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_lm_sums_come_from_factors(monkeypatch):
+    """The first softmax's sums of all pairs of contexts come from two rows of factors, and equal those made score by score."""
+    rng = np.random.default_rng(1)
+    vocab = lm.Vocabulary(1000, 900, [(lm._END, -1, 10), *((i + 1, i % lm.CLASSES, 2000 - i) for i in range(900))], np.full(lm.CLASSES, 60000.0))
+    net = lm.LogBilinear(vocab.unigram)
+    net.train(*rng.integers(0, net.size, (3, 5000)), rng)
+    w, near, far = rng.integers(0, net.size, (3, 3000))
+    widths, plain = set(), lm._log_sum
+    monkeypatch.setattr(lm, "_log_sum", lambda q, table, bias: widths.add(table.shape[1]) or plain(q, table, bias))
+    got = []
+    for tables in (lm.TABLES, 0):
+        monkeypatch.setattr(lm, "TABLES", tables)
+        net.close()
+        widths.clear()
+        got.append(net.log10(w, near, far))
+        assert (len(net.top_bias) in widths) == (tables == 0)
+    assert np.abs(got[0] - got[1]).max() < 1e-6
+    one = np.concatenate([net.log10(w[i : i + 1], near[i : i + 1], far[i : i + 1]) for i in range(50)])
+    assert np.abs(one - got[1][:50]).max() < 1e-9
+
+
+def test_lm_words_are_looked_up_together(monkeypatch):
+    vocab = lm.Vocabulary(100, 9, [(lm._END, -1, 10), *((int(k), int(c), 7) for k, c in zip(lm.keys_of([b"ab", b"z"]), lm.classes_of([b"ab", b"z"]), strict=True))], np.full(lm.CLASSES, 60.0))
+    texts = ["AB z new ab", None, "", "\u00e9 z \ud7ff x ab", " ".join(f"q{i}" for i in range(60)) + " new ab"]
+    wide = lm._symbols(texts, lm.Memo(vocab))
+    monkeypatch.setattr(lm.Memo, "most", 8)  # begun anew all the time
+    for x, y in zip(wide, lm._symbols(texts, lm.Memo(vocab)), strict=True):
+        assert x.tolist() == y.tolist()
+    at = 0
+    for text, size in zip(texts, wide[3], strict=True):
+        words = (text or "").encode().lower().split()
+        for i, word in enumerate([*words, None]):
+            often = {b"ab": 1, b"z": 2}.get(word)
+            symbol = 0 if word is None else often or 1 + vocab.words + zlib.crc32(word[-2:]) % lm.CLASSES
+            key = -1 if word is None else xxhash.xxh3_64_intdigest(word) - (1 << 63)
+            assert (wide[0][at + i], wide[1][at + i], wide[2][at + i]) == (symbol, key, 10 if word is None else 7 if often else -1)
+        at += size
+    x = np.random.default_rng(2).integers(0, 1 << 18, 5000)
+    assert lm._by_number(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
 def test_lines(docs):
     rows = local(docs)
     key = lambda line: line.encode().strip(b" \t\n\x0b\x0c\r").lower()
