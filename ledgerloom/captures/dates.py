@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import _MARKED, _PLAIN
+from ..functions.numbers import bound, whole_number
 
 #: The months' names, and the abbreviation of each (September has two).
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
@@ -44,7 +45,7 @@ def infer_day(day: Column, month: Column, year: Column, today: Column) -> Column
     """The date of a day and month; without a year (null) that of the reference, or the year before if it would lie over two days ahead."""
     now = F.year(today)
     guess = F.when(day_of(now, month, day) > F.date_add(today, 2), now - 1).otherwise(now)
-    return day_of(F.when(year.isNull(), guess).when(year < 100, year + 2000).otherwise(year), month, day)
+    return bound(F.when(year.isNull(), guess).when(year < 100, year + 2000).otherwise(year), lambda y: day_of(y, month, day))
 
 
 def plausible(day: Column, today: Column) -> Column:
@@ -54,7 +55,7 @@ def plausible(day: Column, today: Column) -> Column:
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    return whole_number(F.regexp_extract(text, pattern, group))
 
 
 def month_of(token: Column) -> Column:
@@ -76,15 +77,21 @@ def day_in_text(text: Column, today: Column) -> Column:
 
     A day without a year must be plausible.
     """
-    t = unmarked(text)
-
-    slashed = t.rlike(_SLASHED)
-    part = lambda i: F.when(slashed, _part(t, _SLASHED, i)).otherwise(_part(t, _NAMED, i))
-    named = F.create_map(*(F.lit(x) for kv in SHORT_MONTHS.items() for x in kv))[F.regexp_extract(t, _NAMED, 2)]
-    month, year = F.when(slashed, _part(t, _SLASHED, 2)).otherwise(named), part(3)
-    read = infer_day(part(1), month, year, today)
-    found = F.when(year.isNotNull() | F.datediff(read, today).between(*PLAUSIBLE), read)
-    return F.when(slashed, found).when(t.rlike(r"\bhoy\b"), today).when(t.rlike(r"\bayer\b"), F.date_sub(today, 1)).when(month.isNotNull(), found)
+    months = F.create_map(*(F.lit(x) for kv in SHORT_MONTHS.items() for x in kv))
+
+    def parts(t: Column, pattern: str, month: Column) -> Column:
+        return F.struct(_part(t, pattern, 1).alias("day"), month.alias("month"), _part(t, pattern, 3).alias("year"))
+
+    def found(p: Column) -> Column:
+        return bound(infer_day(p["day"], p["month"], p["year"], today), lambda read: F.when(p["year"].isNotNull() | F.datediff(read, today).between(*PLAUSIBLE), read))
+
+    # every step is worked out once: the text, its parts, the day that they make
+    def read(t: Column) -> Column:
+        slashed = bound(parts(t, _SLASHED, _part(t, _SLASHED, 2)), found)
+        named = bound(parts(t, _NAMED, months[F.regexp_extract(t, _NAMED, 2)]), found)
+        return F.when(t.rlike(_SLASHED), slashed).when(t.rlike(r"\bhoy\b"), today).when(t.rlike(r"\bayer\b"), F.date_sub(today, 1)).when(t.rlike(_NAMED), named)
+
+    return bound(unmarked(text), read)
 
 
 def is_heading(text: Column) -> Column:
