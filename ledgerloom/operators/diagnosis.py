@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import format_money
 from ..functions.times import DAY_MS, from_ms, to_ms
 from ..plans import params as P
-from .joins import band_join
+from .joins import nearest
 
 ACTIONABLE = (P.COLLECT_NO_CHIPS, P.CHIPS_NO_COLLECT, P.WITHDRAWAL_NO_PAYOUT, P.PAYOUT_NO_WITHDRAWAL)
 POSSIBLE_PAIR, OTHER_AGENT, NO_PANEL_COVERAGE, NO_WALLET_COVERAGE, NO_SUCH_AMOUNT = "POSSIBLE_PAIR", "OTHER_AGENT", "NO_PANEL_COVERAGE", "NO_WALLET_COVERAGE", "NO_SUCH_AMOUNT"
@@ -31,16 +31,21 @@ def _timed(moves: DataFrame, day) -> DataFrame:
 
 
 def _closest(rows: DataFrame, others: DataFrame, tolerance: float) -> DataFrame:
-    """For each row the nearest other of equal type and amount, within three hours (a day if either has no time)."""
+    """For each row the nearest other of equal type and amount, within three hours (a day if either has no time); of equally near ones the smallest id.
+
+    Rows meet the amounts that suit theirs, and of each amount the rows next to them in time, so no pairs are made.
+    """
     a = rows.select("type", F.col("id").alias("a_id"), F.col("ms").alias("a_ms"), F.col("amount").alias("a_amount"), F.col("no_time").alias("a_no"))
     b = others.select("type", F.col("id").alias("b_id"), F.col("ms").alias("b_ms"), F.col("amount").alias("b_amount"), F.col("no_time").alias("b_no"))
     unit = max(0.01, tolerance)
-    a = a.withColumn("unit", F.explode(F.array(*(F.floor(F.col("a_amount") / unit) + i for i in (-1, 0, 1)))))
-    pairs = band_join(a, b.withColumn("unit", F.floor(F.col("b_amount") / unit)), ["type", "unit"], "a_ms", "b_ms", DAY_MS - 1, DAY_MS - 1)
-    apart = F.abs(F.col("a_ms") - F.col("b_ms"))
-    pairs = pairs.filter((F.abs(F.col("a_amount") - F.col("b_amount")) <= tolerance) & ((apart <= _NEAR) | F.col("a_no") | F.col("b_no")))
-    w = Window.partitionBy("a_id").orderBy(apart, "b_id")
-    return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("a_id").alias("id"), F.col("b_id").alias("near_id"), (F.col("b_ms") - F.col("a_ms")).alias("near_ms"))
+    own = a.select("type", "a_amount").distinct().withColumn("unit", F.explode(F.array(*(F.floor(F.col("a_amount") / unit) + i for i in (-1, 0, 1)))))
+    other = b.select("type", "b_amount").distinct().withColumn("unit", F.floor(F.col("b_amount") / unit))
+    suit = own.join(other, ["type", "unit"]).filter(F.abs(F.col("a_amount") - F.col("b_amount")) <= tolerance).drop("unit")
+    a = a.join(suit, ["type", "a_amount"])
+    near = lambda x, y, reach: nearest(x.drop("a_no"), y.drop("b_no"), ["type", "b_amount"], "a_id", "a_ms", "b_ms", reach, "b_id").select("a_id", "b_id", "a_ms", "b_ms")
+    found = near(a.filter("not a_no"), b.filter("not b_no"), _NEAR).unionByName(near(a.filter("a_no"), b, DAY_MS - 1)).unionByName(near(a.filter("not a_no"), b.filter("b_no"), DAY_MS - 1))
+    best = found.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct(F.abs(F.col("a_ms") - F.col("b_ms")).alias("apart"), F.col("b_id").alias("near_id"), (F.col("b_ms") - F.col("a_ms")).alias("near_ms"))).alias("n"))
+    return best.select("id", "n.near_id", "n.near_ms")
 
 
 def _who(party: Column, account: Column) -> Column:
